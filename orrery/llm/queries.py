@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "mixing", "token_counts", "tiff", "html_text", "url_filter")
+MODULES = ("packing", "mixing", "secrets", "token_counts", "tiff", "html_text", "url_filter")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
