@@ -35,25 +35,75 @@ WINDOW = 2048
 END_ID = 1
 DIMENSIONS, BITS = 4, 12
 SEED = 20_240_101
-#: Words that a worker remembers with their ids.
-CACHED_WORDS = 150_000
-
-
-class WordIds:
-    """Ids of words without white space, as the library gives them, from a bounded cache."""
-
-    def __init__(self, tokenizer):
-        self.tokenizer, self.known = tokenizer, {}
-
-    def __call__(self, words: list[str]) -> list[np.ndarray]:
-        known = self.known
-        missing = [w for w in words if w not in known]
-        if len(known) + len(missing) > CACHED_WORDS:
-            known.clear()
-            missing = words
-        for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, np.uint32)
-        return [known[w] for w in words]
+#: Words that a generation of a worker's memory holds, before the next one begins.
+CACHED = 200_000
+#: Bytes of text that are split at once.
+SLICE = 4 << 20
+
+# What the tokenizer parts letters from, and the texts whose pre-tokens are found with it (as RE2 patterns).
+PIECE = r"('s|'t|'re|'ve|'m|'ll|'d|\pN|[^\t-\r \pL\pN]+)"
+PLAIN = "^[\t-\r -~\u00a1-\u00a7\u00a9\u00ab\u00ac\u00ae\u00b0-\u00b3\u00b6\u00b7\u00b9-\u00ff]*$"
+
+
+class Ids:
+    """Ids of words without white space, as the library gives them, as little-endian bytes.
+
+    The memory is bounded: what was not asked for during a whole generation is forgotten.
+    """
+
+    def __init__(self, tokenizer, kind: np.dtype):
+        self.tokenizer, self.kind = tokenizer, kind
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, words: list[str], single: bool) -> list[bytes]:
+        """Ids of each word; single: each is one pre-token, so many are encoded as one text that parts them again."""
+        new, old = self.new.get, self.old.get
+        found = [new(w) if w else b"" for w in words]
+        missing = []
+        for i, x in enumerate(found):
+            if x is None:
+                found[i] = x = old(words[i])
+                if x is None:
+                    missing.append(i)
+                else:
+                    self.new[words[i]] = x
+        for a in range(0, len(missing), 4096):
+            part = [words[i] for i in missing[a : a + 4096]]
+            for i, w, x in zip(missing[a : a + 4096], part, self.joined(part) if single else self.apart(part), strict=True):
+                found[i] = self.new[w] = x
+        if len(self.new) >= CACHED:
+            self.old, self.new = self.new, {}
+        return found
+
+    def apart(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def joined(self, words: list[str]) -> list[bytes]:
+        e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        raw, size = np.array(e.ids, self.kind).tobytes(), self.kind.itemsize
+        bounds = (np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(words) + 1)) * size).tolist() if e.ids else [0] * (len(words) + 1)
+        return [raw[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def coded(texts: pa.Array, ids: Ids, plain: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The ids of each distinct word, each word's place among those, and where each text's words begin and end.
+
+    Plain texts are parted at the tokenizer's own pre-token boundaries, others at white space alone.
+    """
+    if plain:
+        texts = pc.replace_substring_regex(pc.utf8_lower(texts), PIECE, r" \1 ")
+    split = pc.ascii_split_whitespace(texts)
+    flat = split.flatten().dictionary_encode()
+    bounds = split.offsets.to_numpy().astype(np.int64)
+    return ids(flat.dictionary.to_pylist(), plain), flat.indices.to_numpy(), bounds - bounds[0]
+
+
+def alike(batch: pa.RecordBatch, text: str) -> list[tuple[pa.RecordBatch, bool]]:
+    """The batch's rows with plain texts, and the others."""
+    texts = text_array(batch, text)
+    plain = pc.and_(pc.match_substring_regex(texts, PLAIN), pc.invert(pc.match_substring(texts, "<|")))
+    return [x for x in ((batch.filter(plain), True), (batch.filter(pc.invert(plain)), False)) if x[0].num_rows]
 
 
 def signs(vocabulary: int) -> np.ndarray:
@@ -101,21 +151,18 @@ def tokenised(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         size = max(tokenizer.get_vocab_size(), end_id + 1)
-        words, axes, kind = WordIds(tokenizer), signs(size), np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        words, axes = Ids(tokenizer, kind), signs(size)
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch, text):
-                split = pc.ascii_split_whitespace(text_array(part, text))
-                coded = split.flatten().dictionary_encode()
-                codes, bounds = coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
-                bounds = bounds - bounds[0]
-                each = words(coded.dictionary.to_pylist())
-                length = np.array([len(x) for x in each], np.int64)
-                flat = np.concatenate([*each, np.zeros(0, np.uint32)]).astype(np.uint32)
+            for part, plain in (y for x in slices(batch, text, SLICE) for y in alike(x, text)):
+                each, codes, bounds = coded(text_array(part, text), words, plain)
+                length = np.fromiter(map(len, each), np.int64, len(each)) // kind.itemsize
+                flat = np.frombuffer(b"".join(each), kind)
                 starts = np.cumsum(length) - length
                 spread = run_sums(axes[flat], np.append(starts, len(flat)))
                 counts = run_sums(length[codes], bounds)
-                ids = flat[ragged(starts[codes], length[codes])].astype(kind)
+                ids = flat[ragged(starts[codes], length[codes])]
                 curve = hilbert(place(run_sums(spread[codes], bounds), counts))
                 ends = np.cumsum(counts)
                 end = np.array([end_id], kind).tobytes()
