@@ -80,8 +80,10 @@ def frequent_pre_tokens(df: DataFrame, text: str, most: int = TIER_ONE) -> list[
     """About the most frequent pre-tokens of all rows; at most `most` strings reach the driver."""
     tokens = df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(PRE_TOKEN_JAVA), F.lit(0))).alias("t"))
     parts = tokens.where(F.length("t") <= LONGEST_KEPT).groupBy((F.spark_partition_id() % MERGE_WAYS).alias("way")).agg(F.expr(f"approx_top_k_accumulate(t, {2 * most})").alias("s"))
-    top = parts.agg(F.expr(f"approx_top_k_combine(s, {2 * most})").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {most})").alias("top"))
-    return [x.item for x in top.first().top or []]
+    # Grouped by a constant: an ungrouped merge begins with an empty sketch in each empty partition, which Spark cannot write.
+    whole = parts.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(s, {2 * most})").alias("s"))
+    top = whole.select(F.expr(f"approx_top_k_estimate(s, {most})").alias("top")).first()
+    return [x.item for x in top.top] if top else []
 
 
 def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text", out: str = "n_tokens", tier_one: int = TIER_ONE, keep_text: bool = True) -> DataFrame:
