@@ -6,8 +6,7 @@ Weak candidates are `key` (a bare base-64 run as long as a secret key, mixed in
 letter case with a digit) and `endpoint` (a URL or host:port). A weak candidate
 is reported only when a complementary part lies in its scope, that is within
 SCOPE characters: an access identifier or an endpoint for a bare key, and an
-access identifier, an assigned or a bare key for an endpoint that such a key in
-turn makes complete. Nearest parts on either side come from ordered windows
+access identifier, an assigned or a bare key for an endpoint. Nearest parts on either side come from ordered windows
 over the parts of one document, an interval join without pairs: its rows are
 the parts themselves, however many there are.
 
@@ -23,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialize, table
+from orrery.llm.common import table
 
 #: Characters between two parts that still belong together.
 SCOPE = 256
@@ -67,12 +66,6 @@ def hex_spans(text: Column) -> Column:
     return spans_of(text, "hex", rf"(?<![0-9a-f])([0-9a-f]{{{least},}})", least)
 
 
-def parts_of(docs: DataFrame, text: str) -> Column:
-    value = F.coalesce(F.col(text), F.lit(""))
-    found = [hex_spans(value) if k == "hex" else spans_of(value, k, *p) for k, p in (STRONG | WEAK).items()]
-    return F.concat(*found)
-
-
 def written(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -86,11 +79,20 @@ def in_order(spans: Column) -> Column:
 
 
 def linked(docs: DataFrame, keep: list[str], text: str = "text", scope: int = SCOPE) -> DataFrame:
-    """The columns `keep` and `spans`: an array of (kind, start, end) of each row, weak candidates only where they are linked."""
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), *keep, parts_of(docs, text).alias("__parts"))
-    strong = F.filter("__parts", lambda s: s["kind"].isin(*STRONG))
-    weak = F.filter("__parts", lambda s: s["kind"].isin(*WEAK))
-    parts = rows.select("__row", *keep, strong.alias("__strong"), F.explode_outer(F.when(F.size(weak) > 0, F.col("__parts"))).alias("p"))
+    """The columns `keep` and `spans`: an array of (kind, start, end) of each row, weak candidates only where they are linked.
+
+    Rows without a weak candidate have nothing to link and are not shuffled.
+    """
+    value = F.coalesce(F.col(text), F.lit(""))
+    has_weak = F.lit(False)
+    for pattern, _ in WEAK.values():
+        has_weak = has_weak | F.regexp_like(value, F.lit(pattern))
+    strong = [hex_spans(value) if k == "hex" else spans_of(value, k, *p) for k, p in STRONG.items()]
+    settled = docs.where(~has_weak).select(*keep, in_order(F.concat(*strong)).alias("spans"))
+
+    weak = [spans_of(value, k, *p) for k, p in WEAK.items()]
+    rows = docs.where(has_weak).select(F.monotonically_increasing_id().alias("__row"), *keep, F.concat(*strong).alias("__strong"), F.concat(*weak).alias("__weak"))
+    parts = rows.select("__row", *keep, "__strong", F.explode(F.concat("__strong", "__weak")).alias("p"))
     kind, start, end = F.col("p.kind"), F.col("p.start"), F.col("p.end")
     behind = Window.partitionBy("__row").orderBy("p.start", "p.kind").rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy("__row").orderBy(F.col("p.start").desc(), F.col("p.kind").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -102,8 +104,8 @@ def linked(docs: DataFrame, keep: list[str], text: str = "text", scope: int = SC
 
     known = parts.withColumns({"__id": near("access"), "__end": near("endpoint"), "__key": near("assign", "key")})
     told = ((kind == "key") & (F.col("__id") | F.col("__end"))) | ((kind == "endpoint") & (F.col("__id") | F.col("__key")))
-    again = known.groupBy("__row").agg(*(F.first(c).alias(c) for c in (*keep, "__strong")), F.collect_list(F.when(told, F.col("p"))).alias("__weak"))
-    return again.select(*keep, in_order(F.concat("__strong", "__weak")).alias("spans"))
+    again = known.groupBy("__row").agg(*(F.first(c).alias(c) for c in (*keep, "__strong")), F.collect_list(F.when(told, F.col("p"))).alias("__told"))
+    return settled.union(again.select(*keep, in_order(F.concat("__strong", "__told")).alias("spans")))
 
 
 def base_only(spans: Column) -> Column:
