@@ -59,9 +59,9 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
         ranked.withColumns({"cap": F.col("source_size") * float(repeats), "budget": F.sum("source_size").over(every) * share, "all_weight": F.sum("weight").over(every)})
         .withColumns({"full": F.coalesce(F.sum("cap").over(filling), F.lit(0.0)), "full_weight": F.coalesce(F.sum("weight").over(filling), F.lit(0.0))})
         .withColumn("level", (F.col("budget") - F.col("full")) / (F.col("all_weight") - F.col("full_weight")))
-        .withColumn("lowest", F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.col("level"))).over(every))
+        .withColumn("reached", F.max(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.col("level"))).over(every))
     )
-    target = F.when(F.col("lowest").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("lowest") * F.col("weight")))
+    target = F.when(F.col("reached").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("reached") * F.col("weight")))
     return level.select("source", "source_size", "weight", target.alias("target"), "budget")
 
 
@@ -124,8 +124,8 @@ c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, (sum(source_size) OVER ())::DO
 f AS (SELECT *, coalesce(sum(cap) OVER w, 0.0::DOUBLE) AS full_, coalesce(sum(weight) OVER w, 0.0::DOUBLE) AS full_weight FROM c
       WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT *, (budget - full_) / (all_weight - full_weight) AS level FROM f),
-m AS (SELECT *, min(CASE WHEN cap > level * weight THEN level END) OVER () AS lowest FROM l),
-t AS (SELECT source, source_size, CASE WHEN lowest IS NULL THEN cap ELSE least(cap, lowest * weight) END AS target FROM m),
+m AS (SELECT *, max(CASE WHEN cap > level * weight THEN level END) OVER () AS reached FROM l),
+t AS (SELECT source, source_size, CASE WHEN reached IS NULL THEN cap ELSE least(cap, reached * weight) END AS target FROM m),
 q AS (SELECT d.doc_id, d.size, t.source_size, t.target,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.shuffled, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
