@@ -1,35 +1,44 @@
-"""Every registered query of the engine, one for each operator, and the SQL that checks it."""
+"""Every registered query of the engine, one for each operator, and the SQL that checks it.
+
+A query takes the tables of a directory and applies one operator to whole
+tables. Its name begins with the operator's number in the inventory.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+MODULES = ("scalar_queries", "stat_queries", "ordered_queries", "join_queries", "estimator_queries", "project_queries", "plan_queries", "spectral_queries")
+
+
+class Tables:
+    """The tables of one directory, read when first named."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
-def register(name: str, sql: str | None = None):
-    """A decorator that adds a query under its name, with its SQL if SQL can express it."""
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def add(query):
-        QUERIES[name] = query
+
+def query(name: str, sql: str | None = None):
+    """A decorator that registers a query, with its SQL if SQL can express it."""
+
+    def add(run: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: run(Tables(spark, sf_dir))
         if sql:
             ORACLE_SQL[name] = sql
-        return query
+        return run
 
     return add
 
 
-@register(
-    "a06_detection_rate",
-    """SELECT event_type, count(*) AS n, avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END) AS rate
-       FROM events GROUP BY event_type""",
-)
-def a06_detection_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    fired = (F.col("value") > 50).cast("double")
-    return events.groupBy("event_type").agg(F.count("*").alias("n"), F.avg(fired).alias("rate"))
+def load() -> None:
+    for name in MODULES:
+        import_module(f"orrery.plans.{name}")
