@@ -1 +1,163 @@
-"""Queries."""
+"""SP, G, O: spectral tables, graphs and geometry. A spectrum is an embedding, a capture its label, a row its place among the label's vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from orrery.functions import geometry
+from orrery.operators import graph, spectra
+from orrery.plans.registry import Tables, query
+
+LONG = """v AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rw, embedding FROM embeddings), l AS (SELECT label, rw, unnest(range(0, len(embedding))) AS bin, CAST(unnest(embedding) AS DOUBLE) AS level FROM v)"""
+
+
+def spectrum(t: Tables) -> DataFrame:
+    row = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("long") - 1
+    return spectra.bins(t.embeddings.withColumn("rw", row), "embedding", "label", "rw").withColumn("bin", F.col("bin").cast("long"))
+
+
+@query("sp01_time_integration", f"""WITH {LONG} SELECT label, rw // 10 AS w, bin, count(*) AS rows, round(10 * log10(avg(pow(10, level / 10))), 6) AS level FROM l GROUP BY ALL HAVING count(*) >= 2""")
+def sp01(t: Tables) -> DataFrame:
+    long = spectrum(t).withColumn("w", F.call_function("div", F.col("rw"), F.lit(10)))
+    return spectra.integrated(long, ["label", "w"]).withColumn("level", F.round("level", 6))
+
+
+RESIDUAL = f"""{LONG}, b AS (SELECT label, bin, median(level) AS m FROM l GROUP BY ALL), f AS (SELECT l.label, rw, l.bin, level - m AS r FROM l JOIN b ON l.label = b.label AND l.bin = b.bin), w AS (SELECT label, rw, median(r) AS m FROM f GROUP BY ALL), res AS (SELECT f.label, f.rw, f.bin, r - w.m AS residual FROM f JOIN w ON f.label = w.label AND f.rw = w.rw)"""
+
+
+@query("sp02_residual_waterfall", f"WITH {RESIDUAL} SELECT label, rw, bin, round(residual, 6) AS residual FROM res")
+def sp02(t: Tables) -> DataFrame:
+    return spectra.residual(spectrum(t), "label", "rw").withColumn("residual", F.round("residual", 6))
+
+
+@query("sp03_baseline", f"""WITH {LONG}, m AS (SELECT bin, median(level) AS median, count(*) AS coverage FROM l GROUP BY 1) SELECT l.bin, round(median, 6) AS median, coverage, round(1.4826 * median(abs(level - median)), 6) AS spread FROM l JOIN m USING (bin) GROUP BY l.bin, m.median, coverage""")
+def sp03(t: Tables) -> DataFrame:
+    b = spectra.baseline(spectrum(t), [])
+    return b.select("bin", F.round("median", 6).alias("median"), "coverage", F.round("spread", 6).alias("spread"))
+
+
+@query("sp04_registration", f"""WITH {LONG}, p AS (SELECT label, bin, avg(level) AS level FROM l GROUP BY ALL), s AS (SELECT a.label, d AS lag, round(corr(a.level, b.level), 9) AS r FROM p a, (SELECT unnest([-3, -2, -1, 0, 1, 2, 3]) AS d), p b WHERE b.label = a.label + 1 AND b.bin = a.bin + d GROUP BY ALL)
+SELECT label, lag, r FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY r DESC, abs(lag), lag) AS k FROM s) WHERE k = 1""")
+def sp04(t: Tables) -> DataFrame:
+    p = spectrum(t).groupBy("label", "bin").agg(F.avg("level").alias("level"))
+    return spectra.best_lag(p, p.withColumn("label", F.col("label") - 1), ["label"], 3)
+
+
+@query("sp05_novelty", f"""WITH {RESIDUAL}, m AS (SELECT bin, median(abs(residual)) AS mad FROM res GROUP BY 1) SELECT label, rw, count(*) FILTER (residual > greatest(0.2, 3 * mad)) AS hits, round(quantile_cont(residual, 0.99), 6) AS p99 FROM res JOIN m USING (bin) GROUP BY ALL""")
+def sp05(t: Tables) -> DataFrame:
+    res = spectra.residual(spectrum(t), "label", "rw")
+    mad = res.groupBy("bin").agg(F.median(F.abs("residual")).alias("mad"))
+    return res.join(mad, "bin").groupBy("label", "rw").agg(F.count_if(F.col("residual") > F.greatest(F.lit(0.2), 3 * F.col("mad"))).alias("hits"), F.round(F.percentile("residual", F.lit(0.99)), 6).alias("p99"))
+
+
+@query("sp07_slope_bank", f"""WITH {LONG}, p AS (SELECT label, s AS slope, bin - s * rw AS start, rw, level FROM l, (SELECT unnest([-2, -1, 0, 1, 2]) AS s)) SELECT label, slope, start, round(avg(level) FILTER (rw % 2 = 0), 6) AS train, round(avg(level) FILTER (rw % 2 = 1), 6) AS holdout, count(*) AS points FROM p GROUP BY ALL""")
+def sp07(t: Tables) -> DataFrame:
+    bank = spectra.slope_bank(spectrum(t), "label", "rw", [-2, -1, 0, 1, 2])
+    return bank.withColumns({"train": F.round("train", 6), "holdout": F.round("holdout", 6)})
+
+
+@query("sp08_comb", f"""WITH {LONG} SELECT label, rw, bin - k * 7 AS centre, round(sum(level) / sqrt(count(*)), 6) AS score, count(*) AS teeth FROM l, (SELECT unnest([-2, -1, 0, 1, 2]) AS k) GROUP BY ALL""")
+def sp08(t: Tables) -> DataFrame:
+    return spectra.comb(spectrum(t), ["label", "rw"], 7, 5).withColumn("score", F.round("score", 6))
+
+
+@query("sp09_path_integration", f"""WITH {LONG} SELECT label, rw // 8 AS dwell, round(avg(level) FILTER (bin = rw % 64), 6) AS on_path, round(avg(level) FILTER (bin = (rw + 17) % 64), 6) AS control FROM l GROUP BY ALL""")
+def sp09(t: Tables) -> DataFrame:
+    long, b, r = spectrum(t), F.col("bin"), F.col("rw")
+    on = lambda shift: F.round(F.avg(F.when(b == (r + shift) % 64, F.col("level"))), 6)
+    return long.groupBy("label", F.call_function("div", r, F.lit(8)).alias("dwell")).agg(on(0).alias("on_path"), on(17).alias("control"))
+
+
+@query("sp10_event_segmentation")
+def sp10(t: Tables) -> DataFrame:
+    res = spectra.residual(spectrum(t), "label", "rw").where("residual > 0.2")
+    return spectra.pixel_events(res, "label", "rw", 4096).where("pixels >= 2")
+
+
+@query("sp12_offset_recurrence", f"""WITH {LONG} SELECT label, bin, count(*) AS hits, round(median(level), 6) AS median FROM l WHERE level > 0.15 GROUP BY ALL HAVING count(*) >= 3""")
+def sp12(t: Tables) -> DataFrame:
+    return spectrum(t).where("level > 0.15").groupBy("label", "bin").agg(F.count("*").alias("hits"), F.round(F.median("level"), 6).alias("median")).where("hits >= 3")
+
+
+@query("sp15_envelope", f"""WITH {LONG} SELECT label, rw, min(bin) AS low, max(bin) AS high, round(sum(bin * level) / sum(level), 6) AS centre FROM l WHERE level > 0.1 GROUP BY ALL""")
+def sp15(t: Tables) -> DataFrame:
+    return spectrum(t).where("level > 0.1").groupBy("label", "rw").agg(F.min("bin").alias("low"), F.max("bin").alias("high"), F.round(F.sum(F.col("bin") * F.col("level")) / F.sum("level"), 6).alias("centre"))
+
+
+@query("sp16_adjacent_translation", f"""WITH {LONG}, s AS (SELECT a.label, a.rw, d AS lag, round(corr(a.level, b.level), 9) AS r FROM l a, (SELECT unnest([-2, -1, 0, 1, 2]) AS d), l b WHERE b.label = a.label AND b.rw = a.rw + 1 AND b.bin = a.bin + d GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY label, rw ORDER BY r DESC, abs(lag), lag) AS k FROM s) SELECT label, rw, lag, CAST(sum(lag) OVER (PARTITION BY label ORDER BY rw) AS BIGINT) AS path FROM k WHERE k = 1""")
+def sp16(t: Tables) -> DataFrame:
+    long = spectrum(t)
+    steps = spectra.best_lag(long, long.withColumn("rw", F.col("rw") - 1), ["label", "rw"], 2)
+    return steps.select("label", "rw", "lag", F.sum("lag").over(Window.partitionBy("label").orderBy("rw")).alias("path"))
+
+
+@query("sp17_broadband_fraction", f"""WITH {RESIDUAL}, fr AS (SELECT label, rw, avg(CASE WHEN abs(residual) > 0.1 THEN 1.0::DOUBLE ELSE 0 END) AS share FROM res GROUP BY ALL) SELECT label, count(*) AS n, round(median(share), 9) AS median, round(avg(CASE WHEN share > 0.5 THEN 1.0::DOUBLE ELSE 0 END), 9) AS broadband FROM fr GROUP BY 1""")
+def sp17(t: Tables) -> DataFrame:
+    f = spectra.residual(spectrum(t), "label", "rw").groupBy("label", "rw").agg(F.avg((F.abs("residual") > 0.1).cast("double")).alias("share"))
+    return f.groupBy("label").agg(F.count("*").alias("n"), F.round(F.median("share"), 9).alias("median"), F.round(F.avg((F.col("share") > 0.5).cast("double")), 9).alias("broadband"))
+
+
+@query("sp18_tracker_ensemble", f"""WITH {LONG} SELECT tracker, count(*) AS candidates, count(DISTINCT label) AS captures FROM (SELECT 'peak' AS tracker, label, rw, bin FROM l WHERE level > 0.3 UNION ALL SELECT 'trough', label, rw, bin FROM l WHERE level < -0.3) GROUP BY 1""")
+def sp18(t: Tables) -> DataFrame:
+    found = spectrum(t).withColumn("tracker", F.when(F.col("level") > 0.3, "peak").when(F.col("level") < -0.3, "trough")).where("tracker is not null")
+    return found.groupBy("tracker").agg(F.count("*").alias("candidates"), F.count_distinct("label").alias("captures"))
+
+
+EDGES = """n AS (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS norm FROM embeddings),
+e AS (SELECT x.vec_id AS l, y.vec_id AS r FROM n x JOIN n y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda z: CAST(z[1] AS DOUBLE) * z[2])) / (x.norm * y.norm) > 0.3)"""
+REACH = f"""WITH RECURSIVE {EDGES}, bi AS (SELECT l AS a, r AS b FROM e UNION SELECT r, l FROM e), reach AS (SELECT a, a AS b FROM bi UNION SELECT reach.a, bi.b FROM reach JOIN bi ON reach.b = bi.a), c AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY 1)"""
+
+
+@query("g01_connected_components", f"{REACH} SELECT node, component FROM c")
+def g01(t: Tables) -> DataFrame:
+    return graph.components(spectra.cosine_pairs(t.embeddings, "vec_id", "embedding", 0.3, "label"), "l", "r")
+
+
+@query("g02_similarity", f"""WITH {EDGES} SELECT l, r FROM e""")
+def g02(t: Tables) -> DataFrame:
+    return spectra.cosine_pairs(t.embeddings, "vec_id", "embedding", 0.3, "label").select("l", "r")
+
+
+@query("g03_families", f"""{REACH}, w AS (SELECT vec_id, coalesce(component, vec_id) AS component FROM embeddings LEFT JOIN c ON node = vec_id) SELECT sha256(array_to_string(list_sort(list(vec_id)), ',')) AS family, count(*) AS size FROM w GROUP BY component""")
+def g03(t: Tables) -> DataFrame:
+    labels = graph.components(spectra.cosine_pairs(t.embeddings, "vec_id", "embedding", 0.3, "label"), "l", "r")
+    return graph.families(labels, t.embeddings, "vec_id")
+
+
+ANGLES = "a AS (SELECT event_id, radians(user_id * 2.0 - 150) AS lon, radians(value % 90) AS lat FROM events)"
+
+
+@query("o02_earth_rotation", """
+SELECT event_id, round(value * cos(th) + user_id * sin(th), 6) AS x, round(-value * sin(th) + user_id * cos(th), 6) AS y FROM (SELECT event_id, value, user_id, radians(event_id % 360) AS th FROM events)""")
+def o02(t: Tables) -> DataFrame:
+    x, y = geometry.rotated(F.col("value"), F.col("user_id"), F.radians(F.col("event_id") % 360))
+    return t.events.select("event_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+@query("o03_observer_position", f"""WITH {ANGLES}, n AS (SELECT *, 6378.137 / sqrt(1 - 0.0066943799901413165 * sin(lat) * sin(lat)) AS nu FROM a) SELECT event_id, round(nu * cos(lat) * cos(lon), 6) AS x, round(nu * cos(lat) * sin(lon), 6) AS y, round(nu * (1 - 0.0066943799901413165) * sin(lat), 6) AS z FROM n""")
+def o03(t: Tables) -> DataFrame:
+    x, y, z = geometry.observer(F.radians(F.col("value") % 90), F.radians(F.col("user_id") * 2.0 - 150), F.lit(0.0))
+    return t.events.select("event_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(z, 6).alias("z"))
+
+
+@query("o04_doppler", "SELECT event_id, round(-11.7e9 * (value / 50 - 3) / 299792.458, 4) AS doppler FROM events")
+def o04(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.round(geometry.doppler(F.lit(11.7e9), F.col("value") / 50 - 3), 4).alias("doppler"))
+
+
+@query("o06_pass_finding", """
+WITH s AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s, value - 60 AS e FROM events), g AS (SELECT *, sum(CASE WHEN e >= 0 AND coalesce(pe, -1) < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM (SELECT *, lag(e) OVER w AS pe, lag(s) OVER w AS ps FROM s WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)))
+SELECT user_id, CAST(p AS BIGINT) AS pass, round(min(CASE WHEN pe IS NULL OR pe >= 0 THEN s ELSE ps + (s - ps) * (0 - pe) / (e - pe) END), 3) AS rise, round(max(e), 6) AS culmination, count(*) AS n FROM g WHERE e >= 0 GROUP BY ALL""")
+def o06(t: Tables) -> DataFrame:
+    from orrery.functions.scalars import micros
+
+    series = t.events.select("user_id", "event_id", (micros(F.col("ts")) / 1e6).alias("s"), (F.col("value") - 60).alias("e"))
+    found = geometry.passes(series, ["user_id"], ["s", "event_id"], "s", "e")
+    return found.select("user_id", "pass", F.round("rise", 3).alias("rise"), F.round("culmination", 6).alias("culmination"), "n")
+
+
+@query("o10_altitude_proxy", "SELECT l_orderkey, l_linenumber, round(56.0 * 56.0 / l_quantity, 6) AS altitude FROM lineitem")
+def o10(t: Tables) -> DataFrame:
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.round(geometry.overhead_altitude(F.lit(56.0), F.col("l_quantity")), 6).alias("altitude"))
