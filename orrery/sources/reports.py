@@ -6,22 +6,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from orrery.operators import currency, project
 
 MATCH = "struct<exact_match:struct<frequency_offset_hz:double,epoch_sample:bigint,score:double>,match_score_margin:double>"
 #: The read contract of a capture report.
-REPORT = T._parse_datatype_string(
-    f"""capture_manifest struct<identity:struct<radio_id:string,serial:string,receiver_labels:array<string>>,metadata:struct<channel_number:int,region:string,observation_mode:string>,created_utc_ns:bigint,gain_mode:string,sample_statistics:struct<receivers:array<struct<rms_magnitude:double,near_full_scale_fraction:double>>>>,
+REPORT = f"""
+    capture_manifest struct<identity:struct<radio_id:string,serial:string,receiver_labels:array<string>>,metadata:struct<channel_number:int,region:string,observation_mode:string>,created_utc_ns:bigint,gain_mode:string,sample_statistics:struct<receivers:array<struct<rms_magnitude:double,near_full_scale_fraction:double>>>>,
     exact_checks array<struct<start_s:double,candidate:boolean,qualified:boolean,cfo_difference_hz:double,receiver_candidates:array<boolean>,receiver_qualified:array<boolean>,receivers:array<struct<acquisition:{MATCH}>>>>,
     lnb_calibration struct<applied:boolean,reason:string>"""
-)
 #: Fields that a report must have; a missing one reads as null, so it is asserted.
 REQUIRED = ("capture_manifest.identity.radio_id", "capture_manifest.created_utc_ns", "exact_checks")
 
 
-def read_reports(spark: SparkSession, path: str, schema: T.StructType = REPORT, required: Sequence[str] = REQUIRED) -> DataFrame:
+def read_reports(spark: SparkSession, path: str, schema: str = REPORT, required: Sequence[str] = REQUIRED) -> DataFrame:
     """Reports with their file name; a document of another shape, or without a required field, fails the job."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path).withColumn("path", F.col("_metadata.file_path"))
     missing = currency.all_reasons(**{r: F.col(r).isNull() for r in required})
@@ -33,7 +31,7 @@ def probe_rows(reports: DataFrame) -> DataFrame:
     """One row for each probe and receiver; arrays that are too short give nulls."""
     m = F.col("capture_manifest")
     name = F.regexp_extract("path", r"([^/]+)\.json$", 1)
-    checks = reports.select(name.alias("recording"), m["identity"].alias("identity"), m["metadata"].alias("metadata"), m["gain_mode"].alias("gain_mode"), m["created_utc_ns"].alias("created_utc_ns"), m["sample_statistics.receivers"].alias("levels"), F.posexplode("exact_checks").alias("probe", "c"))
+    checks = reports.select(name.alias("recording"), m["identity"].alias("identity"), m["metadata"].alias("metadata"), m["gain_mode"].alias("gain_mode"), m["created_utc_ns"].alias("created_utc_ns"), m["sample_statistics"]["receivers"].alias("levels"), F.posexplode("exact_checks").alias("probe", "c"))
     rx = checks.withColumn("receiver", F.explode(F.sequence(F.lit(0), F.greatest(F.size("identity.receiver_labels"), F.lit(1)) - 1)))
     at = lambda c: F.get(c, F.col("receiver"))
     match = at(F.col("c.receivers"))["acquisition"]
@@ -41,7 +39,7 @@ def probe_rows(reports: DataFrame) -> DataFrame:
         "recording", project.stamp_date(F.col("recording")).alias("date"), "probe", "receiver", F.col("identity.radio_id").alias("radio_id"), at(F.col("identity.receiver_labels")).alias("label"),
         F.col("metadata.channel_number").alias("channel"), F.col("metadata.region").alias("region"), "gain_mode", "created_utc_ns", F.col("c.start_s").alias("start_s"), F.col("c.candidate").alias("candidate"), F.col("c.qualified").alias("qualified"),
         at(F.col("c.receiver_candidates")).alias("receiver_candidate"), at(F.col("c.receiver_qualified")).alias("receiver_qualified"), F.col("c.cfo_difference_hz").alias("cfo_difference_hz"),
-        match["exact_match.frequency_offset_hz"].alias("offset_hz"), match["exact_match.epoch_sample"].alias("epoch_sample"), match["exact_match.score"].alias("score"), match["match_score_margin"].alias("margin"),
+        match["exact_match"]["frequency_offset_hz"].alias("offset_hz"), match["exact_match"]["epoch_sample"].alias("epoch_sample"), match["exact_match"]["score"].alias("score"), match["match_score_margin"].alias("margin"),
         at(F.col("levels"))["rms_magnitude"].alias("rms"), at(F.col("levels"))["near_full_scale_fraction"].alias("near_full_scale"),
     )
 
