@@ -14,9 +14,11 @@ the candidates:
    region is at most DENSE long (adaptive depth), and neighbours in the sorted
    order are compared where no depth helps. Proposals are confirmed on the full
    sets, and confirmed links give components.
-2. All runs are read again with each class's component, and every pair in a
-   run that the sketch cannot rule out and whose components still differ is
-   confirmed as well, so no depth, hub or nearest choice of round 1 loses a link.
+2. All runs are read again with each class's component and a longer sketch of
+   LONG_HASHES values, which only classes with some likely partner get. Every
+   pair in a run that this sketch cannot rule out and whose components still
+   differ is confirmed as well, so no depth, hub or nearest choice of round 1
+   loses a link, and few pairs below the threshold are compared in full.
 
 Nothing is paired inside a component, so a group of thousands of near copies
 costs about two pairs a member instead of all its pairs, and a run is spread
@@ -53,10 +55,12 @@ TREES, DEPTH, SHALLOW = 12, 4, 2
 HASHES = 128
 #: Equal sketch values of a pair that is worth confirming: 3.5 deviations below what the threshold gives.
 LEAST_EQUAL = 81
+#: The same for round 2, where only classes with some likely partner remain and a longer sketch tells non-links apart.
+LONG_HASHES, LEAST_LONG = 1024, 736
 #: The longest region in which each class is compared with each other in round 1.
 DENSE = 128
 
-_SEEDS = np.random.default_rng(5).integers(0, 1 << 63, (2, HASHES), dtype=np.uint64)
+_SEEDS = np.random.default_rng(5).integers(0, 1 << 63, (2, LONG_HASHES), dtype=np.uint64)
 FACTORS, OFFSETS = _SEEDS[0] | np.uint64(1), _SEEDS[1]
 #: Equal half bytes of two bytes, by their exclusive or.
 EQUAL = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)
@@ -94,16 +98,23 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
+def min_hashes(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
     """Sixteen bits of each MinHash value of each non-empty set, row by row."""
+    out = np.empty((len(sets), hashes), np.uint16)
+    if not sets:
+        return out
     flat = np.concatenate(sets)
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    out = np.empty((len(sets), HASHES), np.uint16)
-    for k in range(HASHES):
+    for k in range(hashes):
         out[:, k] = mixed(np.minimum.reduceat(flat * FACTORS[k] + OFFSETS[k], starts)) >> np.uint64(48)
     return out
 
 
+def sketches(values: np.ndarray) -> np.ndarray:
+    """Four bits of each value, two values a byte."""
+    return ((values[:, 0::2] & 15) << 4 | values[:, 1::2] & 15).astype(np.uint8)
+
+
 def shingled(df: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id, n, set_key, orders, sketch): of each row the set's size and identity, and its MinHash values; null where it has no set."""
 
@@ -112,9 +123,9 @@ def shingled(df: DataFrame, key: str, text: str) -> DataFrame:
             for part in slices(batch, text):
                 sets = shingle_sets(text_array(part, text))
                 full = [i for i, s in enumerate(sets) if len(s)]
-                values = min_hashes([sets[i] for i in full]) if full else np.zeros((0, HASHES), np.uint16)
+                values = min_hashes([sets[i] for i in full])
                 orders = values[:, : TREES * DEPTH].astype(">u2")
-                sketch = ((values[:, 0::2] & 15) << 4 | values[:, 1::2] & 15).astype(np.uint8)
+                sketch = sketches(values)
                 columns: list[list] = [[None] * len(sets) for _ in range(3)]
                 for j, i in enumerate(full):
                     columns[0][i], columns[1][i], columns[2][i] = xxhash.xxh3_128_digest(sets[i].tobytes()), orders[j].tobytes(), sketch[j].tobytes()
@@ -144,7 +155,7 @@ def runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[
     def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         out = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names if n != "sketch"}
         sketch = batch.column("sketch")
-        out["sketch"] = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(len(sketch), HASHES // 2)
+        out["sketch"] = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(len(sketch), -1)
         return out
 
     def cut(x: dict[str, np.ndarray], last: bool) -> Iterator[dict[str, np.ndarray]]:
@@ -169,14 +180,14 @@ def runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[
 
 
 def equal_values(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return EQUAL[a[:, None, :] ^ b[None, :, :]].sum(axis=2, dtype=np.uint8)
+    return EQUAL[a[:, None, :] ^ b[None, :, :]].sum(axis=2, dtype=np.uint16)
 
 
-def likely(run: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def likely(run: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, least: int = LEAST_EQUAL) -> tuple[np.ndarray, np.ndarray]:
     """Equal values of each pair of rows a and rows b, and whether the pair may be a link by sketch and size."""
     equal = equal_values(run["sketch"][a], run["sketch"][b])
     na, nb = run["n"][a][:, None], run["n"][b][None, :]
-    fits = (equal >= LEAST_EQUAL) & (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (run["node"][a][:, None] != run["node"][b][None, :])
+    fits = (equal >= least) & (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (run["node"][a][:, None] != run["node"][b][None, :])
     return equal, fits
 
 
@@ -241,10 +252,10 @@ def remainder(classes: DataFrame) -> DataFrame:
             sizes = np.bincount(group)
             rank = np.argsort(np.argsort(-sizes, kind="stable"))[group]  # the largest component has rank 0
             every, rest = np.arange(len(node)), np.flatnonzero(rank > 0)
-            step = max(1, (1 << 22) // (len(node) * HASHES // 2))
+            step = max(1, (1 << 22) // (len(node) * LONG_HASHES // 2))
             for at in range(0, len(rest), step):
                 rows = rest[at : at + step]
-                _, fits = likely(run, rows, every)
+                _, fits = likely(run, rows, every, LEAST_LONG)
                 i, j = np.nonzero(fits & (rank[every][None, :] < rank[rows][:, None]))  # each pair once, from the smaller component
                 if len(i):
                     x, y = rows[i], every[j]
@@ -261,16 +272,19 @@ def smaller_first(pairs: DataFrame) -> DataFrame:
 
 
 def full_sets(df: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, hashes): the full sets of the nodes, five bytes a shingle."""
+    """(node, n, hashes, sketch): the full sets of the nodes, five bytes a shingle, and their long sketches."""
     wanted = df.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).join(nodes, "node", "left_semi")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = [np.ascontiguousarray((s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() for s in shingle_sets(text_array(part, "text"))]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(rows, pa.binary())], names=["node", "hashes"])
+                sets = shingle_sets(text_array(part, "text"))
+                full = [i for i, s in enumerate(sets) if len(s)]
+                rows = [np.ascontiguousarray((sets[i] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() for i in full]
+                long = [x.tobytes() for x in sketches(min_hashes([sets[i] for i in full], LONG_HASHES))]
+                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(full, pa.int64())), pa.array([len(sets[i]) for i in full], pa.int64()), pa.array(rows, pa.binary()), pa.array(long, pa.binary())], names=["node", "n", "hashes", "sketch"])
 
-    return wanted.mapInArrow(build, "node long, hashes binary").where(F.octet_length("hashes") > 0)
+    return wanted.mapInArrow(build, "node long, n long, hashes binary, sketch binary")
 
 
 def wide(raw: bytes) -> np.ndarray:
@@ -332,7 +346,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     labels = components(links)
 
     # Only classes with some likely partner are in `sets`; the second round needs no others.
-    open_ = nodes.join(sets.select("node").distinct(), "node", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = nodes.drop("sketch").join(sets.select("node", "n", "sketch").dropDuplicates(["node", "n"]), ["node", "n"]).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     second = materialize(smaller_first(remainder(materialize(open_))).join(first, ["x", "nx", "y", "ny"], "left_anti"))
     release(spark)
     more = materialize(confirmed(second, sets))
