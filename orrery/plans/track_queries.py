@@ -153,3 +153,12 @@ def sp14(t: Tables) -> DataFrame:
     res = spectra.residual(spectrum(t), "label", "rw").where("residual > 0.15")
     events = spectra.pixel_events(res, "label", "rw", 4096).where("rows >= 2")
     return ordered.newest(events, ["label"], [F.desc("pixels"), "event"], 64, "place")
+
+
+@query("o09_snapshot_validation", """
+SELECT o_custkey, count(*) AS sets, CASE WHEN count(*) < 5 THEN 'too few' WHEN count(*) > 15 THEN 'too many' WHEN count(DISTINCT o_orderpriority || o_orderstatus || CAST(o_totalprice AS VARCHAR)) < count(*) THEN 'repeated numbers' WHEN max(o_orderdate) < TIMESTAMP '1998-01-01' THEN 'stale' END AS refused FROM orders GROUP BY 1""")
+def o09(t: Tables) -> DataFrame:
+    from orrery.operators.orbit import validated
+
+    numbered = t.orders.withColumn("number", F.concat("o_orderpriority", "o_orderstatus", F.col("o_totalprice").cast("string")))
+    return validated(numbered, "o_custkey", "number", "o_orderdate", 5, 15, F.expr("timestamp_ntz '1998-01-01 00:00:00'"))

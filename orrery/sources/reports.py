@@ -88,3 +88,9 @@ def build(spark: SparkSession, reports: str, table: str, ledger: str) -> int:
 def detection_rates(probes: DataFrame) -> DataFrame:
     """Probes and detections of each receiver."""
     return probes.groupBy("radio_id", "label").agg(F.count("*").alias("probes"), F.avg(F.coalesce("receiver_candidate", F.lit(False)).cast("int")).alias("rate"))
+
+
+def write_listing(df: DataFrame, folder: str) -> None:
+    """The listing as CSV with a header and as JSON lines."""
+    df.write.mode("overwrite").option("header", True).csv(f"{folder}/csv")
+    df.write.mode("overwrite").json(f"{folder}/jsonl")

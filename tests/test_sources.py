@@ -80,3 +80,11 @@ def test_nmea_checksums(spark):
     lines = [sentence("GPGGA,120000,4807.038,N,01131.000,E,1,08,0.9,545.4,M,46.9,M,,"), "$GPRMC,120000,A*00", "noise"]
     got = text.nmea(spark.createDataFrame([(x,) for x in lines], "value string")).select("kind", "valid", F.size("fields").alias("n")).collect()
     assert [(r.kind, r.valid) for r in got][:2] == [("GGA", True), ("RMC", False)] and got[0].n == 15 and not got[2].valid
+
+
+def test_listing_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a,b", None), (2, 'q"x', 2.5)], "id int, name string, v double")
+    reports.write_listing(df, str(tmp_path))
+    csv = spark.read.schema("id int, name string, v double").option("header", True).csv(f"{tmp_path}/csv")
+    assert sorted(csv.collect()) == sorted(df.collect())
+    assert sorted(r.id for r in spark.read.json(f"{tmp_path}/jsonl").collect()) == [1, 2]
