@@ -305,3 +305,70 @@ SELECT p_partkey FROM part WHERE sha256('{"p_brand":"' || p_brand || '","p_size"
 def c14(t: Tables) -> DataFrame:
     keyed = t.part.select("p_partkey", fn.canonical_digest("p_brand", "p_size").alias("digest"))
     return keyed.join(keyed.where("p_partkey % 3 = 0").select("digest"), "digest", "left_anti").select("p_partkey")
+
+
+@query("p04_run_summary", """
+SELECT o_orderkey, o_orderstatus AS state, n, round(coverage, 6) AS coverage FROM orders JOIN (SELECT l_orderkey, count(*) AS n, sum(l_quantity) / 350 AS coverage FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""")
+def p04(t: Tables) -> DataFrame:
+    s = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.struct(F.count("*").alias("n"), (F.sum("l_quantity") / 350).alias("coverage")).alias("summary"))
+    return t.orders.join(s, "o_orderkey").select("o_orderkey", F.col("o_orderstatus").alias("state"), "summary.n", F.round("summary.coverage", 6).alias("coverage"))
+
+
+@query("p07_confirmed_events", """
+WITH c AS (SELECT o_orderkey, o_orderstatus = 'F' AS confirmed FROM orders), l AS (SELECT l_orderkey, count(*) AS links FROM lineitem WHERE l_discount >= 0.08 GROUP BY 1)
+SELECT o_orderkey, links FROM c LEFT JOIN l ON o_orderkey = l_orderkey WHERE confirmed OR links IS NOT NULL""")
+def p07(t: Tables) -> DataFrame:
+    """A confirmed recording without links is one event with nothing known about it."""
+    links = t.lineitem.where("l_discount >= 0.08").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("links"))
+    return t.orders.join(links, "o_orderkey", "left").where("o_orderstatus = 'F' or links is not null").select("o_orderkey", "links")
+
+
+@query("p09_decodes", "SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_returnflag <> 'N' THEN l_discount END, least(l_discount, l_tax)) AS accuracy FROM lineitem")
+def p09(t: Tables) -> DataFrame:
+    soft = F.when(F.col("l_returnflag") != "N", F.col("l_discount"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.coalesce(soft, F.least("l_discount", "l_tax")).alias("accuracy"))
+
+
+@query("s02_multi_kind_scan", """
+SELECT kind, count(*) AS documents, count(DISTINCT k) AS recordings FROM (SELECT 'analysis' AS kind, o_orderkey AS k FROM orders UNION ALL SELECT 'track', l_orderkey FROM lineitem UNION ALL SELECT 'association', l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1""")
+def s02(t: Tables) -> DataFrame:
+    kinds = {"analysis": t.orders.select(F.col("o_orderkey").alias("k")), "track": t.lineitem.select(F.col("l_orderkey").alias("k")), "association": t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k"))}
+    counts = [df.agg(F.count("*").alias("documents"), F.count_distinct("k").alias("recordings")).select(F.lit(n).alias("kind"), "documents", "recordings") for n, df in kinds.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("s04_receipt_discovery", """
+SELECT regexp_extract(path, 'runs/([^/]+)/([^/]+)/completion.json', 1) AS pipeline, regexp_extract(path, 'runs/([^/]+)/([^/]+)/completion.json', 2) AS recording FROM (SELECT 'runs/p' || o_custkey % 3 || '/r' || o_orderkey || '/completion.json' AS path, o_orderstatus FROM orders) WHERE o_orderstatus = 'F'""")
+def s04(t: Tables) -> DataFrame:
+    path = F.concat(F.lit("runs/p"), (F.col("o_custkey") % 3).cast("string"), F.lit("/r"), F.col("o_orderkey").cast("string"), F.lit("/completion.json"))
+    pattern = "runs/([^/]+)/([^/]+)/completion.json"
+    done = t.orders.where("o_orderstatus = 'F'").select(path.alias("path"))
+    return done.select(F.regexp_extract("path", pattern, 1).alias("pipeline"), F.regexp_extract("path", pattern, 2).alias("recording"))
+
+
+@query("s09_schema_evolution", """
+SELECT era, count(*) AS n, count(tax) AS with_tax FROM (SELECT 'old' AS era, NULL::DOUBLE AS tax FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' UNION ALL SELECT 'new', l_tax FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01') GROUP BY 1""")
+def s09(t: Tables) -> DataFrame:
+    cut = F.expr("timestamp_ntz '1996-01-01 00:00:00'")
+    old = t.lineitem.where(F.col("l_shipdate") < cut).select(F.lit("old").alias("era"), "l_orderkey")
+    new = t.lineitem.where(F.col("l_shipdate") >= cut).select(F.lit("new").alias("era"), "l_orderkey", F.col("l_tax").alias("tax"))
+    return old.unionByName(new, allowMissingColumns=True).groupBy("era").agg(F.count("*").alias("n"), F.count("tax").alias("with_tax"))
+
+
+@query("s14_waterfall_rows", "SELECT vec_id, unnest(range(0, len(embedding))) AS bin, round(CAST(unnest(embedding) AS DOUBLE), 6) AS level FROM embeddings")
+def s14(t: Tables) -> DataFrame:
+    return t.embeddings.select("vec_id", F.posexplode("embedding").alias("bin", "level")).select("vec_id", F.col("bin").cast("long").alias("bin"), F.round(F.col("level").cast("double"), 6).alias("level"))
+
+
+@query("c09_projection_parity", """
+WITH a AS (SELECT o_custkey, round(sum(o_totalprice), 1) AS v FROM orders GROUP BY 1), b AS (SELECT o_custkey, round(sum(CASE WHEN o_custkey % 97 = 0 THEN 0 ELSE o_totalprice END), 1) AS v FROM orders GROUP BY 1)
+SELECT 'left' AS side, count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'right', count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
+def c09(t: Tables) -> DataFrame:
+    a = t.orders.groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 1).alias("v"))
+    b = t.orders.groupBy("o_custkey").agg(F.round(F.sum(F.when(F.col("o_custkey") % 97 == 0, 0.0).otherwise(F.col("o_totalprice"))), 1).alias("v"))
+    return currency.parity(a, b)
+
+
+@query("c15_build_states", f"WITH {DRIFT} SELECT state, count(*) AS n FROM d GROUP BY 1")
+def c15(t: Tables) -> DataFrame:
+    return drifted(t).groupBy("state").agg(F.count("*").alias("n"))
