@@ -103,7 +103,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: s
         probe = F.explode(F.array(*(F.struct(F.lit(i).alias("segment"), segment_of(there, i).alias("own")) for i in range(m))))
         probes = open_.withColumn("p", probe).withColumn("mask", F.explode(F.array(*map(F.lit, masks(radius)))))
         probes = probes.select(*q_names, F.col("p.segment").alias("segment"), F.col("p.own").bitwiseXOR(F.col("mask")).alias("value"))
-        found = probes.join(index, ["segment", "value"]).select(*q_names, *names, distance(there, here).alias("d")).distinct()
+        # A merge join: Spark would take the probes for as small as the queries they come from, and broadcast them.
+        found = probes.join(index.hint("merge"), ["segment", "value"]).select(*q_names, *names, distance(there, here).alias("d")).distinct()
         nearest = Window.partitionBy(*q_names).orderBy("d", *names)
         # k codes hold k rows at least; equal distances need all their codes, so ties at the k-th place stay.
         ranked = found.union(best).distinct().withColumn("r", F.rank().over(Window.partitionBy(*q_names).orderBy("d"))).where(F.col("r") <= k).drop("r")
