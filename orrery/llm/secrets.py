@@ -81,7 +81,7 @@ def in_order(spans: Column) -> Column:
 def linked(docs: DataFrame, keep: list[str], text: str = "text", scope: int = SCOPE) -> DataFrame:
     """The columns `keep` and `spans`: an array of (kind, start, end) of each row, weak candidates only where they are linked.
 
-    Rows without a weak candidate have nothing to link and are not shuffled.
+    Rows without a match of a weak pattern have nothing to link and are not shuffled; a row whose matches are all too short is kept without parts.
     """
     value = F.coalesce(F.col(text), F.lit(""))
     has_weak = F.lit(False)
@@ -92,7 +92,7 @@ def linked(docs: DataFrame, keep: list[str], text: str = "text", scope: int = SC
 
     weak = [spans_of(value, k, *p) for k, p in WEAK.items()]
     rows = docs.where(has_weak).select(F.monotonically_increasing_id().alias("__row"), *keep, F.concat(*strong).alias("__strong"), F.concat(*weak).alias("__weak"))
-    parts = rows.select("__row", *keep, "__strong", F.explode(F.concat("__strong", "__weak")).alias("p"))
+    parts = rows.select("__row", *keep, "__strong", F.explode_outer(F.concat("__strong", "__weak")).alias("p"))
     kind, start, end = F.col("p.kind"), F.col("p.start"), F.col("p.end")
     behind = Window.partitionBy("__row").orderBy("p.start", "p.kind").rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy("__row").orderBy(F.col("p.start").desc(), F.col("p.kind").desc()).rowsBetween(Window.unboundedPreceding, -1)

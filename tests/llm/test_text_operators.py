@@ -160,6 +160,15 @@ def test_weak_parts_need_their_complement(spark):
     assert clean[0] == "id [secret] then [secret]" and clean[1] == texts[1] and clean[3] == texts[3]
 
 
+def test_rows_with_short_weak_matches_stay(spark):
+    texts = ["http://t.co", "see https://a.b now", "http://www", "clean", None, "password=abcdefghijklmnop http://t.co"]
+    df = spark.createDataFrame([*enumerate(texts), (None, "http://t.co"), (0, "http://t.co")], "doc_id long, text string")
+    got = [(r.doc_id, [s.kind for s in r.spans]) for r in secrets.linked(df, ["doc_id"]).collect()]
+    assert sorted(got, key=str) == sorted([(0, []), (0, []), (1, []), (2, []), (3, []), (4, []), (5, ["assign"]), (None, [])], key=str)
+    clean = [r.text for r in secrets.without_secrets(df).collect()]
+    assert sorted(clean, key=str) == sorted([*texts[:5], "[secret] http://t.co", "http://t.co", "http://t.co"], key=str)
+
+
 def test_sha_of_no_spans(spark):
     r = secrets.linked(spark.createDataFrame([(1, "x")], "doc_id long, text string"), ["doc_id"]).select(F.sha2(secrets.written(secrets.base_only(F.col("spans"))), 256).alias("h")).first()
     assert r.h == hashlib.sha256(b"").hexdigest()
