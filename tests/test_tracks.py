@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import math
+import random
+from collections import defaultdict
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from orrery.operators import tracks
+from orrery.plans import join_queries, registry, track_queries
+
+START = dt.datetime(2024, 1, 1)
+
+
+def events_of(spark, rows):
+    """(event_id, user_id, second, type, value) as the table of events."""
+    stamped = [(i, u, START + dt.timedelta(seconds=s), k, v) for i, u, s, k, v in rows]
+    return spark.createDataFrame(stamped, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double")
 
 
 def test_points_join_the_first_representative(spark):
@@ -25,3 +40,43 @@ def test_poisson_interval(spark):
     want = {0: (0.0, 3.6889), 1: (0.0253, 5.5716), 10: (4.7954, 18.3904), 100: (81.3634, 121.6266)}
     for r in got:
         assert (r.b.low, r.b.high) == pytest.approx(want[r.n], abs=2e-3)
+
+
+def test_whole_matches_take_every_user(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(60), rng.randrange(4 * 86_400), rng.choice(["view", "click", "error"]), rng.random() * 100) for i in range(1500)]
+    t = SimpleNamespace(events=events_of(spark, rows))
+    days = defaultdict(list)
+    for _, u, s, k, v in rows:
+        days[u, k, s // 86_400].append((s, v))
+    epoch = int((START - dt.datetime(1970, 1, 1)).total_seconds())
+    tr = [(u, k, epoch + min(x)[0], epoch + max(x)[0], sum(v for _, v in x) / len(x)) for (u, k, _), x in days.items()]
+    rate, hypotheses = {}, {}
+    for u, k, a, b, m in tr:
+        if k == "view":
+            met = sorted((abs(m - cm), c) for c, j, ca, cb, cm in tr if j == "click" and a <= cb and ca <= b and b > a)
+            if met:
+                rate[u, a] = (met[0][1], len(met) == 1 or met[1][0] - met[0][0] >= 0.15)
+            scored = sorted((-math.exp(-abs(m - cm) / 25), c) for c, j, ca, cb, cm in tr if j == "error" and b > a and (min(b, cb) - max(a, ca)) / (b - a) >= 0.25)
+            if scored:
+                hypotheses[u, a] = scored[0][1]
+    assert max(u for u, _ in rate) >= 30 and max(u for u, _ in hypotheses) >= 20
+    assert {(r.user_id, r.a): (r.cand, r.decisive) for r in track_queries.j26_all(t).collect()} == rate
+    assert {(r.user_id, r.a): r.cand for r in join_queries.j25_all(t).collect()} == hypotheses
+    highest = defaultdict(float)
+    for _, u, _, _, v in rows:
+        highest[u] = max(highest[u], v - 60)
+    want = sorted(((-h, u) for u, h in highest.items() if h >= -1))[:40]
+    assert [(-r.highest, r.user_id) for r in track_queries.o05_all(t).collect()] == want
+
+
+def test_whole_pass_samples_take_every_customer(spark):
+    orders = spark.createDataFrame([(i, c, START) for i, c in enumerate((1, 199, 200, 5000))], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz")
+    got = track_queries.o07_all(SimpleNamespace(orders=orders)).collect()
+    day = (START - dt.datetime(1970, 1, 1)).days
+    assert sorted((r.o_orderkey, r.samples, r["first"], r["last"]) for r in got) == [(i, 5, day, day + 20) for i in range(4)]
+
+
+def test_whole_queries_have_no_id_filter():
+    for name in ("j25_event_hypotheses", "j26_rate_match", "o05_visibility_screen", "o07_pass_tracks"):
+        assert registry.ORACLE_SQL[name + "_all"] != registry.ORACLE_SQL[name] and not any(x in registry.ORACLE_SQL[name + "_all"] for x in ("user_id <", "o_custkey <", "% 3"))
