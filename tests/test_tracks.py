@@ -80,3 +80,33 @@ def test_whole_pass_samples_take_every_customer(spark):
 def test_whole_queries_have_no_id_filter():
     for name in ("j25_event_hypotheses", "j26_rate_match", "o05_visibility_screen", "o07_pass_tracks"):
         assert registry.ORACLE_SQL[name + "_all"] != registry.ORACLE_SQL[name] and not any(x in registry.ORACLE_SQL[name + "_all"] for x in ("user_id <", "o_custkey <", "% 3"))
+
+
+@pytest.mark.parametrize("users", [20, 600])
+@pytest.mark.parametrize("planted", [False, True])
+def test_cluster_permutation_keeps_each_users_number(spark, users, planted):
+    import numpy as np
+
+    rng = np.random.default_rng(users)
+    n = users * 25
+    user, second, value = rng.integers(0, users, n), rng.integers(0, 60 * 86_400, n), rng.random(n) * 75
+    if planted:
+        user[:3], second[:3], value[:3] = 1, (5000, 5001, 5002), 70
+    hit = np.flatnonzero(value > 60)
+
+    def least(labels, at):
+        order = np.lexsort((at, labels))
+        u, s = labels[order], at[order]
+        return (s[2:] - s[:-2])[u[2:] == u[:-2]].min()
+
+    observed = least(user[hit], second[hit])
+    brute = np.mean([least(user[hit], second[rng.permutation(n)[: len(hit)]]) <= observed for _ in range(400)])
+    df = events_of(spark, [(i, int(user[i]), int(second[i]), "view", float(value[i])) for i in range(n)])
+    got = track_queries.a39p(SimpleNamespace(events=df)).first()
+    assert got.draws == track_queries.DRAWS
+    assert got.p == pytest.approx(brute, abs=0.12) and (got.p < 0.02 or not planted)
+
+
+def test_cluster_permutation_without_three_hits(spark):
+    df = events_of(spark, [(i, i, i * 100, "view", 70.0) for i in range(5)])
+    assert track_queries.a39p(SimpleNamespace(events=df)).first().p is None
