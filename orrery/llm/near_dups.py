@@ -86,7 +86,7 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
         codes = codes[word]
     h = each[codes]
     rolled = h.copy()
-    for k in range(1, shingle):
+    for k in range(1, min(shingle, len(h))):
         rolled[: len(h) - k] = rolled[: len(h) - k] * np.uint64(0x5851F42D4C957F2D) + h[k:]
     rolled = mixed(rolled)
     out = []

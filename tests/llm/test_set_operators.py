@@ -74,6 +74,22 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_dups.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", range(7))
+def test_a_slice_of_few_words(n):
+    import pyarrow as pa
+
+    (got,) = near_dups.shingle_sets(pa.array([" ".join("abcdefg"[:n])]))
+    assert len(got) == (0 if n == 0 else max(1, n - 4))
+    beside = near_dups.shingle_sets(pa.array(["x " * 20, " ".join("abcdefg"[:n])]))[1]
+    assert got.tolist() == beside.tolist()
+
+
+def test_a_table_of_one_short_row(spark):
+    for n in range(5):
+        df = spark.createDataFrame([(7, " ".join("abcd"[:n]))], "doc_id long, text string")
+        assert [tuple(r) for r in near_dups.near_duplicates(df).collect()] == [(7, min(n, 1), 7, True)]
+
+
 def test_deep_regions_are_parted():
     run = {"node": np.arange(1000), "prefix": np.repeat(np.arange(10), 100).astype(np.int64) << 16}
     parts = list(near_dups.regions(run))
