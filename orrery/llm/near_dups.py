@@ -5,24 +5,25 @@ become one class, so copies are never paired. Each class has MinHash values:
 TREES sorted orders of DEPTH values each, and a sketch of all HASHES values at
 four bits each, from which a pair's similarity is estimated.
 
-Every order is range-sorted over all classes and read run by run, a run being
-the neighbours whose common prefix has SHALLOW values or more. Two rounds find
-the candidates:
+Every order is read run by run, a run being the classes whose common prefix has
+SHALLOW values or more. Two rounds find the candidates:
 
 1. Each class proposes its most similar neighbour, and the hub of its run.
    Where a run is dense the prefix is taken deeper, value by value, until the
    region is at most DENSE long (adaptive depth), and neighbours in the sorted
    order are compared where no depth helps. Proposals are confirmed on the full
    sets, and confirmed links give components.
-2. All runs are read again with each class's component and a longer sketch of
-   LONG_HASHES values, which only classes with some likely partner get. Every
-   pair in a run that this sketch cannot rule out and whose components still
-   differ is confirmed as well, so no depth, hub or nearest choice of round 1
-   loses a link, and few pairs below the threshold are compared in full.
+2. All runs of more than one component are read again with a longer sketch of
+   LONG_HASHES values, which only classes get that have some likely partner, lie
+   in a run of more than DENSE, or lie in a run that a range may have cut. Runs
+   of more than BLOCK are cut into salted blocks, and each block that is not of
+   the run's largest component meets every block. Every pair that the sketches
+   cannot rule out and whose components still differ is confirmed as well, so no
+   depth, hub, nearest choice or range of round 1 loses a link.
 
 Nothing is paired inside a component, so a group of thousands of near copies
 costs about two pairs a member instead of all its pairs, and a run is spread
-over tasks by the range sort. Components come from minimum labels with pointer
+over tasks by the range sort of round 1 and the blocks of round 2. Components come from minimum labels with pointer
 jumping, each round written to the shared folder.
 
 Defined cases: null or wordless text has an empty set, links with nothing and
@@ -59,6 +60,8 @@ LEAST_EQUAL = 81
 LONG_HASHES, LEAST_LONG = 1024, 736
 #: The longest region in which each class is compared with each other in round 1.
 DENSE = 128
+#: Rows of a run that meet as many others in one piece of work of round 2.
+BLOCK = 1024
 
 _SEEDS = np.random.default_rng(5).integers(0, 1 << 63, (2, LONG_HASHES), dtype=np.uint64)
 FACTORS, OFFSETS = _SEEDS[0] | np.uint64(1), _SEEDS[1]
@@ -144,29 +147,34 @@ def forest(classes: DataFrame) -> DataFrame:
     """A row for each class and order, range-sorted by order and prefix."""
     spark = classes.sparkSession
     prefix = F.conv(F.hex(F.substring("orders", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH))), 16, -10).cast("long")
-    rows = classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).withColumn("prefix", prefix).drop("orders")
+    rows = classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).withColumn("prefix", prefix).withColumn("top", F.shiftright("prefix", 16 * (DEPTH - SHALLOW))).drop("orders")
     return rows.repartitionByRange(shuffle_partitions(spark), "tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
 
 
-def runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
-    """Runs of two or more rows with one order and common SHALLOW values; a run is at most its partition."""
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
+    """Runs of rows with equal keys, and whether a run is the first or the last of its partition; a run is at most its partition."""
     held: dict[str, np.ndarray] | None = None
+    first = True
 
     def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        out = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names if n != "sketch"}
+        out = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names if n != "sketch"}
         sketch = batch.column("sketch")
         out["sketch"] = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(len(sketch), -1)
         return out
 
-    def cut(x: dict[str, np.ndarray], last: bool) -> Iterator[dict[str, np.ndarray]]:
-        nonlocal held
-        top = x["prefix"] >> (16 * (DEPTH - SHALLOW))
-        new = np.flatnonzero((top[1:] != top[:-1]) | (x["tree"][1:] != x["tree"][:-1])) + 1
-        bounds = np.concatenate([[0], new, [len(top)]])
+    def cut(x: dict[str, np.ndarray], last: bool) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
+        nonlocal held, first
+        new = np.flatnonzero(np.any([x[k][1:] != x[k][:-1] for k in keys], axis=0)) + 1
+        bounds = np.concatenate([[0], new, [len(x["node"])]])
+        whole = len(bounds) - 1 if last else len(bounds) - 2
         sizes = np.diff(bounds)
-        whole = len(sizes) if last else len(sizes) - 1
-        for i in np.flatnonzero(sizes[:whole] > 1):
-            yield {n: v[bounds[i] : bounds[i + 1]] for n, v in x.items()}
+        edge = np.zeros(whole, bool)
+        if whole:
+            edge[-1] = last
+            edge[0] |= first
+            first = False
+        for i in np.flatnonzero((sizes[:whole] > 1) | edge):
+            yield {n: v[bounds[i] : bounds[i + 1]] for n, v in x.items()}, bool(edge[i])
         held = None if last else {n: v[bounds[whole] :] for n, v in x.items()}
 
     for batch in batches:
@@ -207,13 +215,16 @@ def regions(run: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
 
 
 def proposals(classes: DataFrame) -> DataFrame:
-    """Round 1: (x, nx, y, ny, equal, hub), what each class proposes in each order."""
+    """Round 1: (x, nx, y, ny, equal, hub), what each class proposes in each order; a class proposes itself where its run was not compared in full."""
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, ...]] = []
         held = 0
-        for run in runs(batches, ("tree", "prefix", "node", "n", "sketch")):
+        for run, edge in runs(batches, ("tree", "top")):
             node, n = run["node"], run["n"]
+            if edge or len(node) > DENSE:
+                out.append((node, n, node, n, np.full(len(node), -1, np.int32), np.zeros(len(node), bool)))
+                held += len(node)
             for rows in regions(run):
                 if len(rows) > 1:
                     equal, fits = likely(run, rows, rows)
@@ -237,31 +248,66 @@ def proposals(classes: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["x", "nx", "y", "ny", "equal", "hub"])
 
-    return forest(classes).select("tree", "prefix", "node", "n", "sketch").mapInArrow(propose, "x long, nx long, y long, ny long, equal int, hub boolean")
+    return forest(classes).select("tree", "top", "prefix", "node", "n", "sketch").mapInArrow(propose, "x long, nx long, y long, ny long, equal int, hub boolean")
 
 
-def remainder(classes: DataFrame) -> DataFrame:
+def cells(classes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(tree, top, p, q, part, node, n, label, sketch): the rows of runs of several components, once for each piece of work that they are in.
+
+    A run of at most `block` rows is one piece. Else its rows outside its largest component (the rest) and those inside
+    are cut into blocks by a hash; blocks p and q meet in a piece where p, at least, is of the rest.
+    """
+    spark = classes.sparkSession
+    tops = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring(F.col("orders"), t * (2 * DEPTH) + 1, F.lit(2 * SHALLOW)).alias("top")))
+    light = classes.select("node", "n", "label", F.inline(tops))
+    by_label = light.groupBy("tree", "top", "label").agg(F.count("*").alias("c"))
+    met = by_label.groupBy("tree", "top").agg(F.sum("c").alias("rows"), F.max(F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    blocks = lambda c: F.ceil(c / block).cast("int")
+    held = light.join(met, ["tree", "top"]).withColumns({"inside": F.col("label") == F.col("main.label"), "kr": blocks(F.col("rows") - F.col("main.c")), "km": blocks(F.col("main.c"))})
+    salted = held.withColumn("b", F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("inside"), F.col("km")).otherwise(F.col("kr"))).cast("int"))
+    cell = lambda p, q, part: F.struct(p.alias("p"), q.alias("q"), part.alias("part"))
+    b, kr, zero = F.col("b"), F.col("kr"), F.lit(0)
+    each = lambda k, f: F.transform(F.sequence(zero, k - 1), f)
+    of_rest = F.concat(each(kr, lambda j: cell(F.least(b, j), F.greatest(b, j), b)), each(F.col("km"), lambda j: cell(b, kr + j, b)))
+    places = F.when(F.col("rows") <= block, F.array(cell(zero, zero, zero))).when(F.col("inside"), each(kr, lambda i: cell(i, kr + b, kr + b))).otherwise(of_rest)
+    placed = salted.select("tree", "top", "node", "n", "label", F.inline(places)).join(classes.select("node", "n", "sketch"), ["node", "n"])
+    return placed.select("tree", "top", "p", "q", "part", "node", "n", "label", "sketch").repartition(shuffle_partitions(spark), "tree", "top", "p", "q").sortWithinPartitions("tree", "top", "p", "q", "part", "node")
+
+
+def remainder(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     """Round 2: (x, nx, y, ny), every likely pair of a run whose components differ."""
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in runs(batches, ("tree", "prefix", "node", "n", "label", "sketch")):
-            node, n, label = run["node"], run["n"], run["label"]
+        for run, _ in runs(batches, ("tree", "top", "p", "q")):
+            node, n, label, part = run["node"], run["n"], run["label"], run["part"]
+            short = {**run, "sketch": np.ascontiguousarray(run["sketch"][:, : HASHES // 2])}
             groups, group = np.unique(label, return_inverse=True)
             if len(groups) == 1:
                 continue
-            sizes = np.bincount(group)
-            rank = np.argsort(np.argsort(-sizes, kind="stable"))[group]  # the largest component has rank 0
-            every, rest = np.arange(len(node)), np.flatnonzero(rank > 0)
-            step = max(1, (1 << 22) // (len(node) * LONG_HASHES // 2))
-            for at in range(0, len(rest), step):
-                rows = rest[at : at + step]
-                _, fits = likely(run, rows, every, LEAST_LONG)
-                i, j = np.nonzero(fits & (rank[every][None, :] < rank[rows][:, None]))  # each pair once, from the smaller component
-                if len(i):
-                    x, y = rows[i], every[j]
+            split = run["p"][0] != run["q"][0]
+            if split:
+                outer, every = np.flatnonzero(part == run["p"][0]), np.flatnonzero(part == run["q"][0])
+                rank = None
+            else:
+                sizes = np.bincount(group)
+                rank = np.argsort(np.argsort(-sizes, kind="stable"))[group]  # the largest component has rank 0
+                outer, every = np.flatnonzero(rank > 0), np.arange(len(node))
+            if not len(every):
+                continue
+            step = max(1, (1 << 22) // (len(every) * HASHES // 2))
+            for at in range(0, len(outer), step):
+                rows = outer[at : at + step]
+                _, fits = likely(short, rows, every)
+                # each pair once: in a piece of one block from the smaller component
+                once = label[rows][:, None] != label[every][None, :] if rank is None else rank[every][None, :] < rank[rows][:, None]
+                i, j = np.nonzero(fits & once)
+                x, y = rows[i], every[j]
+                long = np.concatenate([EQUAL[run["sketch"][x[k : k + 8192]] ^ run["sketch"][y[k : k + 8192]]].sum(axis=1, dtype=np.uint16) for k in range(0, len(x), 8192)] or [np.zeros(0, np.uint16)])
+                x, y = x[long >= LEAST_LONG], y[long >= LEAST_LONG]
+                if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[x], n[x], node[y], n[y])], names=["x", "nx", "y", "ny"])
 
-    return forest(classes).select("tree", "prefix", "node", "n", "label", "sketch").mapInArrow(across, "x long, nx long, y long, ny long")
+    return cells(classes, block).mapInArrow(across, "x long, nx long, y long, ny long")
 
 
 def smaller_first(pairs: DataFrame) -> DataFrame:
@@ -337,15 +383,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     proposed = proposals(nodes)
     best = proposed.groupBy("x", "nx", "hub").agg(F.max_by(F.struct("y", "ny"), F.struct("equal", "y")).alias("b")).select("x", "nx", F.col("b.y").alias("y"), F.col("b.ny").alias("ny"))
-    first = materialize(smaller_first(best))
+    tried = materialize(smaller_first(best))
+    first = tried.where("x <> y")
     release(spark)
-    sets = materialize(full_sets(df, first.select(F.col("x").alias("node")).union(first.select("y")).distinct(), key, text))
+    sets = materialize(full_sets(df, tried.select(F.col("x").alias("node")).union(tried.select("y")).distinct(), key, text))
     release(spark)
     links = materialize(confirmed(first, sets))
     release(spark)
     labels = components(links)
 
-    # Only classes with some likely partner are in `sets`; the second round needs no others.
+    # Only classes with some likely partner, or of runs not compared in full, are in `sets`; the second round needs no others.
     open_ = nodes.drop("sketch").join(sets.select("node", "n", "sketch").dropDuplicates(["node", "n"]), ["node", "n"]).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     second = materialize(smaller_first(remainder(materialize(open_))).join(first, ["x", "nx", "y", "ny"], "left_anti"))
     release(spark)

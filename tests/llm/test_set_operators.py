@@ -98,6 +98,40 @@ def test_deep_regions_are_parted():
     assert max(map(len, near_dups.regions(same))) == near_dups.DENSE
 
 
+def test_pairs_in_dense_runs_are_found(spark):
+    rng = random.Random(14)
+    passage, pairs, others = words(rng, 110), 700, 1600
+    texts, planted = [], {}
+    for i in range(pairs + others):
+        tail = words(rng, 90).split()
+        texts.append((i, f"{passage} {' '.join(tail)}"))
+        if i < pairs:  # 172 of 220 shingles are shared
+            texts.append((10_000 + i, f"{passage} {' '.join(tail[:66])} {words(rng, 24)}"))
+            planted[10_000 + i] = i
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {i: planted.get(i, i) for i, _ in texts}
+
+
+def test_every_class_of_a_dense_run_enters_round_two(spark):
+    rng = np.random.default_rng(16)
+    rows = [(i, 100, bytes(2 * near_dups.TREES * near_dups.DEPTH), rng.bytes(near_dups.HASHES // 2)) for i in range(400)]
+    got = near_dups.proposals(spark.createDataFrame(rows, "node long, n long, orders binary, sketch binary")).collect()
+    assert {r.x for r in got} | {r.y for r in got} == set(range(400))
+
+
+def test_blocks_of_a_run_meet_once(spark):
+    rng = random.Random(15)
+    sketch = bytes(near_dups.LONG_HASHES // 2)
+    rows = [(i, 10, 0 if i < 120 else rng.randrange(60), bytes(2 * near_dups.TREES * near_dups.DEPTH), sketch) for i in range(200)]
+    df = spark.createDataFrame(rows, "node long, n long, label long, orders binary, sketch binary")
+    label = {r[0]: r[2] for r in rows}
+    want = sorted((a, b) for a in label for b in label if a < b and label[a] != label[b])
+    for block in (1000, 16):
+        got = near_dups.remainder(df, block).collect()
+        assert len(got) == near_dups.TREES * len(want)
+        assert sorted({(min(r.x, r.y), max(r.x, r.y)) for r in got}) == want
+
+
 def test_mixing_targets_and_bounds(spark):
     rng = random.Random(12)
     rows = [(i, " ".join(["w"] * rng.randint(0, 40)), rng.choice(["a", "b", "c", "d", None, "hot", "hot", "hot"]), 1) for i in range(300)]
