@@ -1,23 +1,31 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block of the page; menus, headers,
-footers, side bars, notices, adverts, forms, scripts, styles and reader
-comments go with the markup that names them. A line weighs its characters that
-are not link text, and nothing outside an <article> or <main> where the page
-has one. Weights are summed over sliding windows of lines; where the sums
-surge from nothing past the threshold the main text begins, where they dive to
-nothing it ends, and all lines between the two points are kept.
-
-Each page is worked on alone, so a job has no shuffle and any number of rows.
-Null or empty html gives the empty text; unclosed and crossed tags are closed
-where their parent ends; a page without text lines gives the empty text.
-Repeated rows give repeated results, other columns pass through, and a column
-of the same name as the output is replaced.
+Markup is stripped to lines, one for each block of the page, menus and footers
+included. A line's length is the number of its characters that are not link
+text; lines that their markup names as menus, headers, footers, side bars,
+notices, adverts, forms or reader comments are stripped with it, and stay as
+lines of length zero. Lengths are summed over sliding windows of lines. Where
+the sums surge from nothing to SURGE or more the main text begins, where they
+dive to nothing for the last time it ends, and all text between the two points
+is kept: short paragraphs, lists of links and text on either side of an advert
+too. Where no sum surges that far, the highest run of sums is the main text.
+
+An <article> or <main> is a hint: where the page's marked lines hold at least
+half of its text, the lengths outside count as zero and any length inside as a
+surge; else the marks are not heeded (an empty shell, or teaser cards).
+
+Each page is worked on alone, in time linear in its length whatever its markup,
+so a job has no shuffle and any number of rows. Null or empty html gives the
+empty text; unclosed and crossed tags are closed where their parent ends; a
+quote that never closes ends at the tag's end; a page without text lines gives
+the empty text. Repeated rows give repeated results, other columns pass
+through, and a column of the same name as the output is replaced.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -30,23 +38,26 @@ from orrery.llm.common import slices, table, text_array
 
 #: Lines on either side of one whose lengths are summed with its own.
 REACH = 1
-#: Characters in a window at which the sums surge, on pages that do not mark their article.
+#: Characters in a window at which the sums surge.
 SURGE = 60
 
 # Element names and the words of class, id and role that mark what is not the article.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes svg math object".split())
-DROPPED = RAW | frozenset("head nav header footer aside form button select menu dialog label input".split())
+RAW = frozenset("script style iframe textarea title xmp noembed noframes".split())
+UNSEEN = RAW | frozenset("head noscript template svg math object".split())
+DROPPED = UNSEEN | frozenset("nav header footer aside form button select menu dialog label input".split())
 MARKED = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner menu nav navbar navigation topnav breadcrumb breadcrumbs header masthead topbar footer colophon sidebar aside rail notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup comment comments commentlist disqus respond replies".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog".split())
 MAIN = frozenset(("article", "main"))
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
+NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s{0,9}=\s{0,9}("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PARTS = re.compile(r"[^a-z0-9]+")
+LONG = re.compile(r"&#(?:([xX])0*([0-9a-fA-F]+)|0*([0-9]+))(;?)")
 
 
 def boilerplate(name: str, attributes: str) -> bool:
@@ -61,106 +72,171 @@ def boilerplate(name: str, attributes: str) -> bool:
     return False
 
 
-def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """(text, characters outside links, inside the article) of each block, and whether the page marks its article."""
-    lines: list[tuple[str, int, bool]] = []
+def tag_end(html: str, at: int) -> int:
+    """Where the tag's attributes, which begin at `at`, end: at its `>` outside quotes, or after a quote that never closes; -1 if nowhere."""
+    while stop := STOP.search(html, at):
+        if stop[0] == ">":
+            return stop.start()
+        closing = html.find(stop[0], stop.end())
+        if closing < 0:
+            return html.find(">", stop.end())
+        at = closing + 1
+    return -1
+
+
+def clean(raw: str) -> str:
+    """Character references decoded and white space made one blank; a number beyond all characters is the replacement character."""
+    if "&#" in raw:
+        raw = LONG.sub(lambda m: f"&#{m[1] or ''}{m[2] or m[3]}{m[4]}" if len(m[2] or m[3]) < 9 else "\ufffd", raw)
+    return " ".join(unescape(raw).split())
+
+
+class Line:
+    """A block's text, its length outside links (zero if stripped), whether it is inside the marked article, and whether it is stripped."""
+
+    __slots__ = ("text", "plain", "inside", "stripped")
+
+    def __init__(self, text: str, plain: int, inside: bool, stripped: bool):
+        self.text, self.plain, self.inside, self.stripped = text, 0 if stripped else min(plain, len(text)), inside, stripped
+
+
+def lines_of(html: str) -> list[Line]:
+    """The lines of a page, one for each block that has text, in page order."""
+    lines: list[Line] = []
     held: list[str] = []
     plain = 0
     stack: list[str] = []
-    skip = main = links = 0  # the depth from which all is dropped; how many open elements mark the article, and links
-    marked = False
+    open_: Counter[str] = Counter()
+    skip = unseen = 0  # the depths from which text is stripped, and is no line either
 
     def flush() -> None:
         nonlocal plain
         if held:
-            text = " ".join(unescape("".join(held)).split())
+            text = clean("".join(held))
             if text:
-                lines.append((text, min(plain, len(text)), main > 0))
+                lines.append(Line(text, plain, open_["article"] + open_["main"] > 0, skip > 0))
             held.clear()
         plain = 0
 
-    def close(to: int) -> None:
-        nonlocal skip, main, links
-        for name in stack[to:]:
-            main -= name in MAIN
-            links -= name == "a"
-        del stack[to:]
-        if skip > len(stack):
-            skip = 0
-
     def text(a: int, b: int) -> None:
         nonlocal plain
-        if a < b and not skip:
+        if a < b and not unseen:
             held.append(html[a:b])
-            if not links:
+            if not open_["a"]:
                 plain += b - a
 
+    def pop() -> None:
+        nonlocal skip, unseen
+        if skip == len(stack) or unseen == len(stack):
+            flush()
+            skip = 0 if skip == len(stack) else skip
+            unseen = 0 if unseen == len(stack) else unseen
+        open_[stack.pop()] -= 1
+
     at, end = 0, len(html)
     while at < end:
-        token = TOKEN.search(html, at)
-        if token is None:
+        lt = html.find("<", at)
+        if lt < 0:
             text(at, end)
             break
-        text(at, token.start())
-        at = token.end()
-        name = (token[2] or "").lower()
-        if not name:
-            if token[0].startswith("<![CDATA["):
-                text(token.start() + 9, at - 3)
+        if html.startswith("<!--", lt):
+            text(at, lt)
+            close = html.find("-->", lt + 2)
+            at = close + 3 if close >= 0 else end
+            continue
+        if html.startswith("<![CDATA[", lt):
+            text(at, lt)
+            close = html.find("]]>", lt)
+            text(lt + 9, close if close >= 0 else end)
+            at = close + 3 if close >= 0 else end
             continue
-        if name in BLOCKS and not skip:
+        named = NAME.match(html, lt + 1)
+        if not named:
+            if html.startswith(("<!", "<?"), lt):
+                text(at, lt)
+                close = html.find(">", lt)
+                at = close + 1 if close >= 0 else end
+            else:
+                text(at, lt + 1)
+                at = lt + 1
+            continue
+        text(at, lt)
+        to = tag_end(html, named.end())
+        if to < 0:
+            break
+        attributes = html[named.end() : to]
+        at = to + 1
+        name = named[1].lower()
+        if name in BLOCKS and not unseen:
             flush()
-        if token[1]:
-            if name in stack:
-                close(len(stack) - 1 - stack[::-1].index(name))
+        if html[lt + 1] == "/":
+            if open_[name]:
+                while stack[-1] != name:
+                    pop()
+                pop()
             continue
-        if name == "br" and not skip:
+        if name == "br" and not unseen:
             held.append(" ")
-        if name in VOID or token[3].endswith("/") and name not in BLOCKS:
+        if name in VOID or attributes.endswith("/") and name not in BLOCKS:
             continue
         if stack and (name in BLOCKS and stack[-1] == "p" or name == stack[-1] in ("li", "option", "dt", "dd", "tr", "td", "th")):
-            close(len(stack) - 1)
+            pop()
+        if not skip and boilerplate(name, attributes):
+            flush()
+            skip = len(stack) + 1
+        if not unseen and name in UNSEEN:
+            unseen = len(stack) + 1
         stack.append(name)
-        main += name in MAIN
-        links += name == "a"
-        if not skip and boilerplate(name, token[3]):
-            skip = len(stack)
-        marked |= name in MAIN and not skip
+        open_[name] += 1
         if name in RAW:
             close_tag = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             at = close_tag.start() if close_tag else end
     flush()
-    return lines, marked
-
-
-def between(lines: list[tuple[str, int, bool]], marked: bool) -> list[str]:
-    """The lines from each surge of the windowed sums to the dive after the last of them."""
-    weights = [(len(text) if inside else 0) if marked else plain for text, plain, inside in lines]
-    least = 1 if marked else SURGE
-    n = len(weights)
-    sums = [sum(weights[max(0, i - REACH) : i + REACH + 1]) if weights[i] else 0 for i in range(n)]
-    kept: list[str] = []
-    i = 0
-    spans: list[tuple[int, int]] = []
-    while i < n:
-        if not sums[i]:
-            i += 1
-            continue
-        dive = next((j for j in range(i, n) if not sums[j]), n)
-        if max(sums[i:dive]) >= least:
-            spans.append((i, dive))
-        i = dive
+    return lines
+
+
+def windowed(lengths: list[int], reach: int = REACH) -> list[int]:
+    """Of each line the lengths summed over the lines within reach."""
+    upto = [0]
+    for x in lengths:
+        upto.append(upto[-1] + x)
+    n = len(lengths)
+    return [upto[min(n, i + reach + 1)] - upto[max(0, i - reach)] for i in range(n)]
+
+
+def between(lines: list[Line]) -> list[str]:
+    """The text from the first surge of the windowed sums to the last dive."""
+    inside = sum(x.plain for x in lines if x.inside)
+    heeded = inside > 0 and 2 * inside >= sum(x.plain for x in lines)
+    # Within marks, links are text as any other.
+    lengths = [(len(x.text) if x.inside and not x.stripped else 0) if heeded else x.plain for x in lines]
+    least = 1 if heeded else SURGE
+    # A stripped line parts the windows: what lies before it adds nothing to what comes after.
+    spans: list[tuple[int, int, int]] = []  # surge, dive, highest sum
+    at = 0
+    for stop in [i for i, x in enumerate(lines) if x.stripped] + [len(lines)]:
+        sums = windowed(lengths[at:stop])
+        i = 0
+        while i < len(sums):
+            if not sums[i]:
+                i += 1
+                continue
+            dive = i
+            while dive < len(sums) and sums[dive]:
+                dive += 1
+            first = next(k for k in range(i, dive) if lengths[at + k])
+            last = next(k for k in range(dive - 1, i - 1, -1) if lengths[at + k])
+            spans.append((at + first, at + last + 1, max(sums[i:dive])))
+            i = dive
+        at = stop + 1
     if not spans:
-        return [text for text, plain, _ in lines if plain] if not marked else []
-    if not marked:
-        spans = [(spans[0][0], spans[-1][1])]
-    for a, b in spans:
-        kept += [text for text, _, _ in lines[a:b]]
-    return kept
+        return []
+    surged = [x for x in spans if x[2] >= least] or [max(spans, key=lambda x: (x[2], -x[0]))]
+    return [x.text for x in lines[surged[0][0] : surged[-1][1]] if not x.stripped and (x.inside or not heeded)]
 
 
 def main_text(html: str) -> str:
-    return "\n".join(between(*lines_of(html)))
+    return "\n".join(between(lines_of(html)))
 
 
 def extract_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
