@@ -11,8 +11,10 @@ pages. An empty table gives an empty table. Other columns pass through as they
 are; a column of the same name as an output is replaced.
 
 The stored form: RGB pages 64 pixels wide (192 bytes a row) and at most 256
-rows tall, in strips of 64 rows or tiles of 64 x 64. The checksum of the payload
-picks compression, layout and predictor, so equal texts give equal files.
+rows tall, in strips of 64 rows or tiles of 32 x 32, two across. The checksum of
+the payload picks LZW, PackBits or deflate (a third of the payloads each),
+layout and predictor, so equal texts give equal files. A text of any length is
+joined from its pages once, in the task that decodes them.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11:
 LETTERS = {1: "B", 3: "H", 4: "I"}
 CLEAR, END = 256, 257
 
-ROW_BYTES, PAGE_ROWS, BLOCK_ROWS, PIXELS = 192, 256, 64, 64
+ROW_BYTES, PAGE_ROWS, STRIP_ROWS, TILE, PIXELS = 192, 256, 64, 32, 64
 
 PAGE = "struct<page:int,width:int,height:int,samples:int,compression:int,predictor:int,tiled:boolean,pixels:binary,error:string>"
 
@@ -86,40 +88,43 @@ def unpackbits(data: bytes, size: int) -> bytes:
 
 def lzw(data: bytes) -> bytes:
     """Most significant bit first; a code grows one entry early, as the format has it."""
-    first = {bytes((i,)): i for i in range(256)}
-    codes, known, free, width = [(CLEAR, 9)], dict(first), 258, 9
-    word = b""
+    codes, widths = [CLEAR], [9]
+    known: dict[int, int] = {}
+    free, width, word = 258, 9, -1
     for b in data:
-        longer = word + bytes((b,))
-        if longer in known:
+        if word < 0:
+            word = b
+            continue
+        pair = word << 8 | b  # an entry is an earlier one and a byte
+        longer = known.get(pair)
+        if longer is not None:
             word = longer
             continue
-        codes.append((known[word], width))
-        known[longer] = free
+        codes.append(word)
+        widths.append(width)
+        known[pair] = free
         free += 1
         if free == 4095:
-            codes.append((CLEAR, width))
-            known, free, width = dict(first), 258, 9
+            codes.append(CLEAR)
+            widths.append(width)
+            known, free, width = {}, 258, 9
         elif free >= (1 << width):
             width += 1
-        word = longer[-1:]
-    if word:
-        codes.append((known[word], width))
+        word = b
+    if word >= 0:
+        codes.append(word)
+        widths.append(width)
         free += 1
         if free >= (1 << width) and width < 12:
             width += 1
-    codes.append((END, width))
-    out, bits, held = bytearray(), 0, 0
-    for code, w in codes:
-        bits = (bits << w) | code
-        held += w
-        while held >= 8:
-            held -= 8
-            out.append(bits >> held)
-            bits &= (1 << held) - 1
-    if held:
-        out.append((bits << (8 - held)) & 255)
-    return bytes(out)
+    codes.append(END)
+    widths.append(width)
+    w = np.array(widths)
+    ends = np.cumsum(w)
+    # The bits of each code, written where the codes before it end.
+    at = np.arange(ends[-1])
+    of = np.repeat(np.arange(len(w)), w)
+    return np.packbits((np.array(codes)[of] >> (ends[of] - 1 - at) & 1).astype(np.uint8)).tobytes()
 
 
 def unlzw(data: bytes, size: int) -> bytes:
@@ -173,7 +178,7 @@ DECODERS: dict[int, Callable[[bytes, int], bytes]] = {NONE: lambda x, n: x[:n],
 def variant(payload: bytes) -> tuple[int, bool, int]:
     """Compression, tiles or strips, and predictor of a payload, from its checksum."""
     n = zlib.crc32(payload)
-    return {0: LZW, 1: PACKBITS}.get(n % 16, DEFLATE), bool(n >> 4 & 1), 1 + (n >> 5 & 1)
+    return (LZW, PACKBITS, DEFLATE)[n % 3], bool(n >> 4 & 1), 1 + (n >> 5 & 1)
 
 
 def encode(payload: bytes) -> bytes:
@@ -184,14 +189,14 @@ def encode(payload: bytes) -> bytes:
     link = 4
     for top in range(0, len(rows), PAGE_ROWS):
         page = rows[top : top + PAGE_ROWS]
-        blocks = []
-        for a in range(0, len(page), BLOCK_ROWS):
-            block = page[a : a + BLOCK_ROWS]
-            if tiled and len(block) < BLOCK_ROWS:
-                block = np.concatenate([block, np.zeros((BLOCK_ROWS - len(block), PIXELS, 3), np.uint8)])
-            if predictor == 2:
-                block = np.concatenate([block[:, :1], block[:, 1:] - block[:, :-1]], axis=1)
-            blocks.append(ENCODERS[compression](block.tobytes()))
+        if tiled:
+            full = np.concatenate([page, np.zeros((-len(page) % TILE, PIXELS, 3), np.uint8)])
+            cells = [full[a : a + TILE, x : x + TILE] for a in range(0, len(full), TILE) for x in range(0, PIXELS, TILE)]
+        else:
+            cells = [page[a : a + STRIP_ROWS] for a in range(0, len(page), STRIP_ROWS)]
+        if predictor == 2:
+            cells = [np.concatenate([c[:, :1], c[:, 1:] - c[:, :-1]], axis=1) for c in cells]
+        blocks = [ENCODERS[compression](c.tobytes()) for c in cells]
         at = []
         for b in blocks:
             at.append(len(out))
@@ -210,9 +215,9 @@ def encode(payload: bytes) -> bytes:
         fields = [(WIDTH, 3, 1, PIXELS), (HEIGHT, 4, 1, len(page)), (BITS, 3, 3, bits), (COMPRESSION, 3, 1, compression), (PHOTOMETRIC, 3, 1, 2), (SAMPLES, 3, 1, 3), (PLANAR, 3, 1, 1), (PREDICTOR, 3, 1, predictor)]
         sizes, places = longs([len(b) for b in blocks]), longs(at)
         if tiled:
-            fields += [(TILE_WIDTH, 3, 1, PIXELS), (TILE_LENGTH, 3, 1, BLOCK_ROWS), (TILE_OFFSETS, 4, n, places), (TILE_COUNTS, 4, n, sizes)]
+            fields += [(TILE_WIDTH, 3, 1, TILE), (TILE_LENGTH, 3, 1, TILE), (TILE_OFFSETS, 4, n, places), (TILE_COUNTS, 4, n, sizes)]
         else:
-            fields += [(STRIP_OFFSETS, 4, n, places), (ROWS_PER_STRIP, 4, 1, BLOCK_ROWS), (STRIP_COUNTS, 4, n, sizes)]
+            fields += [(STRIP_OFFSETS, 4, n, places), (ROWS_PER_STRIP, 4, 1, STRIP_ROWS), (STRIP_COUNTS, 4, n, sizes)]
         struct.pack_into("<I", out, link, len(out))
         out += struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", *f) for f in sorted(fields))
         link = len(out)
@@ -294,18 +299,24 @@ def decode(data: bytes | None) -> list[dict]:
     return pages
 
 
-def read_tiff(df: DataFrame, media: str = "media", out: str = "pages") -> DataFrame:
-    """df with the pages of each file as an array, in the file's order."""
-    df = df.drop(out)
+def read_tiff(df: DataFrame, media: str = "media", out: str = "pages", joined: str | None = None) -> DataFrame:
+    """df with the pages of each file as an array, in the file's order; `joined` is a column of all their pixels instead of each page's own."""
+    df = df.drop(out, *([joined] if joined else []))
     kind = T._parse_datatype_string(f"array<{PAGE}>")
-    schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
+    schema = T.StructType([*df.schema.fields, T.StructField(out, kind), *([T.StructField(joined, T.BinaryType())] if joined else [])])
     arrow = pa.list_(pa.struct([("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("pixels", pa.binary()), ("error", pa.string())]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, media):
-                pages = pa.array([decode(x) for x in part.column(media).to_pylist()], arrow)
-                yield pa.RecordBatch.from_arrays([*part.columns, pages], names=[*part.schema.names, out])
+                files = [decode(x) for x in part.column(media).to_pylist()]
+                columns, names = [*part.columns], [*part.schema.names, out]
+                if joined:
+                    whole = pa.array([b"".join(p.pop("pixels", None) or b"" for p in pages) for pages in files], pa.binary())
+                    columns, names = [*columns, pa.array(files, arrow), whole], [*names, joined]
+                else:
+                    columns.append(pa.array(files, arrow))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return df.mapInArrow(read, schema)
 
@@ -335,10 +346,9 @@ def text_to_tiff(df: DataFrame, text: str = "text", out: str = "media") -> DataF
 
 def op8_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = text_to_tiff(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    payload = F.aggregate("pages", F.lit(b""), lambda all_, p: F.concat(all_, p["pixels"]))
     last = F.element_at("pages", -1)
     feature = F.concat_ws("|", F.format_string("%d pages", F.size("pages")), F.format_string("%dx%d", last["width"], F.aggregate("pages", F.lit(0), lambda n, p: n + p["height"])), F.format_string("compression %d", last["compression"]), F.when(last["tiled"], "tiles").otherwise("strips"), F.format_string("predictor %d", last["predictor"]), F.format_string("%.2f bytes a stored byte", F.octet_length("payload") / F.octet_length("media")))
-    back = read_tiff(files).withColumn("payload", payload)
+    back = read_tiff(files, joined="payload")
     return back.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
