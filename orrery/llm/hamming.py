@@ -1,8 +1,10 @@
 """Exact top-k search in Hamming space by incremental multi-index hashing.
 
 A vector's code holds one bit for each dimension, set where the value is above
-zero, in 64-bit words. The code is cut into SEGMENT-bit segments and each
-distinct code is indexed under the value of every segment. A query first looks
+zero, in 64-bit words. The code is cut into segments about as wide as the
+logarithm of the number of distinct codes, so that a segment value holds few
+codes however many there are, and each distinct code is indexed under the value
+of every segment. A query first looks
 up its own segment values, then all values one bit away, then two, and so on:
 once radius r has been searched in all m segments, every code at a distance
 below m * (r + 1) has been seen, so a query ends when its k-th verified distance
@@ -15,9 +17,11 @@ shared folder; nothing but the number of open queries reaches the driver.
 
 Queries are the rows whose id is divisible by 50. Ties go to the smaller id; a
 query finds itself first. Null ids and null vectors are no rows of the index,
-null values inside a vector count as not above zero, vectors of another length
-than the most common one are left out, repeated ids count as rows of their own,
-and an empty table gives an empty result.
+null values inside a vector count as not above zero, vectors of different
+lengths are searched apart (each length has an index of its own), repeated ids
+count as rows of their own, in the index and among the queries, vectors without
+dimensions are no rows, and an empty table gives an empty result. Segment values
+that very many codes share are split by Spark's skew join (adaptive execution).
 """
 
 from __future__ import annotations
@@ -31,7 +35,8 @@ from pyspark.sql import functions as F
 from orrery.llm.common import discard, materialize, table
 
 K = 10
-SEGMENT = 16
+#: Bits of the narrowest and of the widest segment.
+NARROW, WIDE = 8, 22
 QUERY_EVERY = 50
 #: Parts that an often repeated code is split into before its smallest ids are found.
 SALT = 64
@@ -49,9 +54,20 @@ def code_of(vector: Column, dims: int) -> list[Column]:
     return words
 
 
-def segment_of(words: list[Column], i: int) -> Column:
-    at = i * SEGMENT
-    return F.shiftrightunsigned(words[at // 64], at % 64).bitwiseAND(F.lit((1 << SEGMENT) - 1)).cast("int")
+def segments(dims: int, codes: int) -> list[tuple[int, int]]:
+    """First bit and width of each segment: widths differ by one at most and are near the logarithm of the number of codes."""
+    wanted = min(WIDE, max(NARROW, (max(codes, 2) - 1).bit_length()))
+    m = max(1, round(dims / wanted), -(-dims // WIDE))
+    bounds = [i * dims // m for i in range(m + 1)]
+    return [(a, b - a) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def segment_of(words: list[Column], first: int, width: int) -> Column:
+    word, shift = divmod(first, 64)
+    bits = F.shiftrightunsigned(words[word], shift)
+    if shift + width > 64:
+        bits = bits.bitwiseOR(F.shiftleft(words[word + 1], 64 - shift))
+    return bits.bitwiseAND(F.lit((1 << width) - 1)).cast("int")
 
 
 def distance(a: list[Column], b: list[Column]) -> Column:
@@ -61,9 +77,9 @@ def distance(a: list[Column], b: list[Column]) -> Column:
     return total.cast("int")
 
 
-def masks(radius: int) -> list[int]:
-    """All segment values with so many bits set."""
-    return [sum(1 << i for i in c) for c in combinations(range(SEGMENT), radius)]
+def masks(radius: int, width: int) -> list[int]:
+    """All segment values of so many bits with so many of them set."""
+    return [sum(1 << i for i in c) for c in combinations(range(width), radius)]
 
 
 def smallest_ids(rows: DataFrame, words: list[str], k: int) -> DataFrame:
@@ -76,40 +92,45 @@ def smallest_ids(rows: DataFrame, words: list[str], k: int) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
     """(query_id, rank, neighbour_id, distance): the k rows of `vectors` nearest to each row of `queries`."""
     spark = vectors.sparkSession
-    usable = F.col(key).isNotNull() & F.col(vector).isNotNull()
-    sizes = vectors.where(usable).groupBy(F.size(vector).alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    if sizes is None or not sizes.dims:
-        return spark.createDataFrame([], "query_id long, rank int, neighbour_id long, distance int")
-    dims = sizes.dims
-    n_words, m = -(-dims // 64), -(-dims // SEGMENT)
+    usable = F.col(key).isNotNull() & (F.size(vector) > 0)
+    lengths = [r.dims for r in queries.where(usable).select(F.size(vector).alias("dims")).distinct().orderBy("dims").collect()]  # a few lengths
+    found = [nearest(*(df.where(usable & (F.size(vector) == d)) for df in (vectors, queries)), key, vector, k, d) for d in lengths]
+    return reduce(DataFrame.union, found, spark.createDataFrame([], "query_id long, rank int, neighbour_id long, distance int"))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, dims: int) -> DataFrame:
+    """top_k of vectors of one length."""
+    n_words = -(-dims // 64)
     names = [f"w{i}" for i in range(n_words)]
 
     def coded(df: DataFrame) -> DataFrame:
-        df = df.where(usable & (F.size(vector) == dims))
         return df.select(F.col(key).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), *(w.alias(n) for w, n in zip(code_of(F.col(vector), dims), names, strict=True)))
 
     codes = materialize(smallest_ids(coded(vectors), names, k))
     asked = materialize(coded(queries).drop("row"))
     here = [F.col(n) for n in names]
-    index = materialize(codes.drop("ids").withColumn("s", F.explode(F.array(*(F.struct(F.lit(i).alias("segment"), segment_of(here, i).alias("value")) for i in range(m))))).select("s.*", *names))
+    parts = segments(dims, codes.count())
+    m, widest = len(parts), max(width for _, width in parts)
+    values = lambda words: F.array(*(F.struct(F.lit(i).alias("segment"), segment_of(words, *p).alias("value")) for i, p in enumerate(parts)))
+    index = materialize(codes.drop("ids").withColumn("s", F.explode(values(here))).select("s.*", *names))
 
     q_names = [f"q{n}" for n in names]
     open_ = asked.select(*(F.col(n).alias(q) for n, q in zip(names, q_names, strict=True))).distinct()
     best = open_.select(*q_names, *(F.lit(None).cast("long").alias(n) for n in names), F.lit(0).alias("d")).limit(0)
     done: list[DataFrame] = []
     open_ = materialize(open_)
-    for radius in range(SEGMENT + 1):
+    for radius in range(widest + 1):
         there = [F.col(q) for q in q_names]
-        probe = F.explode(F.array(*(F.struct(F.lit(i).alias("segment"), segment_of(there, i).alias("own")) for i in range(m))))
-        probes = open_.withColumn("p", probe).withColumn("mask", F.explode(F.array(*map(F.lit, masks(radius)))))
-        probes = probes.select(*q_names, F.col("p.segment").alias("segment"), F.col("p.own").bitwiseXOR(F.col("mask")).alias("value"))
+        probes = open_.withColumn("p", F.explode(values(there))).withColumn("mask", F.explode(F.array(*map(F.lit, masks(radius, widest)))))
+        width = F.element_at(F.array(*(F.lit(w) for _, w in parts)), F.col("p.segment") + 1)
+        probes = probes.where(F.col("mask") < F.pow(F.lit(2), width)).select(*q_names, F.col("p.segment").alias("segment"), F.col("p.value").bitwiseXOR(F.col("mask")).alias("value"))
         # A merge join: Spark would take the probes for as small as the queries they come from, and broadcast them.
         found = probes.join(index.hint("merge"), ["segment", "value"]).select(*q_names, *names, distance(there, here).alias("d")).distinct()
-        nearest = Window.partitionBy(*q_names).orderBy("d", *names)
+        by_distance = Window.partitionBy(*q_names).orderBy("d", *names)
         # k codes hold k rows at least; equal distances need all their codes, so ties at the k-th place stay.
         ranked = found.union(best).distinct().withColumn("r", F.rank().over(Window.partitionBy(*q_names).orderBy("d"))).where(F.col("r") <= k).drop("r")
         kept = materialize(ranked)
-        rows = kept.join(codes.select(*names, F.size("ids").alias("has")), names).withColumn("upto", F.sum("has").over(nearest))
+        rows = kept.join(codes.select(*names, F.size("ids").alias("has")), names).withColumn("upto", F.sum("has").over(by_distance))
         bound = m * (radius + 1)
         cover = rows.groupBy(*q_names).agg(F.min(F.when(F.col("upto") >= k, F.col("d"))).alias("kth"))
         covered = materialize(cover.where(F.col("kth") < bound).select(*q_names))
@@ -124,7 +145,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: s
         done.append(best)  # fewer than k rows in all: every code has been seen
     all_ = reduce(DataFrame.union, done)
     expanded = all_.join(codes, names).select(*q_names, "d", F.explode("ids").alias("neighbour_id"))
-    by_query = asked.select(F.col("id").alias("query_id"), *(F.col(n).alias(q) for n, q in zip(names, q_names, strict=True))).distinct()
+    by_query = asked.select(F.col("id").alias("query_id"), *(F.col(n).alias(q) for n, q in zip(names, q_names, strict=True)))
     cut = expanded.withColumn("rank", F.row_number().over(Window.partitionBy(*q_names).orderBy("d", "neighbour_id"))).where(F.col("rank") <= k)
     return by_query.join(cut, q_names).select("query_id", "rank", "neighbour_id", F.col("d").alias("distance"))
 
