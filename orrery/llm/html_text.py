@@ -127,10 +127,11 @@ def lines_of(html: str) -> list[Line]:
 
     def pop() -> None:
         nonlocal skip, unseen
-        if skip == len(stack) or unseen == len(stack):
+        if skip == len(stack):
             flush()
-            skip = 0 if skip == len(stack) else skip
-            unseen = 0 if unseen == len(stack) else unseen
+            skip = 0
+        if unseen == len(stack):
+            unseen = 0
         open_[stack.pop()] -= 1
 
     at, end = 0, len(html)
@@ -181,10 +182,13 @@ def lines_of(html: str) -> list[Line]:
             continue
         if stack and (name in BLOCKS and stack[-1] == "p" or name == stack[-1] in ("li", "option", "dt", "dd", "tr", "td", "th")):
             pop()
-        if not skip and boilerplate(name, attributes):
-            flush()
-            skip = len(stack) + 1
-        if not unseen and name in UNSEEN:
+        if not skip and not unseen and boilerplate(name, attributes):
+            if name in BLOCKS and name not in UNSEEN:
+                flush()
+                skip = len(stack) + 1
+            else:  # within a block, which goes on after it
+                unseen = len(stack) + 1
+        elif not unseen and name in UNSEEN:
             unseen = len(stack) + 1
         stack.append(name)
         open_[name] += 1

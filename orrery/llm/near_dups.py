@@ -418,7 +418,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     smallest = member.groupBy("label").agg(F.min("rep").alias("component"))
     found = member.join(smallest, "label").select("set_key", "component")
     final = names.select("set_key", "rep").join(found, "set_key", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    joined = rows.select("doc_id", "n", "set_key").join(final, "set_key", "left")
+    worded = rows.where(F.col("set_key").isNotNull()).select("doc_id", "n", "set_key").join(final, "set_key", "left").select("doc_id", "n", "component")
+    # A row without words has no class: it goes with the other rows of its id, if there are any.
+    wordless = rows.where(F.col("set_key").isNull()).select("doc_id", "n")
+    owned = known.join(wordless.select("doc_id").distinct(), "doc_id", "left_semi").join(final, "set_key").groupBy("doc_id").agg(F.min("component").alias("component"))
+    joined = worded.union(wordless.join(owned, "doc_id", "left").select("doc_id", "n", "component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -12,6 +12,10 @@ each range sums its own tokens, and the few range totals are offset. Equal keys
 (copies) are told apart by doc_id and a row key, so one huge group of copies
 spreads over ranges as any other rows do.
 
+Ids are the library's own for any tokenizer file. Where its normalizer and
+pre-tokens let words be encoded apart (`words_apart` reads that from the file),
+each worker asks the library once for each word; else it gets whole texts.
+
 Null text is the empty text: its document is the end id alone. A repeated
 doc_id is packed once for each row; a null doc_id stays null. An empty table
 gives no pieces. A text longer than a sequence is cut into consecutive pieces.
@@ -19,6 +23,7 @@ gives no pieces. A text longer than a sequence is cut into consecutive pieces.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -40,7 +45,10 @@ CACHED = 200_000
 #: Bytes of text that are split at once.
 SLICE = 4 << 20
 
-# What the tokenizer parts letters from, and the texts whose pre-tokens are found with it (as RE2 patterns).
+# The normalizer and pre-token pattern of tokenizers whose words can be encoded apart (lower case, white space dropped),
+# what they part letters from, and the texts whose pre-tokens are found with it (as RE2 patterns).
+APART_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+APART_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECE = r"('s|'t|'re|'ve|'m|'ll|'d|\pN|[^\t-\r \pL\pN]+)"
 PLAIN = "^[\t-\r -~\u00a1-\u00a7\u00a9\u00ab\u00ac\u00ae\u00b0-\u00b3\u00b6\u00b7\u00b9-\u00ff]*$"
 
@@ -86,11 +94,22 @@ class Ids:
         return [raw[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def coded(texts: pa.Array, ids: Ids, plain: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def words_apart(tokenizer) -> bool:
+    """Whether the tokenizer gives a text the ids of its words one by one; others encode whole texts."""
+    told = json.loads(tokenizer.to_str())
+    normal, before = told.get("normalizer") or {}, told.get("pre_tokenizer") or {}
+    steps = [x["type"] for x in normal.get("normalizers", [])]
+    splits = [x.get("pattern", {}).get("Regex") for x in before.get("pretokenizers", []) if x["type"] == "Split"]
+    return steps == APART_NORMALIZERS and splits == [APART_PATTERN]
+
+
+def coded(texts: pa.Array, ids: Ids, plain: bool | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The ids of each distinct word, each word's place among those, and where each text's words begin and end.
 
-    Plain texts are parted at the tokenizer's own pre-token boundaries, others at white space alone.
+    Plain texts are parted at the tokenizer's own pre-token boundaries, others at white space alone; with plain None a text is one word.
     """
+    if plain is None:
+        return ids.apart(texts.to_pylist()), np.arange(len(texts)), np.arange(len(texts) + 1)
     if plain:
         texts = pc.replace_substring_regex(pc.utf8_lower(texts), PIECE, r" \1 ")
     split = pc.ascii_split_whitespace(texts)
@@ -99,8 +118,10 @@ def coded(texts: pa.Array, ids: Ids, plain: bool) -> tuple[list[bytes], np.ndarr
     return ids(flat.dictionary.to_pylist(), plain), flat.indices.to_numpy(), bounds - bounds[0]
 
 
-def alike(batch: pa.RecordBatch, text: str) -> list[tuple[pa.RecordBatch, bool]]:
-    """The batch's rows with plain texts, and the others."""
+def alike(batch: pa.RecordBatch, text: str, apart: bool) -> list[tuple[pa.RecordBatch, bool | None]]:
+    """The batch's rows with plain texts, and the others; all as whole texts where words cannot be encoded apart."""
+    if not apart:
+        return [(batch, None)] if batch.num_rows else []
     texts = text_array(batch, text)
     plain = pc.and_(pc.match_substring_regex(texts, PLAIN), pc.invert(pc.match_substring(texts, "<|")))
     return [x for x in ((batch.filter(plain), True), (batch.filter(pc.invert(plain)), False)) if x[0].num_rows]
@@ -152,10 +173,10 @@ def tokenised(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
         tokenizer = Tokenizer.from_file(tokenizer_path)
         size = max(tokenizer.get_vocab_size(), end_id + 1)
         kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        words, axes = Ids(tokenizer, kind), signs(size)
+        words, axes, apart = Ids(tokenizer, kind), signs(size), words_apart(tokenizer)
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part, plain in (y for x in slices(batch, text, SLICE) for y in alike(x, text)):
+            for part, plain in (y for x in slices(batch, text, SLICE) for y in alike(x, text, apart)):
                 each, codes, bounds = coded(text_array(part, text), words, plain)
                 length = np.fromiter(map(len, each), np.int64, len(each)) // kind.itemsize
                 flat = np.frombuffer(b"".join(each), kind)
