@@ -39,8 +39,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id.
 
-    Rows that repeat an id are one document: if it stays, its first row by the other columns stays. Rows without an id or
-    without words belong to no group and stay, repeated or not.
+    Rows that repeat an id are one document: if it stays, its first row by the other columns stays. Rows without an id
+    belong to no group and stay, repeated or not; a text without words is like no other and stays.
     """
     found = near_duplicates(docs)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
