@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_folders: dict[str, str] = {}
-
+from orrery.sources.scratch import written
 
 def _written(df: DataFrame) -> DataFrame:
-    """df through the folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _folders.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, "graph")
 
 
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Aggregations: order statistics, thresholds from null populations, rates and intervals.
 
-Order statistics never gather a group's rows: values are counted per group
-first (a map-side combine), and only distinct values with their counts are
-ordered inside a group.
+Order statistics never gather a group's values in one task: values are counted
+per group first (a map-side combine), each group's span is cut into even bins,
+counts by bin tell which bins hold the places that are asked for, and only
+those bins are sorted, each as a task's work of its own.
 """
 
 from __future__ import annotations
@@ -25,14 +26,54 @@ def at_floor(f: float) -> Pick:
     return lambda n: F.floor(f * (n - 1))
 
 
+#: Bins that a group's span is cut into before one of them is sorted.
+BINS = 4096
+
+
+def beside(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """a with the other columns of b, on equal keys, null ones too; without keys b is one row."""
+    if not keys:
+        return a.join(F.broadcast(b))
+    b = b.withColumnsRenamed({k: f"__b_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__b_{k}")) for k in keys]
+    return a.join(b, on, how).drop(*(f"__b_{k}" for k in keys))
+
+
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str, picks: dict[str, Pick], count: str | None = "n") -> DataFrame:
-    """For each group the values at the picked places of its sorted non-null values, and how many there are."""
+    """For each group the values at the picked places of its sorted non-null values, and how many there are.
+
+    Places are counted from 0. Equal values are one entry with its count; NaN is above all numbers.
+    """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    ordered = Window.partitionBy(*keys).orderBy(value)
-    ranked = counted.withColumns({"__upto": F.sum("__c").over(ordered), "__n": F.sum("__c").over(Window.partitionBy(*keys))})
+    finite = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    spans = counted.groupBy(*keys).agg(F.min(finite).alias("__low"), F.max(finite).alias("__high"), F.sum("__c").alias("__n"))
+    placed = beside(counted, spans, keys)
+    share = (F.col(value).cast("double") - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0))
+    bin_ = F.when(F.isnan(F.col(value).cast("double")), BINS + 1).otherwise(F.coalesce(F.floor(F.nanvl(share, F.lit(0.0)) * BINS), F.lit(0))).cast("int")
+    binned = placed.select(*keys, value, "__c", "__n", bin_.alias("__bin"))
+    by_bin = binned.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__in"), F.max("__n").alias("__total"))
+    upto = F.sum("__in").over(Window.partitionBy(*keys).orderBy("__bin"))
+    totals = by_bin.withColumn("__base", upto - F.col("__in"))  # at most BINS + 2 rows a group
+    wanted = F.lit(False)
+    for p in picks.values():
+        at = p(F.col("__total"))
+        wanted = wanted | ((F.col("__base") <= at) & (at < F.col("__base") + F.col("__in")))
+    hit = totals.where(wanted).select(*keys, "__bin", "__base")
+    inside = beside(binned, hit, [*keys, "__bin"])
+    ranked = inside.withColumn("__upto", F.col("__base") + F.sum("__c").over(Window.partitionBy(*keys, "__bin").orderBy(value)))
     here = lambda p: (F.col("__upto") - F.col("__c") <= p(F.col("__n"))) & (p(F.col("__n")) < F.col("__upto"))
     out = [F.max(F.when(here(p), F.col(value))).alias(n) for n, p in picks.items()]
-    return ranked.groupBy(*keys).agg(*out, *([F.max("__n").alias(count)] if count else []))
+    found = ranked.groupBy(*keys).agg(*out, *([F.max("__n").alias(count)] if count else []))
+    return found
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float]) -> DataFrame:
+    """Linearly interpolated percentiles of each group that has a value, and how many values (n)."""
+    low = {f"__l{n}": (lambda f: lambda m: F.floor(f * (m - 1)))(f) for n, f in fractions.items()}
+    high = {f"__h{n}": (lambda f: lambda m: F.ceil(f * (m - 1)))(f) for n, f in fractions.items()}
+    at = order_statistics(df, keys, value, low | high)
+    between = lambda n, f: F.col(f"__l{n}") + (F.col(f"__h{n}") - F.col(f"__l{n}")) * (f * (F.col("n") - 1) - F.floor(f * (F.col("n") - 1)))
+    return at.select(*keys, *(between(n, f).cast("double").alias(n) for n, f in fractions.items()), "n")
 
 
 def describe(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -42,12 +83,16 @@ def describe(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def distribution(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float], digits: int = 6) -> DataFrame:
     """Linearly interpolated percentiles and the mean."""
-    return df.groupBy(*keys).agg(*(F.round(F.percentile(value, F.lit(f)), digits).alias(n) for n, f in fractions.items()), F.round(F.avg(value), digits).alias("mean"))
+    means = df.groupBy(*keys).agg(F.round(F.avg(value), digits).alias("mean"))
+    at = percentiles(df, keys, value, fractions)
+    return beside(means, at, keys, "left").select(*keys, *(F.round(n, digits).alias(n) for n in fractions), "mean")
 
 
 def summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Count, median, minimum and maximum; null where a group has no value."""
-    return df.groupBy(*keys).agg(F.count(value).alias("count"), F.median(value).alias("median"), F.min(value).alias("minimum"), F.max(value).alias("maximum"))
+    plain = df.groupBy(*keys).agg(F.count(value).alias("count"), F.min(value).alias("minimum"), F.max(value).alias("maximum"))
+    at = percentiles(df, keys, value, {"median": 0.5})
+    return beside(plain, at, keys, "left").select(*keys, "count", "median", "minimum", "maximum")
 
 
 def null_threshold(nulls: DataFrame, keys: Sequence[str], score: str, false_alarm: float) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import scalars as fn
 from orrery.operators import joins, ordered
-from orrery.plans.registry import ORACLE_SQL, Tables, query
+from orrery.plans.registry import Tables, query
 
 DAY = 86_400
 
@@ -265,20 +265,15 @@ def j24(t: Tables) -> DataFrame:
     return joins.mutual_best(p, "l", "r", "score").select("l", "r", F.round("score", 6).alias("score"))
 
 
-@query("j25_event_hypotheses", f"""WITH {TRACKS}, h AS (SELECT x.user_id, x.a, x.m, y.user_id AS cand, (least(x.b, y.b) - greatest(x.a, y.a)) / nullif(x.b - x.a, 0)::DOUBLE AS share, exp(-abs(x.m - y.m) / 25) AS score FROM tr x JOIN tr y ON x.event_type = 'view' AND y.event_type = 'error' AND x.a <= y.b AND y.a <= x.b WHERE x.user_id < 20),
+@query("j25_event_hypotheses", f"""WITH {TRACKS}, h AS (SELECT x.user_id, x.a, x.m, y.user_id AS cand, (least(x.b, y.b) - greatest(x.a, y.a)) / nullif(x.b - x.a, 0)::DOUBLE AS share, exp(-abs(x.m - y.m) / 25) AS score FROM tr x JOIN tr y ON x.event_type = 'view' AND y.event_type = 'error' AND x.a <= y.b AND y.a <= x.b),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, a ORDER BY score DESC, cand) AS p FROM h WHERE share >= 0.25) SELECT user_id, a, cand, round(score, 6) AS score FROM r WHERE p = 1""")
 def j25(t: Tables) -> DataFrame:
-    return event_hypotheses(t, "user_id < 20")
-
-
-@query("j25_event_hypotheses_all", ORACLE_SQL["j25_event_hypotheses"].replace(" WHERE x.user_id < 20", ""))
-def j25_all(t: Tables) -> DataFrame:
     return event_hypotheses(t)
 
 
-def event_hypotheses(t: Tables, users: str = "true") -> DataFrame:
+def event_hypotheses(t: Tables) -> DataFrame:
     tr = tracks(t).withColumn("all", F.lit(1))
-    x = tr.where("event_type = 'view'").where(users).select("all", "user_id", "a", "b", "m")
+    x = tr.where("event_type = 'view'").select("all", "user_id", "a", "b", "m")
     y = tr.where("event_type = 'error'").select("all", F.col("user_id").alias("cand"), F.col("a").alias("c"), F.col("b").alias("d"), F.col("m").alias("cm"))
     met = joins.overlapping(x, y, ["all"], ("a", "b"), ("c", "d"), 43_200)
     share = (F.least("b", "d") - F.greatest("a", "c")) / F.nullif(F.col("b") - F.col("a"), F.lit(0))

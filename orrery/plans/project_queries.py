@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orrery.functions import scalars as fn
 from orrery.operators import currency, ordered, project
 from orrery.plans.registry import Tables, query
+from orrery.sources import scratch
 
 UNIQUE = "u AS (SELECT l_orderkey, l_linenumber, l_suppkey, max(l_extendedprice) AS price, max(l_discount) AS discount FROM lineitem GROUP BY ALL)"
 
@@ -332,27 +333,61 @@ def p09(t: Tables) -> DataFrame:
 @query("s02_multi_kind_scan", """
 SELECT kind, count(*) AS documents, count(DISTINCT k) AS recordings FROM (SELECT 'analysis' AS kind, o_orderkey AS k FROM orders UNION ALL SELECT 'track', l_orderkey FROM lineitem UNION ALL SELECT 'association', l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1""")
 def s02(t: Tables) -> DataFrame:
-    kinds = {"analysis": t.orders.select(F.col("o_orderkey").alias("k")), "track": t.lineitem.select(F.col("l_orderkey").alias("k")), "association": t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k"))}
-    counts = [df.agg(F.count("*").alias("documents"), F.count_distinct("k").alias("recordings")).select(F.lit(n).alias("kind"), "documents", "recordings") for n, df in kinds.items()]
+    """One reader with its own schema for each kind of document under reports/<kind>/; the recording is part of the path."""
+    root = scratch.fresh(t.spark, "reports")
+    part = lambda k: F.concat(F.lit("r"), F.pmod(k, F.lit(16)).cast("string"))
+    kinds = {
+        "analysis": (t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("total")), "total double"),
+        "track": (t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("points")), "points bigint"),
+        "association": (t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("satellite")), "satellite bigint"),
+    }
+    counts = []
+    for kind, (docs, extra) in kinds.items():
+        docs.withColumn("group", part(F.col("k"))).write.partitionBy("group").json(f"{root}/reports/kind={kind}")
+        found = t.spark.read.schema(f"k bigint, {extra}").option("mode", "FAILFAST").json(f"{root}/reports/kind={kind}")
+        kind_of = F.regexp_extract("_metadata.file_path", "reports/kind=([^/]+)/group=r([0-9]+)/", 1)
+        counts.append(found.select(kind_of.alias("kind"), "k").groupBy("kind").agg(F.count("*").alias("documents"), F.count_distinct("k").alias("recordings")))
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 @query("s04_receipt_discovery", """
 SELECT regexp_extract(path, 'runs/([^/]+)/([^/]+)/completion.json', 1) AS pipeline, regexp_extract(path, 'runs/([^/]+)/([^/]+)/completion.json', 2) AS recording FROM (SELECT 'runs/p' || o_custkey % 3 || '/r' || o_orderkey || '/completion.json' AS path, o_orderstatus FROM orders) WHERE o_orderstatus = 'F'""")
 def s04(t: Tables) -> DataFrame:
-    path = F.concat(F.lit("runs/p"), (F.col("o_custkey") % 3).cast("string"), F.lit("/r"), F.col("o_orderkey").cast("string"), F.lit("/completion.json"))
-    pattern = "runs/([^/]+)/([^/]+)/completion.json"
-    done = t.orders.where("o_orderstatus = 'F'").select(path.alias("path"))
-    return done.select(F.regexp_extract("path", pattern, 1).alias("pipeline"), F.regexp_extract("path", pattern, 2).alias("recording"))
+    """Receipts under runs/<pipeline>/: a run exists only where its receipt says success."""
+    root = scratch.fresh(t.spark, "runs")
+    status = F.when(F.col("o_orderstatus") == "F", "success").otherwise("failed")
+    receipts = t.orders.select(F.concat(F.lit("p"), (F.col("o_custkey") % 3).cast("string")).alias("pipeline"), F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("recording"), status.alias("status"))
+    receipts.write.partitionBy("pipeline").json(f"{root}/runs")
+    found = t.spark.read.schema("recording string, status string").option("mode", "FAILFAST").json(f"{root}/runs/pipeline=*")
+    return found.where("status = 'success'").select(F.regexp_extract("_metadata.file_path", "runs/pipeline=([^/]+)/", 1).alias("pipeline"), "recording")
 
 
 @query("s09_schema_evolution", """
 SELECT era, count(*) AS n, count(tax) AS with_tax FROM (SELECT 'old' AS era, NULL::DOUBLE AS tax FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' UNION ALL SELECT 'new', l_tax FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01') GROUP BY 1""")
 def s09(t: Tables) -> DataFrame:
+    """Partitions written at two times, the older without a column, read as one table by column name."""
+    root = scratch.fresh(t.spark, "eras")
     cut = F.expr("timestamp_ntz '1996-01-01 00:00:00'")
-    old = t.lineitem.where(F.col("l_shipdate") < cut).select(F.lit("old").alias("era"), "l_orderkey")
-    new = t.lineitem.where(F.col("l_shipdate") >= cut).select(F.lit("new").alias("era"), "l_orderkey", F.col("l_tax").alias("tax"))
-    return old.unionByName(new, allowMissingColumns=True).groupBy("era").agg(F.count("*").alias("n"), F.count("tax").alias("with_tax"))
+    t.lineitem.where(F.col("l_shipdate") < cut).select("l_orderkey").write.parquet(f"{root}/era=old")
+    t.lineitem.where(F.col("l_shipdate") >= cut).select("l_orderkey", F.col("l_tax").alias("tax")).write.parquet(f"{root}/era=new")
+    from orrery.sources.reports import read_partitions
+
+    return read_partitions(t.spark, root).groupBy("era").agg(F.count("*").alias("n"), F.count("tax").alias("with_tax"))
+
+
+@query("s08_commit_markers", """
+SELECT o_orderstatus AS unit, count(*) AS rows, count(*) FILTER (o_orderpriority LIKE '1-%') AS missing, true AS current FROM orders GROUP BY 1""")
+def s08(t: Tables) -> DataFrame:
+    """Partitions with a marker each, appended after the data; a reader takes a partition only as its newest marker tells."""
+    root = scratch.fresh(t.spark, "marked")
+    rows = t.orders.select("o_orderkey", F.when(~F.col("o_orderpriority").like("1-%"), F.col("o_orderpriority")).alias("priority"), F.col("o_orderstatus").alias("unit"))
+    rows.write.partitionBy("unit").option("compression", "zstd").parquet(f"{root}/table")
+    counted = lambda df: df.groupBy("unit").agg(F.count("*").alias("rows"), F.count_if(F.col("priority").isNull()).alias("missing"), F.sum(F.xxhash64("o_orderkey").cast("decimal(20,0)")).alias("seal"))
+    table = t.spark.read.schema("o_orderkey bigint, priority string, unit string").parquet(f"{root}/table")
+    counted(table).withColumn("written", F.current_timestamp()).write.mode("append").parquet(f"{root}/markers")
+    newest = ordered.newest(t.spark.read.parquet(f"{root}/markers"), ["unit"], [F.desc("written")])
+    held = counted(table).select("unit", F.col("seal").alias("now"))
+    return newest.join(held, "unit", "left").select("unit", "rows", "missing", F.coalesce(F.col("seal") == F.col("now"), F.lit(False)).alias("current"))
 
 
 @query("s14_waterfall_rows", "SELECT vec_id, unnest(range(0, len(embedding))) AS bin, round(CAST(unnest(embedding) AS DOUBLE), 6) AS level FROM embeddings")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.plans.registry import Tables, query
+from orrery.sources import reports, scratch
 from orrery.streaming import windows
 
 
@@ -53,3 +54,79 @@ SELECT x.event_id AS a, y.event_id AS b FROM events x JOIN events y ON x.event_t
 def st14(t: Tables) -> DataFrame:
     side = lambda kind, i, at: t.events.where(f"event_type = '{kind}'").select("user_id", F.col("event_id").alias(i), F.col("ts").alias(at))
     return windows.paired_instants(side("view", "a", "at"), side("click", "b", "bt"), ["user_id"], "at", "bt", "30 minutes").select("a", "b")
+
+
+def drained(t: Tables, stream: DataFrame) -> DataFrame:
+    """What the stream puts out until its files are used up, by way of the shared folder."""
+    root = scratch.fresh(t.spark, "stream")
+    stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def arriving(t: Tables, rows: DataFrame, files: int = 4) -> DataFrame:
+    """The rows as a stream of files, one at a time."""
+    root = scratch.fresh(t.spark, "arriving")
+    rows.repartition(files, *rows.columns[:1]).write.parquet(root)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
+@query("st01_report_stream", """
+SELECT recording, probe, receiver, start_s, offset_hz, count(*) AS n FROM (SELECT 'ch' || (o_custkey % 8 + 1) || '-' || strftime(o_orderdate, '%Y%m%d') || 'T120000Z' AS recording, CAST(row_number() OVER (PARTITION BY o_orderkey, r ORDER BY l_linenumber, l_quantity, l_extendedprice) - 1 AS INTEGER) AS probe, CAST(r AS INTEGER) AS receiver, l_quantity AS start_s, l_extendedprice * (1 + r) AS offset_hz
+FROM (SELECT * FROM orders WHERE o_orderstatus = 'F') JOIN lineitem ON l_orderkey = o_orderkey, (SELECT unnest([0, 1]) AS r)) GROUP BY ALL""")
+def st01(t: Tables) -> DataFrame:
+    """Reports arrive as files, one report a line; the stream reads them under the contract and puts out probe rows by day."""
+    root = scratch.fresh(t.spark, "reports")
+    match = lambda times: F.struct(F.struct(F.struct((F.col("l_extendedprice") * times).alias("frequency_offset_hz"), F.lit(0).cast("bigint").alias("epoch_sample"), F.col("l_discount").alias("score")).alias("exact_match"), F.col("l_tax").alias("match_score_margin")).alias("acquisition"))
+    check = F.struct(F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("start_s"), F.lit(True).alias("candidate"), F.lit(False).alias("qualified"), F.array(match(1), match(2)).alias("receivers"))
+    nested = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(check)).alias("exact_checks"))
+    name = F.concat(F.lit("ch"), (F.col("o_custkey") % 8 + 1).cast("string"), F.lit("-"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("T120000Z"))
+    manifest = F.struct(F.struct(F.col("o_custkey").cast("string").alias("radio_id"), F.array(F.lit("lnb-a"), F.lit("lnb-b")).alias("receiver_labels")).alias("identity"), F.col("o_orderkey").cast("bigint").alias("created_utc_ns"))
+    docs = t.orders.where("o_orderstatus = 'F'").join(nested, "o_orderkey").select(name.alias("recording"), manifest.alias("capture_manifest"), "exact_checks")
+    docs.write.json(root)
+    source = t.spark.readStream.schema(f"recording string, {reports.REPORT}").option("mode", "FAILFAST").option("maxFilesPerTrigger", 4).json(root)
+    # probe_rows takes a recording's name from its path, and a check's place from its array.
+    probes = reports.probe_rows(source.withColumn("path", F.concat(F.lit("/"), "recording", F.lit(".json"))))
+    out = drained(t, probes)
+    return out.groupBy("recording", "probe", "receiver", "start_s", "offset_hz").agg(F.count("*").alias("n"))
+
+
+@query("st02_newest_delivery", """
+SELECT user_id, d AS day, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value FROM (SELECT *, strftime(ts, '%Y-%m-%d') AS d FROM events) GROUP BY ALL""")
+def st02(t: Tables) -> DataFrame:
+    """A recording that is published again replaces what was there: each batch rewrites the days that it touches."""
+    root = scratch.fresh(t.spark, "newest")
+    rows = t.events.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("key"), "event_id", "value")
+    stream = arriving(t, rows)
+    schema = rows.schema
+
+    def read() -> DataFrame | None:
+        return t.spark.read.schema(schema).parquet(f"{root}/table") if done else None
+
+    def write(df: DataFrame) -> None:
+        kept = scratch.written(df, "days")  # the days are read and replaced in one job
+        kept.select(*schema.names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{root}/table")
+        done.append(True)
+
+    done: list[bool] = []
+    sink = windows.upsert_days(write, read, "key", "day", "event_id")
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(schema).parquet(f"{root}/table").select("user_id", "day", "event_id", "value")
+
+
+@query("st03_late_days", """
+WITH e AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, value FROM events), first AS (SELECT * FROM e WHERE event_id % 4 <> 0), late AS (SELECT DISTINCT day FROM e WHERE event_id % 4 = 0)
+SELECT day, count(*) AS rows, round(sum(value), 4) AS total, day IN (SELECT day FROM late) AS rebuilt FROM e GROUP BY day""")
+def st03(t: Tables) -> DataFrame:
+    """A day that gains rows after it was written is written again from all its rows; other days stay as they are."""
+    root = scratch.fresh(t.spark, "late")
+    e = t.events.select("event_id", "value", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    days = lambda df: df.groupBy("day").agg(F.count("*").alias("rows"), F.sum("value").alias("total"))
+    put = lambda df, mark: days(df).withColumn("rebuilt", F.lit(mark)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{root}/table")
+    put(e.where("event_id % 4 <> 0"), False)
+
+    def rebuild(batch: DataFrame, _: int) -> None:
+        put(e.join(batch.select("day").distinct(), "day", "left_semi"), True)
+
+    arriving(t, e.where("event_id % 4 = 0")).writeStream.foreachBatch(rebuild).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    out = t.spark.read.schema("rows bigint, total double, rebuilt boolean, day string").parquet(f"{root}/table")
+    return out.select("day", "rows", F.round("total", 4).alias("total"), "rebuilt")

@@ -10,7 +10,7 @@ from orrery.functions import scalars as fn
 from orrery.operators import joins, ordered, spectra, tracks
 from orrery.plans.join_queries import TRACKS
 from orrery.plans.join_queries import tracks as day_tracks
-from orrery.plans.registry import ORACLE_SQL, Tables, query
+from orrery.plans.registry import Tables, query
 from orrery.plans.spectral_queries import RESIDUAL, spectrum
 
 
@@ -89,20 +89,15 @@ def ranked(rows: DataFrame, order: list[str], most: DataFrame | None = None) ->
     return out.where(F.col("rank") <= F.col("most")) if most is not None else out
 
 
-@query("j26_rate_match", f"""WITH {TRACKS}, c AS (SELECT x.user_id, x.a, y.user_id AS cand, abs(x.m - y.m) AS d FROM tr x JOIN tr y ON x.event_type = 'view' AND y.event_type = 'click' AND x.a <= y.b AND y.a <= x.b AND x.b > x.a WHERE x.user_id < 30),
+@query("j26_rate_match", f"""WITH {TRACKS}, c AS (SELECT x.user_id, x.a, y.user_id AS cand, abs(x.m - y.m) AS d FROM tr x JOIN tr y ON x.event_type = 'view' AND y.event_type = 'click' AND x.a <= y.b AND y.a <= x.b AND x.b > x.a),
 r AS (SELECT *, lead(d) OVER w AS second, row_number() OVER w AS p FROM c WINDOW w AS (PARTITION BY user_id, a ORDER BY d, cand)) SELECT user_id, a, cand, coalesce(second - d >= 0.15, true) AS decisive FROM r WHERE p = 1""")
 def j26(t: Tables) -> DataFrame:
-    return rate_matches(t, "user_id < 30")
-
-
-@query("j26_rate_match_all", ORACLE_SQL["j26_rate_match"].replace(" WHERE x.user_id < 30", ""))
-def j26_all(t: Tables) -> DataFrame:
     return rate_matches(t)
 
 
-def rate_matches(t: Tables, users: str = "true") -> DataFrame:
+def rate_matches(t: Tables) -> DataFrame:
     tr = day_tracks(t).withColumn("all", F.lit(1))
-    x = tr.where("event_type = 'view' and b > a").where(users).select("all", "user_id", "a", "b", "m")
+    x = tr.where("event_type = 'view' and b > a").select("all", "user_id", "a", "b", "m")
     y = tr.where("event_type = 'click'").select("all", F.col("user_id").alias("cand"), F.col("a").alias("c"), F.col("b").alias("e"), F.col("m").alias("cm"))
     met = joins.overlapping(x, y, ["all"], ("a", "b"), ("c", "e"), 43_200).withColumn("d", F.abs(F.col("m") - F.col("cm")))
     return ordered.margin_gate(met, ["user_id", "a"], "d", "cand", 0.15, float("inf")).select("user_id", "a", "cand", F.col("passed").alias("decisive"))
@@ -134,13 +129,8 @@ def s11(t: Tables) -> DataFrame:
 
 
 @query("o05_visibility_screen", """
-SELECT user_id, max(value) - 60 AS highest FROM events WHERE event_id % 3 = 0 GROUP BY 1 HAVING max(value) - 60 >= -1 ORDER BY highest DESC, user_id LIMIT 40""")
+SELECT user_id, max(value) - 60 AS highest FROM events GROUP BY 1 HAVING max(value) - 60 >= -1 ORDER BY highest DESC, user_id LIMIT 40""")
 def o05(t: Tables) -> DataFrame:
-    return visible(t.events.where("event_id % 3 = 0"))
-
-
-@query("o05_visibility_screen_all", ORACLE_SQL["o05_visibility_screen"].replace(" WHERE event_id % 3 = 0", ""))
-def o05_all(t: Tables) -> DataFrame:
     return visible(t.events)
 
 
@@ -150,20 +140,15 @@ def visible(events: DataFrame) -> DataFrame:
 
 
 @query("o07_pass_tracks", """
-WITH p AS (SELECT o_orderkey, o_custkey, epoch_us(o_orderdate) // 86400000000 AS a, epoch_us(o_orderdate) // 86400000000 + 20 AS b FROM orders WHERE o_custkey < 200) SELECT o_orderkey, count(*) AS samples, min(d) AS first, max(d) AS last FROM (SELECT o_orderkey, unnest(list_distinct(list_append(range(a, b, 6), b))) AS d FROM p) GROUP BY 1""")
+WITH p AS (SELECT o_orderkey, o_custkey, epoch_us(o_orderdate) // 86400000000 AS a, epoch_us(o_orderdate) // 86400000000 + 20 AS b FROM orders) SELECT o_orderkey, count(*) AS samples, min(d) AS first, max(d) AS last FROM (SELECT o_orderkey, unnest(list_distinct(list_append(range(a, b, 6), b))) AS d FROM p) GROUP BY 1""")
 def o07(t: Tables) -> DataFrame:
-    return pass_samples(t, "o_custkey < 200")
-
-
-@query("o07_pass_tracks_all", ORACLE_SQL["o07_pass_tracks"].replace(" WHERE o_custkey < 200", ""))
-def o07_all(t: Tables) -> DataFrame:
     return pass_samples(t)
 
 
-def pass_samples(t: Tables, customers: str = "true") -> DataFrame:
+def pass_samples(t: Tables) -> DataFrame:
     from orrery.plans.join_queries import passes
 
-    p = passes(t).where(customers)
+    p = passes(t)
     grid = F.array_distinct(F.concat(F.sequence("a", F.col("b") - 1, F.lit(6).cast("long")), F.array("b")))
     return p.select("o_orderkey", F.explode(grid).alias("d")).groupBy("o_orderkey").agg(F.count("*").alias("samples"), F.min("d").alias("first"), F.max("d").alias("last"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from orrery.operators import currency, estimators, graph, joins, ordered, spectra, stats
@@ -120,3 +122,34 @@ def test_drift_states(spark):
     old = spark.createDataFrame([(1, 10, "a"), (2, 9, "b"), (3, 10, "x"), (4, 1, "d")], "i int, m int, d string")
     got = {r.i: r.state for r in currency.drift(now, old, ["i"], ["m"], "d").collect()}
     assert got == {1: "current", 2: "touched", 3: "changed", 4: "gone", 5: "added"}
+
+
+def test_order_statistics_of_odd_groups(spark):
+    import math
+
+    from orrery.operators import stats
+
+    rng = np.random.default_rng(4)
+    groups = {"a": [1.0], "b": [2.0] * 50, "c": rng.normal(size=999).tolist(), "d": [*rng.normal(size=40).tolist(), math.nan, math.inf, -math.inf], None: [5.0, 1e300, -1e300, 0.0], "e": (1e9 + rng.random(300) * 1e-3).tolist(), "f": []}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("f", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in stats.describe(df, ["g"], "v").collect()}
+    assert set(got) == set(groups) - {"f"}
+    for g, vs in groups.items():
+        order = sorted(vs, key=lambda v: (math.isnan(v), v))
+        for name, f in (("minimum", 0), ("p50", 0.5), ("p90", 0.9), ("p99", 0.99), ("maximum", 1)):
+            if vs:
+                want, have = order[round(f * (len(vs) - 1))], got[g][name]
+                assert have == want or math.isnan(have) and math.isnan(want)
+    whole = stats.order_statistics(df.where("g in ('c', 'e')"), [], "v", {"m": stats.at_fraction(0.5)}).first()
+    assert whole.m == sorted(groups["c"] + groups["e"])[round(0.5 * 1298)] and whole.n == 1299
+    assert stats.order_statistics(df.limit(0), ["g"], "v", {"m": stats.at_fraction(0.5)}).count() == 0
+
+
+def test_no_single_task_over_values(spark):
+    from orrery.operators import stats
+
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.rand(1).alias("v"))
+    for keys in ([], ["g"]):
+        plan = stats.order_statistics(df, keys, "v", {"m": stats.at_fraction(0.5)})._jdf.queryExecution().optimizedPlan().toString()
+        assert "windowspecdefinition(v" not in plan and ("windowspecdefinition(g#" not in plan or "__bin" in plan)

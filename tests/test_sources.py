@@ -88,3 +88,47 @@ def test_listing_sinks(spark, tmp_path):
     csv = spark.read.schema("id int, name string, v double").option("header", True).csv(f"{tmp_path}/csv")
     assert sorted(csv.collect()) == sorted(df.collect())
     assert sorted(r.id for r in spark.read.json(f"{tmp_path}/jsonl").collect()) == [1, 2]
+
+
+def test_build_reads_only_what_moved(spark, tmp_path, monkeypatch):
+    import os
+
+    src, table, ledger = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "ledger")
+    src.mkdir()
+    for i, day in enumerate((11, 12, 13)):
+        put(src, f"r{i}-202608{day}T120000Z", report(i + 1))
+    put(src, "no-stamp", report(1))
+    read, digested = [], []
+    parse, digest = reports.read_reports, reports.digests
+    monkeypatch.setattr(reports, "read_reports", lambda s, paths, *a: read.extend(paths) or parse(s, paths, *a))
+    monkeypatch.setattr(reports, "digests", lambda s, paths: digested.extend(paths) or digest(s, paths))
+    assert reports.build(spark, str(src), table, ledger) == 3 and len(read) == 3 and len(digested) == 4
+    states = lambda: {str(r.date): r.state for r in reports.partition_status(spark, f"{ledger}-markers", ledger).where("date is not null").collect()}
+    assert set(states().values()) == {"current"}
+    marks = {str(r.date): r for r in reports.markers(spark, f"{ledger}-markers").collect()}
+    assert marks["2026-08-13"].rows == 6 and marks["2026-08-13"].nulls["rms"] == 0 and [os.path.basename(x) for x in marks["2026-08-13"].excluded] == ["no-stamp.json"]
+
+    read.clear(), digested.clear()
+    assert reports.build(spark, str(src), table, ledger) == 0 and not read and not digested
+    os.utime(src / "r1-20260812T120000Z.json", (1, 1))  # touched only: read for its digest, not parsed
+    assert reports.build(spark, str(src), table, ledger) == 0 and not read and len(digested) == 1
+    digested.clear()
+    (src / "r2-20260813T120000Z.json").unlink()
+    put(src, "r1b-20260812T130000Z", report(4))
+    assert reports.build(spark, str(src), table, ledger) == 2
+    assert len(digested) == 1 and sorted(p.rsplit("/", 1)[1][:3] for p in read) == ["r1-", "r1b"]
+    got = {str(r.date): r["count"] for r in reports.read_partitions(spark, table).groupBy("date").count().collect()}
+    assert got == {"2026-08-11": 2, "2026-08-12": 12} and states() == {"2026-08-11": "current", "2026-08-12": "current", "2026-08-13": "gone"}
+    assert reports.build(spark, str(src), table, ledger) == 0
+
+
+def test_reports_stream_into_probe_rows(spark, tmp_path):
+    src, table, state = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "state")
+    src.mkdir()
+    put(src, "a-20260811T120000Z", report(1))
+    put(src, "b-20260812T120000Z", report(2))
+    reports.stream_probes(spark, str(src), table, state, 1).awaitTermination()
+    put(src, "c-20260812T130000Z", report(3))
+    reports.stream_probes(spark, str(src), table, state).awaitTermination()
+    got = {str(r.date): r["count"] for r in reports.read_partitions(spark, table).groupBy("date").count().collect()}
+    assert got == {"2026-08-11": 2, "2026-08-12": 10}

@@ -61,25 +61,25 @@ def test_whole_matches_take_every_user(spark):
             if scored:
                 hypotheses[u, a] = scored[0][1]
     assert max(u for u, _ in rate) >= 30 and max(u for u, _ in hypotheses) >= 20
-    assert {(r.user_id, r.a): (r.cand, r.decisive) for r in track_queries.j26_all(t).collect()} == rate
-    assert {(r.user_id, r.a): r.cand for r in join_queries.j25_all(t).collect()} == hypotheses
+    assert {(r.user_id, r.a): (r.cand, r.decisive) for r in track_queries.j26(t).collect()} == rate
+    assert {(r.user_id, r.a): r.cand for r in join_queries.j25(t).collect()} == hypotheses
     highest = defaultdict(float)
     for _, u, _, _, v in rows:
         highest[u] = max(highest[u], v - 60)
     want = sorted(((-h, u) for u, h in highest.items() if h >= -1))[:40]
-    assert [(-r.highest, r.user_id) for r in track_queries.o05_all(t).collect()] == want
+    assert [(-r.highest, r.user_id) for r in track_queries.o05(t).collect()] == want
 
 
 def test_whole_pass_samples_take_every_customer(spark):
     orders = spark.createDataFrame([(i, c, START) for i, c in enumerate((1, 199, 200, 5000))], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz")
-    got = track_queries.o07_all(SimpleNamespace(orders=orders)).collect()
+    got = track_queries.o07(SimpleNamespace(orders=orders)).collect()
     day = (START - dt.datetime(1970, 1, 1)).days
     assert sorted((r.o_orderkey, r.samples, r["first"], r["last"]) for r in got) == [(i, 5, day, day + 20) for i in range(4)]
 
 
 def test_whole_queries_have_no_id_filter():
     for name in ("j25_event_hypotheses", "j26_rate_match", "o05_visibility_screen", "o07_pass_tracks"):
-        assert registry.ORACLE_SQL[name + "_all"] != registry.ORACLE_SQL[name] and not any(x in registry.ORACLE_SQL[name + "_all"] for x in ("user_id <", "o_custkey <", "% 3"))
+        assert not any(x in registry.ORACLE_SQL[name] for x in ("user_id <", "o_custkey <", "% 3"))
 
 
 @pytest.mark.parametrize("users", [20, 600])
