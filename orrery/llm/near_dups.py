@@ -17,9 +17,11 @@ SHALLOW values or more. Two rounds find the candidates:
    LONG_HASHES values, which only classes get that have some likely partner, lie
    in a run of more than DENSE, or lie in a run that a range may have cut. Runs
    of more than BLOCK are cut into salted blocks, and each block that is not of
-   the run's largest component meets every block. Every pair that the sketches
-   cannot rule out and whose components still differ is confirmed as well, so no
-   depth, hub, nearest choice or range of round 1 loses a link.
+   the run's largest component meets every block. In a first pass each class
+   takes its nearest likely partner of another component, which joins what is
+   left of a large group of near copies. In a second one every pair that the
+   sketches cannot rule out and whose components still differ is confirmed as
+   well, so no depth, hub, nearest choice or range loses a link.
 
 Nothing is paired inside a component, so a group of thousands of near copies
 costs about two pairs a member instead of all its pairs, and a run is spread
@@ -278,8 +280,8 @@ def cells(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     return placed.select("tree", "top", "p", "q", "part", "node", "n", "label", "sketch").repartition(shuffle_partitions(spark), "tree", "top", "p", "q").sortWithinPartitions("tree", "top", "p", "q", "part", "node")
 
 
-def remainder(classes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Round 2: (x, nx, y, ny), every likely pair of a run whose components differ."""
+def remainder(classes: DataFrame, block: int = BLOCK, nearest: bool = False) -> DataFrame:
+    """Round 2: (x, nx, y, ny), every likely pair of a run whose components differ, or of each row in a piece the nearest one alone."""
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run, _ in runs(batches, ("tree", "top", "p", "q")):
@@ -307,7 +309,11 @@ def remainder(classes: DataFrame, block: int = BLOCK) -> DataFrame:
                 i, j = np.nonzero(fits & once)
                 x, y = rows[i], every[j]
                 long = np.concatenate([EQUAL[run["sketch"][x[k : k + 8192]] ^ run["sketch"][y[k : k + 8192]]].sum(axis=1, dtype=np.uint16) for k in range(0, len(x), 8192)] or [np.zeros(0, np.uint16)])
-                x, y = x[long >= LEAST_LONG], y[long >= LEAST_LONG]
+                x, y, long = (v[long >= LEAST_LONG] for v in (x, y, long))
+                if nearest and len(x):
+                    order = np.lexsort((node[y], -long.astype(np.int64), x))
+                    best = order[np.append(True, x[order][1:] != x[order][:-1])]
+                    x, y = x[best], y[best]
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[x], n[x], node[y], n[y])], names=["x", "nx", "y", "ny"])
 
@@ -372,6 +378,20 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
+def joined_up(classes: DataFrame, labels: DataFrame, sets: DataFrame, tried: DataFrame, nearest: bool) -> tuple[DataFrame, DataFrame]:
+    """A pass of round 2: labels after the links between components that `remainder` finds, and the pairs that were tried."""
+    open_ = materialize(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    pairs = materialize(smaller_first(remainder(open_, nearest=nearest)).join(tried, ["x", "nx", "y", "ny"], "left_anti"))
+    more = materialize(confirmed(pairs, sets))
+    discard(open_)
+    to_label = lambda side: more.join(labels.withColumnRenamed("node", side), side, "left").select("x", "y", F.coalesce("label", side).alias(f"l{side}"))
+    lifted = to_label("x").join(to_label("y"), ["x", "y"]).select(F.col("lx").alias("x"), F.col("ly").alias("y"))
+    upper = components(lifted)
+    once = labels.join(upper.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    alone = upper.join(labels, "node", "left_anti").select("node", "label")
+    return materialize(once.union(alone)), pairs
+
+
 def same_document(known: DataFrame, repeated: DataFrame, names: DataFrame) -> DataFrame:
     """(x, y): links between the classes of the texts of one id."""
     several = repeated.where("least <> greatest").select("doc_id")
@@ -402,19 +422,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     labels = components(links)
 
     # Only classes with some likely partner, or of runs not compared in full, are in `sets`; the second round needs no others.
-    open_ = nodes.drop("sketch").join(sets.select("node", "sketch"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = materialize(open_)
-    second = materialize(smaller_first(remainder(open_)).join(first, ["x", "nx", "y", "ny"], "left_anti"))
-    more = materialize(confirmed(second, sets))
-    for done in (built, open_, second, tried):
+    partnered = materialize(nodes.drop("sketch").join(sets.select("node", "sketch"), "node"))
+    labels, tried_too = joined_up(partnered, labels, sets, first, nearest=True)
+    labels, _ = joined_up(partnered, labels, sets, first.union(tried_too), nearest=False)
+    for done in (built, partnered, tried):
         discard(done)
-    to_label = lambda side: more.join(labels.withColumnRenamed("node", side), side, "left").select("x", "y", F.coalesce("label", side).alias(f"l{side}"))
-    lifted = to_label("x").join(to_label("y"), ["x", "y"]).select(F.col("lx").alias("x"), F.col("ly").alias("y"))
-    upper = components(lifted)
 
-    once = labels.join(upper.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-    alone = upper.join(labels, "node", "left_anti").select("node", "label")
-    member = names.join(once.union(alone), "node").select("set_key", "rep", "label")
+    member = names.join(labels, "node").select("set_key", "rep", "label")
     smallest = member.groupBy("label").agg(F.min("rep").alias("component"))
     found = member.join(smallest, "label").select("set_key", "component")
     final = names.select("set_key", "rep").join(found, "set_key", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
