@@ -53,7 +53,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.common import discard, materialize, shuffle_partitions, slices, table, text_array
@@ -257,9 +257,15 @@ def proposals(classes: DataFrame) -> DataFrame:
     return forest(classes).select("tree", "top", "prefix", "node", "n", "sketch").mapInArrow(propose, "x long, nx long, y long, ny long, equal int, hub boolean")
 
 
+def tops_of(orders: str) -> list[Column]:
+    """The prefix in each order, as bytes."""
+    return [F.substring(orders, t * (2 * DEPTH) + 1, 2 * SHALLOW) for t in range(TREES)]
+
+
 def cells(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     """(tree, top, p, q, part, node, n, label, sketch): the rows of runs of several components, once for each piece of work that they are in.
 
+    After its sketch, a row's prefixes in all orders follow: they tell in which order a pair meets first.
     A run of at most `block` rows is one piece. Else its rows outside its largest component (the rest) and those inside
     are cut into blocks by a hash; blocks p and q meet in a piece where p, at least, is of the rest.
     """
@@ -276,7 +282,7 @@ def cells(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     each = lambda k, f: F.transform(F.sequence(zero, k - 1), f)
     of_rest = F.concat(each(kr, lambda j: cell(F.least(b, j), F.greatest(b, j), b)), each(F.col("km"), lambda j: cell(b, kr + j, b)))
     places = F.when(F.col("rows") <= block, F.array(cell(zero, zero, zero))).when(F.col("inside"), each(kr, lambda i: cell(i, kr + b, kr + b))).otherwise(of_rest)
-    placed = salted.select("tree", "top", "node", "n", "label", F.inline(places)).join(classes.select("node", "n", "sketch"), ["node", "n"])
+    placed = salted.select("tree", "top", "node", "n", "label", F.inline(places)).join(classes.select("node", "n", F.concat("sketch", *tops_of("orders")).alias("sketch")), ["node", "n"])
     return placed.select("tree", "top", "p", "q", "part", "node", "n", "label", "sketch").repartition(shuffle_partitions(spark), "tree", "top", "p", "q").sortWithinPartitions("tree", "top", "p", "q", "part", "node")
 
 
@@ -286,7 +292,9 @@ def remainder(classes: DataFrame, block: int = BLOCK, nearest: bool = False) ->
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run, _ in runs(batches, ("tree", "top", "p", "q")):
             node, n, label, part = run["node"], run["n"], run["label"], run["part"]
+            tops = np.ascontiguousarray(run["sketch"][:, LONG_HASHES // 2 :]).view(np.uint32)
             short = {**run, "sketch": np.ascontiguousarray(run["sketch"][:, : HASHES // 2])}
+            met_here = lambda x, y: (tops[x] == tops[y]).argmax(axis=1) == run["tree"][0]  # noqa: B023, E731  and in no order before
             groups, group = np.unique(label, return_inverse=True)
             if len(groups) == 1:
                 continue
@@ -308,12 +316,17 @@ def remainder(classes: DataFrame, block: int = BLOCK, nearest: bool = False) ->
                 once = label[rows][:, None] != label[every][None, :] if rank is None else rank[every][None, :] < rank[rows][:, None]
                 i, j = np.nonzero(fits & once)
                 x, y = rows[i], every[j]
-                long = np.concatenate([EQUAL[run["sketch"][x[k : k + 8192]] ^ run["sketch"][y[k : k + 8192]]].sum(axis=1, dtype=np.uint16) for k in range(0, len(x), 8192)] or [np.zeros(0, np.uint16)])
+                if not nearest:
+                    here = met_here(x, y)
+                    x, y = x[here], y[here]
+                long = np.concatenate([EQUAL[run["sketch"][x[k : k + 8192], : LONG_HASHES // 2] ^ run["sketch"][y[k : k + 8192], : LONG_HASHES // 2]].sum(axis=1, dtype=np.uint16) for k in range(0, len(x), 8192)] or [np.zeros(0, np.uint16)])
                 x, y, long = (v[long >= LEAST_LONG] for v in (x, y, long))
                 if nearest and len(x):
                     order = np.lexsort((node[y], -long.astype(np.int64), x))
                     best = order[np.append(True, x[order][1:] != x[order][:-1])]
                     x, y = x[best], y[best]
+                    here = met_here(x, y)  # else another row is as near in an order before
+                    x, y = x[here], y[here]
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[x], n[x], node[y], n[y])], names=["x", "nx", "y", "ny"])
 
