@@ -407,3 +407,25 @@ def c09(t: Tables) -> DataFrame:
 @query("c15_build_states", f"WITH {DRIFT} SELECT state, count(*) AS n FROM d GROUP BY 1")
 def c15(t: Tables) -> DataFrame:
     return drifted(t).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("s13_latest_fix", """
+WITH e AS (SELECT *, event_id % 5 <> 0 AS valid, event_id % 3 = 0 AS fixed FROM events), r AS (SELECT user_id, max(event_id) AS i FROM e WHERE valid GROUP BY 1), g AS (SELECT user_id, max(event_id) AS i FROM e WHERE fixed GROUP BY 1)
+SELECT r.user_id, strftime(e.ts, '%Y-%m-%d %H:%M:%S') AS gps, round(e.event_id % 90 + (e.event_id % 60) / 60.0, 6) AS latitude, round(-(e.event_id % 180 + (e.event_id % 60) / 60.0), 6) AS longitude, CAST(g.i % 13 AS INTEGER) AS satellites
+FROM r JOIN e ON e.event_id = r.i LEFT JOIN g ON g.user_id = r.user_id""")
+def s13(t: Tables) -> DataFrame:
+    """Each event as the two sentences of a receiver's log, a fifth of them void or with a wrong checksum, and each log's latest fix."""
+    from orrery.sources import text
+
+    i = F.col("event_id")
+    minutes = F.format_string("%02d.0000", i % 60)
+    lat, lon = F.concat(F.format_string("%02d", i % 90), minutes), F.concat(F.format_string("%03d", i % 180), minutes)
+    status = F.when((i % 5 == 0) & (i % 2 == 0), "V").otherwise("A")
+    rmc = F.concat_ws(",", F.lit("GPRMC"), F.date_format("ts", "HHmmss"), status, lat, F.lit("N"), lon, F.lit("W"), F.lit(""), F.lit(""), F.date_format("ts", "ddMMyy"), F.lit(""), F.lit(""), F.lit("A"))
+    gga = F.concat_ws(",", F.lit("GPGGA"), F.date_format("ts", "HHmmss"), lat, F.lit("N"), lon, F.lit("W"), F.when(i % 3 == 0, "1").otherwise("0"), (i % 13).cast("string"), F.lit("0.9"), F.lit("12.5"))
+    sums = lambda body: F.aggregate(F.transform(F.split(body, ""), lambda c: F.ascii(c)), F.lit(0), lambda s, x: s.bitwiseXOR(x))
+    wrong = F.when((i % 5 == 0) & (i % 2 == 1), 1).otherwise(0)
+    sentence = lambda body, off: F.concat(F.lit("$"), body, F.lit("*"), F.lpad(F.hex(sums(body).bitwiseXOR(off).cast("long")), 2, "0"))
+    lines = t.events.select("user_id", "event_id", F.explode(F.array(sentence(rmc, wrong), sentence(gga, F.lit(0)))).alias("value"))
+    fix = text.latest_fix(lines, ["user_id"], "event_id")
+    return fix.select("user_id", F.date_format("gps", "yyyy-MM-dd HH:mm:ss").alias("gps"), F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), "satellites")

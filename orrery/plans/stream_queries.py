@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.plans.registry import Tables, query
 from orrery.sources import reports, scratch
-from orrery.streaming import windows
+from orrery.streaming import spectra, windows
 
 
 @query("st04_trailing_activity", """
@@ -130,3 +130,40 @@ def st03(t: Tables) -> DataFrame:
     arriving(t, e.where("event_id % 4 = 0")).writeStream.foreachBatch(rebuild).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     out = t.spark.read.schema("rows bigint, total double, rebuilt boolean, day string").parquet(f"{root}/table")
     return out.select("day", "rows", F.round("total", 4).alias("total"), "rebuilt")
+
+
+def levels(t: Tables, key: str, at: str, receiver: str, bins: int) -> DataFrame:
+    """Spectra of the events' values: of each key, time and receiver the decibels of each bin of `value` from 0 to 500."""
+    e = t.events.selectExpr(f"{key} AS key", f"{at} AS at", f"{receiver} AS receiver", f"least({bins - 1}, greatest(0, cast(floor(value * {bins} / 500) AS int))) AS bin").groupBy("key", "at", "receiver", "bin").count()
+    held = F.map_from_entries(F.collect_list(F.struct("bin", "count")))  # at most `bins` entries
+    g = e.groupBy("key", "at", "receiver").agg(held.alias("held"))
+    level = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: 10 * F.log10(1.0 + F.coalesce(F.try_element_at("held", b), F.lit(0))))
+    return g.select("key", "at", "receiver", level.alias("level"))
+
+
+HOUR = "cast(floor(unix_timestamp(cast(ts AS timestamp)) / 3600) AS bigint)"
+
+
+@query("st08_novel_blocks")
+def st08(t: Tables) -> DataFrame:
+    """The most novel hours of each kind of event, held against its first sixteen; no SQL: the tests plant them."""
+    rows = levels(t, "event_type", HOUR, "cast(user_id % 2 AS int)", 32)
+    side = lambda r: F.max(F.when(F.col("receiver") == r, F.col("level")))
+    pairs = rows.groupBy("key", "at").agg(side(0).alias("a"), side(1).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    found = spectra.novel_blocks(arriving(t, pairs), "key", "at", ("a", "b"))
+    root = scratch.fresh(t.spark, "novel")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{root}/out")
+
+    found.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    out = t.spark.read.schema(f"{spectra.SELECTED}, batch int").parquet(f"{root}/out")
+    newest = out.groupBy("key").agg(F.max("batch").alias("batch"))
+    return out.join(newest, ["key", "batch"]).drop("batch")
+
+
+@query("st10_cycle_motion")
+def st10(t: Tables) -> DataFrame:
+    """Displacements of each kind's spectrum from one day to the next that both receivers show; no SQL: the tests plant them."""
+    rows = levels(t, "event_type", f"cast(floor({HOUR} / 24) AS bigint)", "cast(user_id % 2 AS int)", 64)
+    return drained(t, spectra.motions(arriving(t, rows), "key", "at", "receiver", "level", 1.0, least=1.0, most=16.0, correlation=0.3, tolerance=2.0, lag=1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,3 +49,32 @@ def nmea(lines: DataFrame, line: str = "value") -> DataFrame:
     sum_ = F.aggregate(F.transform(F.split(body, ""), lambda c: F.ascii(c)), F.lit(0), lambda s, x: s.bitwiseXOR(x))
     fields = F.split(body, ",")
     return lines.select("*", F.substring(F.get(fields, F.lit(0)), -3, 3).alias("kind"), fields.alias("fields"), ((body != "") & (sum_ == said)).alias("valid"))
+
+
+def _degrees(value: Column, hemisphere: Column) -> Column:
+    """Degrees of a field of whole degrees and minutes (ddmm.mmmm), negative to the south and west."""
+    raw = value.try_cast("double")
+    whole = F.floor(raw / 100)
+    return (whole + (raw - 100 * whole) / 60) * F.when(hemisphere.isin("S", "W"), -1).otherwise(1)
+
+
+def latest_fix(lines: DataFrame, keys: Sequence[str], order: str, line: str = "value") -> DataFrame:
+    """Of each log its last valid RMC sentence (time and place) and its last GGA sentence with a fix (quality).
+
+    Sentences count by `order`, not by their own time; those of a wrong checksum, a void status or no date do not count.
+    A log without a valid RMC has no row; one without a GGA has nulls for quality, satellites, hdop and altitude. Partial
+    maxima meet in one row for each log, so no log is gathered or sorted.
+    """
+    f = lambda i: F.get("fields", F.lit(i))
+    said = nmea(lines, line).where(F.col("valid") & (F.size("fields") >= 10))
+    two = lambda i, at: F.substring(f(i), at, 2)
+    century = F.when(two(9, 5) >= "69", "19").otherwise("20")
+    stamp = F.concat(century, two(9, 5), F.lit("-"), two(9, 3), F.lit("-"), two(9, 1), F.lit(" "), two(1, 1), F.lit(":"), two(1, 3), F.lit(":"), two(1, 5)).try_cast("timestamp_ntz")
+    timed = (F.col("kind") == "RMC") & (f(2) == "A") & f(9).rlike("^[0-9]{6}$") & f(1).rlike("^[0-9]{6}([.][0-9]*)?$") & stamp.isNotNull()
+    micros = F.rpad(F.substring(F.regexp_extract(f(1), "[.]([0-9]*)", 1), 1, 6), 6, "0").cast("int")
+    place = F.when(timed, F.struct(order, F.timestamp_add("MICROSECOND", micros, stamp).alias("gps"), _degrees(f(3), f(4)).alias("latitude"), _degrees(f(5), f(6)).alias("longitude"), F.get("fields", F.lit(12)).alias("mode")))
+    fixed = (F.col("kind") == "GGA") & ~f(6).isin("", "0")
+    number = lambda i, kind: f(i).try_cast(kind)
+    quality = F.when(fixed, F.struct(order, number(6, "int").alias("quality"), F.coalesce(number(7, "int"), F.lit(0)).alias("satellites"), number(8, "double").alias("hdop"), number(9, "double").alias("altitude_m")))
+    last = said.groupBy(*keys).agg(F.max(place).alias("rmc"), F.max(quality).alias("gga")).where(F.col("rmc").isNotNull())
+    return last.select(*keys, "rmc.gps", "rmc.latitude", "rmc.longitude", "rmc.mode", "gga.quality", "gga.satellites", "gga.hdop", "gga.altitude_m")

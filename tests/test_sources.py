@@ -132,3 +132,27 @@ def test_reports_stream_into_probe_rows(spark, tmp_path):
     reports.stream_probes(spark, str(src), table, state).awaitTermination()
     got = {str(r.date): r["count"] for r in reports.read_partitions(spark, table).groupBy("date").count().collect()}
     assert got == {"2026-08-11": 2, "2026-08-12": 10}
+
+
+def test_latest_fix(spark):
+    def sentence(body: str, off: int = 0) -> str:
+        total = off
+        for c in body:
+            total ^= ord(c)
+        return f"${body}*{total:02X}"
+
+    log = [
+        ("a", 1, sentence("GPRMC,101112.25,A,4730.0000,N,01215.0000,W,,,280224,,,D")),
+        ("a", 2, sentence("GPGGA,101112,4730.0000,N,01215.0000,W,1,09,0.8,431.5")),
+        ("a", 3, sentence("GPRMC,101113,V,,,,,,,280224,,,N")),
+        ("a", 4, sentence("GPRMC,101114,A,1000.0000,S,01215.0000,E,,,280224,,,A", off=1)),
+        ("a", 5, sentence("GPGGA,101115,,,,,0,00,,")),
+        ("a", 6, sentence("GPRMC,101116,A,1000.0000,S,01215.0000,E,,,310224,,,A")),
+        ("b", 1, sentence("GNRMC,000000,A,1000.0000,S,01215.0000,E,,,010199,,,A")),
+        ("c", 1, sentence("GPGGA,101112,4730.0000,N,01215.0000,W,1,09,0.8,431.5")),
+        ("c", 2, None), ("c", 3, ""), ("c", 4, "$*00"),
+    ]
+    rows = text.latest_fix(spark.createDataFrame(log, "log string, at int, value string"), ["log"], "at").orderBy("log").collect()
+    a, b = rows
+    assert (str(a.gps), a.latitude, a.longitude, a["mode"], a.quality, a.satellites, a.hdop, a.altitude_m) == ("2024-02-28 10:11:12.250000", 47.5, -12.25, "D", 1, 9, 0.8, 431.5)
+    assert (str(b.gps), b.latitude, b.longitude, b.quality) == ("1999-01-01 00:00:00", -10.0, 12.25, None)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from orrery.streaming import windows
+from orrery.streaming import spectra, windows
 
 START = dt.datetime(2024, 1, 1)
 SCHEMA = "id long, k string, ts timestamp, v double"
@@ -77,3 +78,35 @@ def test_paired_instants(spark):
     a = spark.createDataFrame([(1, "a", at(0), 0.0), (2, "a", at(100), 0.0)], SCHEMA).select(F.col("id").alias("x"), "k", F.col("ts").alias("t"))
     b = spark.createDataFrame([(7, "a", at(2), 0.0)], SCHEMA).select(F.col("id").alias("y"), "k", F.col("ts").alias("u"))
     assert [(r.x, r.y) for r in windows.paired_instants(a, b, ["k"], "t", "u", "5 minutes").collect()] == [(1, 7)]
+
+
+def spectra_stream(spark, folder, batches, schema):
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder / f"b{i}"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "b*"))
+
+
+def test_novel_blocks_keep_the_strongest(spark, tmp_path):
+    noise = np.random.default_rng(3).normal(0, 0.02, (40, 2, 128))
+    # Both receivers rise at 20, 22 (near 20, stronger) and 35; at 30 one receiver alone does; 2 lies in the warm-up.
+    for block, height, receivers in ((2, 9, (0, 1)), (20, 3, (0, 1)), (22, 5, (0, 1)), (30, 9, (0,)), (35, 4, (0, 1))):
+        for r in receivers:
+            noise[block, r, 60 + 3 * r : 63 + 3 * r] += height
+    rows = [("k", i, x[0].tolist(), x[1].tolist()) for i, x in enumerate(noise)]
+    schema = "key string, block long, a array<double>, b array<double>"
+    df = spectra.novel_blocks(spectra_stream(spark, tmp_path, [rows[:10], rows[10:25], rows[25:]], schema), "key", "block", ("a", "b"), most=2)
+    got = run(df, "novel", "update").tail(2).sort_values("block")
+    assert got.block.tolist() == [22, 35] and (got.score > 1).all()
+    assert got.bin_0.between(60, 62).all() and got.bin_1.between(63, 65).all()
+
+
+def test_motion_needs_both_receivers(spark, tmp_path):
+    base = np.random.default_rng(5).normal(0, 1, 96)
+    frame = lambda key, cycle, receiver, shift: (key, cycle, receiver, np.roll(base, shift).tolist())
+    first = [frame("a", 1, 0, 0), frame("a", 1, 1, 0), frame("b", 1, 0, 0), frame("b", 1, 1, 0), frame("c", 1, 0, 0)]
+    second = [frame("a", 2, 0, 5), frame("b", 2, 0, 5), frame("b", 2, 1, -5), frame("c", 2, 0, 5)]
+    third = [frame("a", 2, 1, 6), frame("a", 2, 1, 6), frame("a", 4, 0, 9), frame("a", 4, 1, 9), frame("a", 2, 0, 1)]
+    schema = "key string, cycle long, receiver int, level array<double>"
+    df = spectra.motions(spectra_stream(spark, tmp_path, [first, second, third], schema), "key", "cycle", "receiver", "level", 1.0, least=2, most=20, tolerance=2)
+    got = run(df, "motion")
+    assert [(r.key, r.previous, r.cycle, r.shift, r.shift_0, r.shift_1) for r in got.itertuples()] == [("a", 1, 2, 5.5, 5.0, 6.0)]
