@@ -2,9 +2,10 @@
 
 A vector's code holds one bit for each dimension, set where the value is above
 zero, in 64-bit words. The code is cut into segments about as wide as the
-logarithm of the number of distinct codes, so that a segment value holds few
-codes however many there are, and each distinct code is indexed under the value
-of every segment. A query first looks
+logarithm of the number of distinct codes, and no wider where WIDE allows: then
+a segment has no more values than there are codes, few probes meet nothing, and
+a segment value holds few codes however many there are. Each distinct code is
+indexed under the value of every segment. A query first looks
 up its own segment values, then all values one bit away, then two, and so on:
 once radius r has been searched in all m segments, every code at a distance
 below m * (r + 1) has been seen, so a query ends when its k-th verified distance
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,9 +57,9 @@ def code_of(vector: Column, dims: int) -> list[Column]:
 
 
 def segments(dims: int, codes: int) -> list[tuple[int, int]]:
-    """First bit and width of each segment: widths differ by one at most and are near the logarithm of the number of codes."""
-    wanted = min(WIDE, max(NARROW, (max(codes, 2) - 1).bit_length()))
-    m = max(1, round(dims / wanted), -(-dims // WIDE))
+    """First bit and width of each segment: widths differ by one at most and are the logarithm of the number of codes or just below."""
+    wanted = min(WIDE, max(NARROW, log2(max(codes, 2))))
+    m = ceil(dims / wanted)
     bounds = [i * dims // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
