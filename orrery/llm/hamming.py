@@ -9,7 +9,10 @@ indexed under the value of every segment. A query first looks
 up its own segment values, then all values one bit away, then two, and so on:
 once radius r has been searched in all m segments, every code at a distance
 below m * (r + 1) has been seen, so a query ends when its k-th verified distance
-is below that bound. Only queries that are not yet covered enter the next round.
+is below that bound. Only queries that are not yet covered enter the next round,
+and each takes its k-th distance so far along: codes further away are dropped
+where they are met, and once d - m * r + 1 segments have been searched at radius
+r (the others at r - 1), no code within d is left, so the rest are not probed.
 
 Equal codes are one entry that keeps how many rows it has and the k smallest
 ids, so a vector shared by a third of all rows is probed and verified once.
@@ -120,28 +123,33 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     open_ = asked.select(*(F.col(n).alias(q) for n, q in zip(names, q_names, strict=True))).distinct()
     best = open_.select(*q_names, *(F.lit(None).cast("long").alias(n) for n in names), F.lit(0).alias("d")).limit(0)
     done: list[DataFrame] = []
-    open_ = materialize(open_)
+    state = materialize(open_.withColumn("upper", F.lit(dims)).withColumn("covered", F.lit(False)))
     for radius in range(widest + 1):
+        open_ = state.where(~F.col("covered")).drop("covered")
         there = [F.col(q) for q in q_names]
-        probes = open_.withColumn("p", F.explode(values(there))).withColumn("mask", F.explode(F.array(*map(F.lit, masks(radius, widest)))))
+        needed = F.col("upper") - m * radius + 1
+        probes = open_.withColumn("p", F.explode(values(there))).where(F.col("p.segment") < needed)
+        probes = probes.withColumn("mask", F.explode(F.array(*map(F.lit, masks(radius, widest)))))
         width = F.element_at(F.array(*(F.lit(w) for _, w in parts)), F.col("p.segment") + 1)
-        probes = probes.where(F.col("mask") < F.pow(F.lit(2), width)).select(*q_names, F.col("p.segment").alias("segment"), F.col("p.value").bitwiseXOR(F.col("mask")).alias("value"))
+        probes = probes.where(F.col("mask") < F.pow(F.lit(2), width)).select(*q_names, "upper", F.col("p.segment").alias("segment"), F.col("p.value").bitwiseXOR(F.col("mask")).alias("value"))
         # A merge join: Spark would take the probes for as small as the queries they come from, and broadcast them.
-        found = probes.join(index.hint("merge"), ["segment", "value"]).select(*q_names, *names, distance(there, here).alias("d")).distinct()
+        met = probes.join(index.hint("merge"), ["segment", "value"]).withColumn("d", distance(there, here))
+        found = met.where(F.col("d") <= F.col("upper")).select(*q_names, *names, "d").distinct()
         by_distance = Window.partitionBy(*q_names).orderBy("d", *names)
         # k codes hold k rows at least; equal distances need all their codes, so ties at the k-th place stay.
         ranked = found.union(best).distinct().withColumn("r", F.rank().over(Window.partitionBy(*q_names).orderBy("d"))).where(F.col("r") <= k).drop("r")
         kept = materialize(ranked)
         rows = kept.join(codes.select(*names, F.size("ids").alias("has")), names).withColumn("upto", F.sum("has").over(by_distance))
+        kth = rows.groupBy(*q_names).agg(F.min(F.when(F.col("upto") >= k, F.col("d"))).alias("kth"))
         bound = m * (radius + 1)
-        cover = rows.groupBy(*q_names).agg(F.min(F.when(F.col("upto") >= k, F.col("d"))).alias("kth"))
-        covered = materialize(cover.where(F.col("kth") < bound).select(*q_names))
-        done.append(materialize(kept.join(covered, q_names, "left_semi")))
-        best = kept.join(covered, q_names, "left_anti")
-        left = materialize(open_.join(covered, q_names, "left_anti"))
-        discard(open_)
-        open_ = left
-        if open_.isEmpty():
+        # Below `bound` in all segments; where `upper` asked for fewer segments, these were enough.
+        covered = F.coalesce(F.col("kth") < bound, F.lit(False)) | (F.col("upper") + 1 < bound)
+        before, state = state, materialize(open_.join(kth, q_names, "left").select(*q_names, F.coalesce("kth", F.lit(dims)).alias("upper"), covered.alias("covered")))
+        discard(before)
+        ended = state.where("covered").select(*q_names)
+        done.append(materialize(kept.join(ended, q_names, "left_semi")))
+        best = kept.join(ended, q_names, "left_anti")
+        if state.where(~F.col("covered")).isEmpty():
             break
     else:
         done.append(best)  # fewer than k rows in all: every code has been seen
