@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from orrery.functions import geometry
 from orrery.functions import scalars as fn
-from orrery.operators import joins, ordered, spectra, tracks
-from orrery.plans.join_queries import TRACKS
+from orrery.operators import hypotheses, joins, ordered, spectra, tracks
+from orrery.plans.join_queries import TRACKS, whole_seconds
 from orrery.plans.join_queries import tracks as day_tracks
 from orrery.plans.registry import Tables, query
 from orrery.plans.spectral_queries import RESIDUAL, spectrum
@@ -103,6 +103,36 @@ def rate_matches(t: Tables) -> DataFrame:
     return ordered.margin_gate(met, ["user_id", "a"], "d", "cand", 0.15, float("inf")).select("user_id", "a", "cand", F.col("passed").alias("decisive"))
 
 
+SERIES = "WITH e AS (SELECT event_id, user_id, event_type, value AS y, epoch_us(ts) // 1000000 / 86400.0::DOUBLE AS t FROM events WHERE value IS NOT NULL AND ts IS NOT NULL)"
+
+
+@query("j25_pass_hypotheses", f"""{SERIES}, p AS (SELECT user_id, CAST(floor(t / 10) AS BIGINT) AS event, t, y FROM e WHERE event_type = 'view'),
+s AS (SELECT user_id, event_type || ' ' || CAST(floor((t + 3) / 10) AS BIGINT) AS pass, min(t) AS t0, max(t) AS t2, first(t ORDER BY y DESC, event_id) AS t1, first(y ORDER BY t, event_id) AS y0, max(y) AS y1, last(y ORDER BY t, event_id) AS y2, max(y) AS elevation FROM e WHERE event_type <> 'view' GROUP BY 1, 2),
+n AS (SELECT user_id, event, count(*) AS total FROM p GROUP BY ALL HAVING count(*) >= 3),
+m AS (SELECT p.user_id, event, pass, y, t - t0 AS x, elevation, CASE WHEN t <= t1 AND t1 > t0 THEN y0 + (y1 - y0) * (t - t0) / (t1 - t0) WHEN t2 > t1 THEN y1 + (y2 - y1) * (t - t1) / (t2 - t1) ELSE y1 END AS e FROM p JOIN s ON p.user_id = s.user_id AND t BETWEEN t0 AND t2),
+b AS (SELECT *, median(y - e) OVER (PARTITION BY user_id, event, pass) AS bias FROM m),
+f AS (SELECT user_id, event, pass, count(*) AS n, max(bias) AS bias, sqrt(avg((y - e - bias) * (y - e - bias))) AS rms, abs(regr_slope(y, x) - regr_slope(e, x)) AS drift, max(elevation) AS elevation FROM b GROUP BY ALL),
+c AS (SELECT f.*, n / total::DOUBLE AS overlap, n / total::DOUBLE * (0.5 + 0.5 * least(1.0, elevation / 45)) * exp(-rms / 50) * exp(-coalesce(drift, 0) / 20) AS score FROM f JOIN n USING (user_id, event) WHERE n >= 3 AND n / total::DOUBLE >= 0.25),
+r AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS second FROM c WINDOW w AS (PARTITION BY user_id, event ORDER BY score DESC, pass)),
+k AS (SELECT user_id, event, CASE WHEN score < 0.05 THEN 'unmatched' WHEN score / greatest(second, 1e-12) < 1.5 AND second IS NOT NULL THEN 'ambiguous' ELSE 'ranked' END AS kind FROM r WHERE rank = 1)
+SELECT n.user_id, n.event, r.pass, coalesce(r.rank, 0) AS rank, round(r.bias, 6) AS bias, round(r.rms, 6) AS rms, round(r.drift, 6) AS drift_difference, round(r.score, 6) AS score, coalesce(k.kind, 'unmatched') AS kind
+FROM n LEFT JOIN k ON n.user_id = k.user_id AND n.event = k.event LEFT JOIN r ON n.user_id = r.user_id AND n.event = r.event AND r.rank <= 10""")
+def j25p(t: Tables) -> DataFrame:
+    """A user's views of ten days as an event, the series of the user's other types, begun three days earlier, as passes."""
+    day = whole_seconds(F.col("ts")) / F.lit(86_400.0)
+    e = t.events.where("value is not null and ts is not null").select("event_id", "user_id", "event_type", F.col("value").alias("y"), day.alias("t"))
+    points = e.where("event_type = 'view'").select("user_id", F.floor(F.col("t") / 10).alias("event"), "t", "y")
+    name = F.concat_ws(" ", "event_type", F.floor((F.col("t") + 3) / 10).cast("string"))
+    at = F.struct("t", "event_id")
+    passes = e.where("event_type <> 'view'").groupBy("user_id", name.alias("pass")).agg(
+        F.min("t").alias("t0"), F.max_by("t", F.struct("y", -F.col("event_id"))).alias("t1"), F.max("t").alias("t2"),
+        F.min_by("y", at).alias("y0"), F.max("y").alias("y1"), F.max_by("y", at).alias("y2"), F.max("y").alias("elevation"),
+    )
+    found = hypotheses.pass_hypotheses(points, passes, ["user_id"], "event", 4.0, 50.0, 20.0)
+    rank = F.coalesce("rank", F.lit(0)).cast("long").alias("rank")
+    return found.select("user_id", "event", "pass", rank, *(F.round(c, 6).alias(c) for c in ("bias", "rms", "drift_difference", "score")), "kind")
+
+
 @query("j27_shape_comparison", """
 WITH v AS (SELECT user_id, event_id % 50 AS k, avg(value) AS v FROM events GROUP BY ALL), p AS (SELECT x.user_id, x.v, y.v AS w, z.v AS r FROM v x JOIN v y ON y.user_id = x.user_id + 1 AND y.k = x.k JOIN v z ON z.user_id = x.user_id + 1 AND z.k = 49 - x.k)
 SELECT user_id, count(*) AS n, round(sqrt(var_pop(v - w)), 6) AS rms, round(sqrt(var_pop(v - r)), 6) AS reversed FROM p GROUP BY 1 HAVING count(*) >= 3""")
