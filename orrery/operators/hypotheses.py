@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.operators import joins
 
 
+def line_at(t: Column) -> Column:
+    """The line through a pass's nodes (t0, y0), (t1, y1), (t2, y2) at a time inside it."""
+    rising, falling = F.col("t1") - F.col("t0"), F.col("t2") - F.col("t1")
+    first = F.col("y0") + (F.col("y1") - F.col("y0")) * (t - F.col("t0")) / F.nullif(rising, F.lit(0.0))
+    then = F.col("y1") + (F.col("y2") - F.col("y1")) * (t - F.col("t1")) / F.nullif(falling, F.lit(0.0))
+    return F.when((t <= F.col("t1")) & (rising > 0), first).when(falling > 0, then).otherwise(F.col("y1"))
+
+
 def pass_hypotheses(points: DataFrame, passes: DataFrame, keys: Sequence[str], event: str, width: float, residual_scale: float, drift_scale: float, least_overlap: float = 0.25, ambiguity: float = 1.5, most: int = 10) -> DataFrame:
     """The passes that an event's points may belong to, best first, with the event's class.
 
@@ -23,11 +31,8 @@ def pass_hypotheses(points: DataFrame, passes: DataFrame, keys: Sequence[str], e
     points = points.where("t is not null and y is not null")
     by = [*keys, event]
     events = points.groupBy(*by).agg(F.count("*").alias("total")).where("total >= 3")
-    t, rising, falling = F.col("t"), F.col("t1") - F.col("t0"), F.col("t2") - F.col("t1")
-    first = F.col("y0") + (F.col("y1") - F.col("y0")) * (t - F.col("t0")) / F.nullif(rising, F.lit(0.0))
-    then = F.col("y1") + (F.col("y2") - F.col("y1")) * (t - F.col("t1")) / F.nullif(falling, F.lit(0.0))
-    expected = F.when((t <= F.col("t1")) & (rising > 0), first).when(falling > 0, then).otherwise(F.col("y1"))
-    met = joins.contained(points, passes, keys, "t", "t0", "t2", width).withColumn("e", expected).withColumns({"r": F.col("y") - F.col("e"), "x": t - F.col("t0")})
+    met = joins.contained(points, passes, keys, "t", "t0", "t2", width).withColumn("e", line_at(F.col("t")))
+    met = met.withColumns({"r": F.col("y") - F.col("e"), "x": F.col("t") - F.col("t0")})
     fits = met.groupBy(*by, "pass").agg(
         F.count("*").alias("n"), F.median("r").alias("bias"), F.avg("r").alias("mean"), F.var_pop("r").alias("spread"),
         F.abs(F.regr_slope("y", "x") - F.regr_slope("e", "x")).alias("drift_difference"), F.max("elevation").alias("elevation"),
@@ -45,3 +50,27 @@ def pass_hypotheses(points: DataFrame, passes: DataFrame, keys: Sequence[str], e
     kind = F.when(second.isNull() & (best >= 0.05), "ranked").otherwise(kind)
     found = ranked.withColumn("kind", kind).select(*by, "pass", "rank", "overlap", "bias", "rms", "drift_difference", "score", "kind")
     return events.select(*by).join(found, by, "left").withColumn("kind", F.coalesce("kind", F.lit("unmatched")))
+
+
+def rate_matches(tracks: DataFrame, passes: DataFrame, keys: Sequence[str], event: str, width: float, steepest: float, decisive: float = 0.15) -> DataFrame:
+    """The passes that a joint track overlaps, ranked by how well their rates agree; biases play no part.
+
+    `tracks` has the keys, the event, its span (a, b) and its drift; `passes` as for pass_hypotheses. A pass's rate is
+    that of its line between the ends of the overlap. Confidence is the share of the track that the pass covers times
+    exp(-difference / steepest). Only a first match within `steepest` whose confidence leads by `decisive` qualifies;
+    one without a rival leads by all of it. Tracks without length or drift, and tracks that no pass overlaps, have no
+    row; ties go to the smaller pass.
+    """
+    met = joins.overlapping(tracks.where("b > a and drift is not null"), passes, keys, ("a", "b"), ("t0", "t2"), width)
+    met = met.withColumns({"from": F.greatest("a", "t0"), "to": F.least("b", "t2")}).where(F.col("to") > F.col("from"))
+    rate = (line_at(F.col("to")) - line_at(F.col("from"))) / (F.col("to") - F.col("from"))
+    met = met.withColumns({"predicted": rate, "overlap": (F.col("to") - F.col("from")) / (F.col("b") - F.col("a"))})
+    met = met.withColumn("difference", F.abs(F.col("drift") - F.col("predicted")))
+    met = met.withColumns({"confidence": F.col("overlap") * F.exp(-F.col("difference") / steepest), "compatible": F.col("difference") <= steepest})
+    order = Window.partitionBy(*keys, event).orderBy(F.desc("confidence"), "pass")
+    fitting = F.count(F.when(F.col("compatible"), 1)).over(Window.partitionBy(*keys, event))
+    lead = F.col("confidence") - F.coalesce(F.lead("confidence").over(order), F.lit(0.0))
+    ranked = met.withColumns({"rank": F.row_number().over(order), "lead": lead, "compatible_passes": fitting})
+    margin = F.when(F.col("rank") == 1, F.col("lead"))
+    qualified = (F.col("rank") == 1) & F.col("compatible") & (F.col("lead") >= decisive)
+    return ranked.select(*keys, event, "pass", "rank", "drift", "predicted", "overlap", "confidence", "compatible", "compatible_passes", margin.alias("margin"), qualified.alias("qualified"))

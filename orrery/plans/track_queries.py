@@ -104,10 +104,27 @@ def rate_matches(t: Tables) -> DataFrame:
 
 
 SERIES = "WITH e AS (SELECT event_id, user_id, event_type, value AS y, epoch_us(ts) // 1000000 / 86400.0::DOUBLE AS t FROM events WHERE value IS NOT NULL AND ts IS NOT NULL)"
+NODES = "SELECT user_id, event_type || ' ' || CAST(floor((t + 3) / 10) AS BIGINT) AS pass, min(t) AS t0, max(t) AS t2, first(t ORDER BY y DESC, event_id) AS t1, first(y ORDER BY t, event_id) AS y0, max(y) AS y1, last(y ORDER BY t, event_id) AS y2, max(y) AS elevation FROM e"
+
+
+def series(t: Tables) -> DataFrame:
+    """Events as points (t in days, y)."""
+    day = whole_seconds(F.col("ts")) / F.lit(86_400.0)
+    return t.events.where("value is not null and ts is not null").select("event_id", "user_id", "event_type", F.col("value").alias("y"), day.alias("t"))
+
+
+def series_passes(e: DataFrame) -> DataFrame:
+    """The points of a user and type over ten days as a pass: first, highest and last point."""
+    name = F.concat_ws(" ", "event_type", F.floor((F.col("t") + 3) / 10).cast("string"))
+    at = F.struct("t", "event_id")
+    return e.groupBy("user_id", name.alias("pass")).agg(
+        F.min("t").alias("t0"), F.max_by("t", F.struct("y", -F.col("event_id"))).alias("t1"), F.max("t").alias("t2"),
+        F.min_by("y", at).alias("y0"), F.max("y").alias("y1"), F.max_by("y", at).alias("y2"), F.max("y").alias("elevation"),
+    )
 
 
 @query("j25_pass_hypotheses", f"""{SERIES}, p AS (SELECT user_id, CAST(floor(t / 10) AS BIGINT) AS event, t, y FROM e WHERE event_type = 'view'),
-s AS (SELECT user_id, event_type || ' ' || CAST(floor((t + 3) / 10) AS BIGINT) AS pass, min(t) AS t0, max(t) AS t2, first(t ORDER BY y DESC, event_id) AS t1, first(y ORDER BY t, event_id) AS y0, max(y) AS y1, last(y ORDER BY t, event_id) AS y2, max(y) AS elevation FROM e WHERE event_type <> 'view' GROUP BY 1, 2),
+s AS ({NODES} WHERE event_type <> 'view' GROUP BY 1, 2),
 n AS (SELECT user_id, event, count(*) AS total FROM p GROUP BY ALL HAVING count(*) >= 3),
 m AS (SELECT p.user_id, event, pass, y, t - t0 AS x, elevation, CASE WHEN t <= t1 AND t1 > t0 THEN y0 + (y1 - y0) * (t - t0) / (t1 - t0) WHEN t2 > t1 THEN y1 + (y2 - y1) * (t - t1) / (t2 - t1) ELSE y1 END AS e FROM p JOIN s ON p.user_id = s.user_id AND t BETWEEN t0 AND t2),
 b AS (SELECT *, median(y - e) OVER (PARTITION BY user_id, event, pass) AS bias FROM m),
@@ -119,20 +136,35 @@ SELECT n.user_id, n.event, r.pass, coalesce(r.rank, 0) AS rank, round(r.bias, 6)
 FROM n LEFT JOIN k ON n.user_id = k.user_id AND n.event = k.event LEFT JOIN r ON n.user_id = r.user_id AND n.event = r.event AND r.rank <= 10""")
 def j25p(t: Tables) -> DataFrame:
     """A user's views of ten days as an event, the series of the user's other types, begun three days earlier, as passes."""
-    day = whole_seconds(F.col("ts")) / F.lit(86_400.0)
-    e = t.events.where("value is not null and ts is not null").select("event_id", "user_id", "event_type", F.col("value").alias("y"), day.alias("t"))
+    e = series(t)
     points = e.where("event_type = 'view'").select("user_id", F.floor(F.col("t") / 10).alias("event"), "t", "y")
-    name = F.concat_ws(" ", "event_type", F.floor((F.col("t") + 3) / 10).cast("string"))
-    at = F.struct("t", "event_id")
-    passes = e.where("event_type <> 'view'").groupBy("user_id", name.alias("pass")).agg(
-        F.min("t").alias("t0"), F.max_by("t", F.struct("y", -F.col("event_id"))).alias("t1"), F.max("t").alias("t2"),
-        F.min_by("y", at).alias("y0"), F.max("y").alias("y1"), F.max_by("y", at).alias("y2"), F.max("y").alias("elevation"),
-    )
+    passes = series_passes(e.where("event_type <> 'view'"))
     found = hypotheses.pass_hypotheses(points, passes, ["user_id"], "event", 4.0, 50.0, 20.0)
     rank = F.coalesce("rank", F.lit(0)).cast("long").alias("rank")
     return found.select("user_id", "event", "pass", rank, *(F.round(c, 6).alias(c) for c in ("bias", "rms", "drift_difference", "score")), "kind")
 
 
+@query("j26_pass_rates", f"""{SERIES}, s AS ({NODES} WHERE event_type NOT IN ('view', 'click') GROUP BY 1, 2),
+g AS (SELECT user_id, CAST(floor(t / 10) AS BIGINT) AS event, event_type, min(t) AS a, max(t) AS b, regr_slope(y, t - 10 * floor(t / 10)) AS drift FROM e WHERE event_type IN ('view', 'click') GROUP BY ALL HAVING count(*) >= 3),
+j AS (SELECT user_id, event, max(a) AS a, min(b) AS b, avg(drift) AS drift FROM g GROUP BY ALL HAVING count(drift) = 2 AND min(b) > max(a)),
+o AS (SELECT j.*, s.*, greatest(a, t0) AS f, least(b, t2) AS u FROM j JOIN s ON j.user_id = s.user_id AND least(b, t2) > greatest(a, t0)),
+l AS (SELECT *, CASE WHEN f <= t1 AND t1 > t0 THEN y0 + (y1 - y0) * (f - t0) / (t1 - t0) WHEN t2 > t1 THEN y1 + (y2 - y1) * (f - t1) / (t2 - t1) ELSE y1 END AS yf, CASE WHEN u <= t1 AND t1 > t0 THEN y0 + (y1 - y0) * (u - t0) / (t1 - t0) WHEN t2 > t1 THEN y1 + (y2 - y1) * (u - t1) / (t2 - t1) ELSE y1 END AS yu FROM o),
+c AS (SELECT user_id, event, pass, abs(drift - (yu - yf) / (u - f)) AS d, (u - f) / (b - a) AS overlap, (u - f) / (b - a) * exp(-abs(drift - (yu - yf) / (u - f)) / 20) AS confidence FROM l),
+r AS (SELECT *, row_number() OVER w AS rank, confidence - coalesce(lead(confidence) OVER w, 0) AS ahead, count(*) FILTER (d <= 20) OVER (PARTITION BY user_id, event) AS compatible_passes FROM c WINDOW w AS (PARTITION BY user_id, event ORDER BY confidence DESC, pass))
+SELECT user_id, event, pass, rank, round(confidence, 6) AS confidence, d <= 20 AS compatible, compatible_passes, round(CASE WHEN rank = 1 THEN ahead END, 6) AS margin, rank = 1 AND d <= 20 AND ahead >= 0.15 AS qualified FROM r""")
+def j26p(t: Tables) -> DataFrame:
+    """A user's views and clicks of ten days as two members of a joint track, the series of the other types as passes."""
+    e = series(t)
+    window = F.floor(F.col("t") / 10)
+    members = e.where("event_type in ('view', 'click')").groupBy("user_id", window.alias("event"), "event_type").agg(
+        F.min("t").alias("a"), F.max("t").alias("b"), F.regr_slope(F.col("y"), F.col("t") - 10 * window).alias("drift"), F.count("*").alias("n"),
+    ).where("n >= 3 and drift is not null")
+    joint = members.groupBy("user_id", "event").agg(F.max("a").alias("a"), F.min("b").alias("b"), F.avg("drift").alias("drift"), F.count("*").alias("n")).where("n = 2").drop("n")
+    found = hypotheses.rate_matches(joint, series_passes(e.where("event_type not in ('view', 'click')")), ["user_id"], "event", 4.0, 20.0)
+    rounded = [F.round(c, 6).alias(c) for c in ("confidence", "margin")]
+    return found.select("user_id", "event", "pass", F.col("rank").cast("long").alias("rank"), *rounded, "compatible", "compatible_passes", "qualified")
+
+
 @query("j27_shape_comparison", """
 WITH v AS (SELECT user_id, event_id % 50 AS k, avg(value) AS v FROM events GROUP BY ALL), p AS (SELECT x.user_id, x.v, y.v AS w, z.v AS r FROM v x JOIN v y ON y.user_id = x.user_id + 1 AND y.k = x.k JOIN v z ON z.user_id = x.user_id + 1 AND z.k = 49 - x.k)
 SELECT user_id, count(*) AS n, round(sqrt(var_pop(v - w)), 6) AS rms, round(sqrt(var_pop(v - r)), 6) AS reversed FROM p GROUP BY 1 HAVING count(*) >= 3""")

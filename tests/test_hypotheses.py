@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pytest
 
-from orrery.operators.hypotheses import pass_hypotheses
+from orrery.operators.hypotheses import pass_hypotheses, rate_matches
 
 POINTS = "radio long, event long, t double, y double"
 PASSES = "radio long, pass string, t0 double, y0 double, t1 double, y1 double, t2 double, y2 double, elevation double"
@@ -58,3 +58,36 @@ def test_events_without_hypotheses_and_ties(spark):
     assert [r["pass"] for r in got.where("event = 4").orderBy("rank").collect()] == ["c", "point"]  # one time thrice
     assert pass_hypotheses(df.limit(0), passes, ["radio"], "event", 4.0, 20.0, 5.0).count() == 0
     assert {r.kind for r in pass_hypotheses(df, passes.limit(0), ["radio"], "event", 4.0, 20.0, 5.0).collect()} == {"unmatched"}
+
+
+def test_rates_against_numpy(spark):
+    rng = np.random.default_rng(6)
+    nodes = [(f"p{i}", a, *rng.uniform(-50, 50, 1).tolist(), a + 3, 20.0, a + 8, -30.0 + 9 * i, 45.0) for i, a in enumerate((0.0, 1.5, 3.0, 25.0))]
+    spans = [(1, 1.0, 6.0, -9.0), (2, 4.0, 40.0, 2.0), (3, 50.0, 60.0, 1.0), (4, 5.0, 5.0, 1.0), (5, 2.0, 3.0, None)]
+    tracks = spark.createDataFrame([(1, *s) for s in spans], "radio long, event long, a double, b double, drift double")
+    got = rate_matches(tracks, spark.createDataFrame([(1, *n) for n in nodes], PASSES), ["radio"], "event", 4.0, 10.0).collect()
+    for event, a, b, drift in spans[:2]:
+        want = []
+        for name, t0, y0, t1, y1, t2, y2, _ in nodes:
+            start, stop = max(a, t0), min(b, t2)
+            if stop > start:
+                ends = np.interp([start, stop], [t0, t1, t2], [y0, y1, y2])
+                off = abs(drift - (ends[1] - ends[0]) / (stop - start))
+                want.append(((stop - start) / (b - a) * math.exp(-off / 10), name, off <= 10))
+        want.sort(key=lambda w: (-w[0], w[1]))
+        rows = sorted((r for r in got if r.event == event), key=lambda r: r["rank"])
+        assert [r["pass"] for r in rows] == [w[1] for w in want]
+        assert [r.confidence for r in rows] == pytest.approx([w[0] for w in want])
+        assert [r.compatible for r in rows] == [w[2] for w in want]
+        assert {r.compatible_passes for r in rows} == {sum(w[2] for w in want)}
+        assert rows[0].margin == pytest.approx(want[0][0] - want[1][0]) and rows[1].margin is None
+        assert [r.qualified for r in rows] == [bool(want[0][2] and want[0][0] - want[1][0] >= 0.15)] + [False] * (len(want) - 1)
+    assert {r.event for r in got} == {1, 2}
+
+
+def test_a_lone_match_leads_by_all_of_it(spark):
+    tracks = spark.createDataFrame([(1, 1, 0.0, 4.0, -1.0)], "radio long, event long, a double, b double, drift double")
+    passes = spark.createDataFrame([(1, "a", 0.0, 4.0, 2.0, 2.0, 4.0, 0.0, 45.0)], PASSES)
+    (row,) = rate_matches(tracks, passes, ["radio"], "event", 4.0, 10.0).collect()
+    assert (row.confidence, row.margin, row.qualified) == (1.0, 1.0, True)
+    assert rate_matches(tracks.limit(0), passes, ["radio"], "event", 4.0, 10.0).count() == 0
