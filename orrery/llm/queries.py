@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "mixing", "hamming", "near_dups", "secrets", "toxicity", "token_counts", "tiff", "html_text", "url_filter")
+MODULES = (
+    "packing", "mixing", "hamming", "near_dups", "secrets", "toxicity", "token_counts", "tiff", "html_text", "url_filter", "clusters", "bin_completion", "divergence",
+)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
