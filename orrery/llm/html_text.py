@@ -1,18 +1,21 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block of the page, menus and footers
-included. A line's length is the number of its characters that are not link
-text; lines that their markup names as menus, headers, footers, side bars,
-notices, adverts, forms or reader comments are stripped with it, and stay as
-lines of length zero. Lengths are summed over sliding windows of lines. Where
-the sums surge from nothing to SURGE or more the main text begins, where they
-dive to nothing for the last time it ends, and all text between the two points
-is kept: short paragraphs, lists of links and text on either side of an advert
-too. Where no sum surges that far, the highest run of sums is the main text.
-
-An <article> or <main> is a hint: where the page's marked lines hold at least
-half of its text, the lengths outside count as zero and any length inside as a
-surge; else the marks are not heeded (an empty shell, or teaser cards).
+Markup is stripped to lines, one for each block of the page, menus, notices and
+footers included. A line weighs its characters outside links, times the share of
+its place: the text of the element that holds it (and of that element's parent)
+against the page's heaviest. A lone notice or footer thus weighs little beside
+an article, whatever it is called. Weights are summed over sliding windows of
+lines. Where the sums surge to SURGE or more from nothing the main text begins,
+where they dive to nothing for the last time it ends, and all text between the
+two points is kept: short paragraphs and lists of links too. Lines at either
+end whose place has less than half of the heaviest place's text are left out;
+where no sum surges that far, the highest run of sums is the main text.
+
+Names break ties. Lines that element, class or role names mark as menus,
+headers, footers, side bars, notices, adverts, forms or reader comments, and
+lines outside an <article> or <main> that holds at least half of the page's
+text, have a tenth of their weight; between surge and dive they are left out
+unless their own windows surge even so.
 
 Each page is worked on alone, in time linear in its length whatever its markup,
 so a job has no shuffle and any number of rows. Null or empty html gives the
@@ -38,11 +41,14 @@ from orrery.llm.common import slices, table, text_array
 
 #: Lines on either side of one whose lengths are summed with its own.
 REACH = 1
-#: Characters in a window at which the sums surge.
+#: Weight in a window at which the sums surge.
 SURGE = 60
+#: What is left of a line's weight where names speak against it, and the share of the heaviest place that a line at either end needs.
+NAMED_WEIGHT, EDGE_SHARE = 0.1, 0.5
 
 # Element names and the words of class, id and role that mark what is not the article.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
+PARAGRAPHS = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 legend li option p pre summary td th tr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style iframe textarea title xmp noembed noframes".split())
 UNSEEN = RAW | frozenset("head noscript template svg math object".split())
@@ -92,12 +98,12 @@ def clean(raw: str) -> str:
 
 
 class Line:
-    """A block's text, its length outside links (zero if stripped), whether it is inside the marked article, and whether it is stripped."""
+    """A block's text, its length outside links, whether it is inside the marked article, whether names speak against it, and the places (numbers of elements) that hold it."""
 
-    __slots__ = ("text", "plain", "inside", "stripped")
+    __slots__ = ("text", "plain", "inside", "named", "place", "parent")
 
-    def __init__(self, text: str, plain: int, inside: bool, stripped: bool):
-        self.text, self.plain, self.inside, self.stripped = text, 0 if stripped else min(plain, len(text)), inside, stripped
+    def __init__(self, text: str, plain: int, inside: bool, named: bool, place: int, parent: int):
+        self.text, self.plain, self.inside, self.named, self.place, self.parent = text, min(plain, len(text)), inside, named, place, parent
 
 
 def lines_of(html: str) -> list[Line]:
@@ -106,15 +112,18 @@ def lines_of(html: str) -> list[Line]:
     held: list[str] = []
     plain = 0
     stack: list[str] = []
+    places: list[int] = [0]  # the elements that hold paragraphs, from the page inward
+    depths: list[int] = [0]
+    opened = 0
     open_: Counter[str] = Counter()
-    skip = unseen = 0  # the depths from which text is stripped, and is no line either
+    named_at = unseen = 0  # the depths from which names speak against text, and from which it is no line
 
     def flush() -> None:
         nonlocal plain
         if held:
             text = clean("".join(held))
             if text:
-                lines.append(Line(text, plain, open_["article"] + open_["main"] > 0, skip > 0))
+                lines.append(Line(text, plain, open_["article"] + open_["main"] > 0, named_at > 0, places[-1], places[-2] if len(places) > 1 else 0))
             held.clear()
         plain = 0
 
@@ -126,12 +135,16 @@ def lines_of(html: str) -> list[Line]:
                 plain += b - a
 
     def pop() -> None:
-        nonlocal skip, unseen
-        if skip == len(stack):
+        nonlocal named_at, unseen
+        if named_at == len(stack):
             flush()
-            skip = 0
+            named_at = 0
         if unseen == len(stack):
             unseen = 0
+        if depths[-1] == len(stack):
+            flush()
+            places.pop()
+            depths.pop()
         open_[stack.pop()] -= 1
 
     at, end = 0, len(html)
@@ -151,8 +164,8 @@ def lines_of(html: str) -> list[Line]:
             text(lt + 9, close if close >= 0 else end)
             at = close + 3 if close >= 0 else end
             continue
-        named = NAME.match(html, lt + 1)
-        if not named:
+        tag = NAME.match(html, lt + 1)
+        if not tag:
             if html.startswith(("<!", "<?"), lt):
                 text(at, lt)
                 close = html.find(">", lt)
@@ -162,12 +175,12 @@ def lines_of(html: str) -> list[Line]:
                 at = lt + 1
             continue
         text(at, lt)
-        to = tag_end(html, named.end())
+        to = tag_end(html, tag.end())
         if to < 0:
             break
-        attributes = html[named.end() : to]
+        attributes = html[tag.end() : to]
         at = to + 1
-        name = named[1].lower()
+        name = tag[1].lower()
         if name in BLOCKS and not unseen:
             flush()
         if html[lt + 1] == "/":
@@ -182,16 +195,20 @@ def lines_of(html: str) -> list[Line]:
             continue
         if stack and (name in BLOCKS and stack[-1] == "p" or name == stack[-1] in ("li", "option", "dt", "dd", "tr", "td", "th")):
             pop()
-        if not skip and not unseen and boilerplate(name, attributes):
+        if not named_at and not unseen and boilerplate(name, attributes):
             if name in BLOCKS and name not in UNSEEN:
                 flush()
-                skip = len(stack) + 1
+                named_at = len(stack) + 1
             else:  # within a block, which goes on after it
                 unseen = len(stack) + 1
         elif not unseen and name in UNSEEN:
             unseen = len(stack) + 1
         stack.append(name)
         open_[name] += 1
+        if name in BLOCKS and name not in PARAGRAPHS and not unseen:
+            opened += 1
+            places.append(opened)
+            depths.append(len(stack))
         if name in RAW:
             close_tag = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             at = close_tag.start() if close_tag else end
@@ -199,44 +216,49 @@ def lines_of(html: str) -> list[Line]:
     return lines
 
 
-def windowed(lengths: list[int], reach: int = REACH) -> list[int]:
-    """Of each line the lengths summed over the lines within reach."""
-    upto = [0]
-    for x in lengths:
-        upto.append(upto[-1] + x)
-    n = len(lengths)
-    return [upto[min(n, i + reach + 1)] - upto[max(0, i - reach)] for i in range(n)]
+def windowed(weights: list[float], reach: int = REACH) -> list[float]:
+    """Of each line the weights summed over the lines within reach."""
+    n = len(weights)
+    return [sum(weights[max(0, i - reach) : i + reach + 1]) for i in range(n)]
 
 
-def between(lines: list[Line]) -> list[str]:
-    """The text from the first surge of the windowed sums to the last dive."""
+def weighed(lines: list[Line]) -> tuple[list[float], list[float], list[bool]]:
+    """Of each line its weight, the share of its place, and whether names speak against it."""
     inside = sum(x.plain for x in lines if x.inside)
     heeded = inside > 0 and 2 * inside >= sum(x.plain for x in lines)
+    against = [x.named or heeded and not x.inside for x in lines]
+    own: Counter[int] = Counter()
+    for x, bad in zip(lines, against, strict=True):
+        own[x.place] += x.plain * (NAMED_WEIGHT if bad else 1)
+    held = [own[x.place] + (own[x.parent] if x.parent != x.place else 0) for x in lines]
+    most = max(held, default=0) or 1
+    share = [1.0 if heeded and x.inside else h / most for x, h in zip(lines, held, strict=True)]
     # Within marks, links are text as any other.
-    lengths = [(len(x.text) if x.inside and not x.stripped else 0) if heeded else x.plain for x in lines]
-    least = 1 if heeded else SURGE
-    # A stripped line parts the windows: what lies before it adds nothing to what comes after.
-    spans: list[tuple[int, int, int]] = []  # surge, dive, highest sum
-    at = 0
-    for stop in [i for i, x in enumerate(lines) if x.stripped] + [len(lines)]:
-        sums = windowed(lengths[at:stop])
-        i = 0
-        while i < len(sums):
-            if not sums[i]:
-                i += 1
-                continue
-            dive = i
-            while dive < len(sums) and sums[dive]:
-                dive += 1
-            first = next(k for k in range(i, dive) if lengths[at + k])
-            last = next(k for k in range(dive - 1, i - 1, -1) if lengths[at + k])
-            spans.append((at + first, at + last + 1, max(sums[i:dive])))
-            i = dive
-        at = stop + 1
-    if not spans:
+    plain = [len(x.text) if heeded and x.inside else x.plain for x in lines]
+    return [n * s * (NAMED_WEIGHT if bad else 1) for n, s, bad in zip(plain, share, against, strict=True)], share, against
+
+
+def between(lines: list[Line], reach: int = REACH) -> list[str]:
+    """The text from the first surge of the windowed sums to the last dive."""
+    weights, share, against = weighed(lines)
+    sums = windowed(weights, reach)
+    runs: list[tuple[int, int, float]] = []  # surge, dive, highest sum
+    i = 0
+    while i < len(sums):
+        if not sums[i]:
+            i += 1
+            continue
+        dive = i
+        while dive < len(sums) and sums[dive]:
+            dive += 1
+        text = [k for k in range(i, dive) if weights[k] and share[k] >= EDGE_SHARE and not against[k]] or [k for k in range(i, dive) if weights[k]]
+        runs.append((text[0], text[-1] + 1, max(sums[i:dive])))
+        i = dive
+    if not runs:
         return []
-    surged = [x for x in spans if x[2] >= least] or [max(spans, key=lambda x: (x[2], -x[0]))]
-    return [x.text for x in lines[surged[0][0] : surged[-1][1]] if not x.stripped and (x.inside or not heeded)]
+    surged = [x for x in runs if x[2] >= SURGE] or [max(runs, key=lambda x: (x[2], -x[0]))]
+    alone = windowed([w if bad else 0 for w, bad in zip(weights, against, strict=True)], reach)
+    return [lines[k].text for k in range(surged[0][0], surged[-1][1]) if not against[k] or alone[k] >= SURGE]
 
 
 def main_text(html: str) -> str:
