@@ -31,7 +31,6 @@ that very many codes share are split by Spark's skew join (adaptive execution).
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -82,9 +81,10 @@ def distance(a: list[Column], b: list[Column]) -> Column:
     return total.cast("int")
 
 
-def masks(radius: int, width: int) -> list[int]:
-    """All segment values of so many bits with so many of them set."""
-    return [sum(1 << i for i in c) for c in combinations(range(width), radius)]
+def masks(spark: SparkSession, radius: int, width: int) -> Column:
+    """All segment values of so many bits with so many of them set, as one array that Spark makes: C(width, radius) integers, whatever the table."""
+    every = spark.range(1 << width).where(F.bit_count("id") == radius)
+    return every.agg(F.collect_list(F.col("id").cast("int")).alias("masks")).scalar()
 
 
 def smallest_ids(rows: DataFrame, words: list[str], k: int) -> DataFrame:
@@ -105,7 +105,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: s
 
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, dims: int) -> DataFrame:
     """top_k of vectors of one length."""
-    n_words = -(-dims // 64)
+    spark, n_words = vectors.sparkSession, -(-dims // 64)
     names = [f"w{i}" for i in range(n_words)]
 
     def coded(df: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
         there = [F.col(q) for q in q_names]
         needed = F.col("upper") - m * radius + 1
         probes = open_.withColumn("p", F.explode(values(there))).where(F.col("p.segment") < needed)
-        probes = probes.withColumn("mask", F.explode(F.array(*map(F.lit, masks(radius, widest)))))
+        probes = probes.withColumn("masks", masks(spark, radius, widest)).withColumn("mask", F.explode("masks"))
         width = F.element_at(F.array(*(F.lit(w) for _, w in parts)), F.col("p.segment") + 1)
         probes = probes.where(F.col("mask") < F.pow(F.lit(2), width)).select(*q_names, "upper", F.col("p.segment").alias("segment"), F.col("p.value").bitwiseXOR(F.col("mask")).alias("value"))
         # A merge join: Spark would take the probes for as small as the queries they come from, and broadcast them.

@@ -5,8 +5,9 @@ and its value), `access` (an access-key identifier) and `hex` (a long hex run).
 Weak candidates tell little alone: `key` (a bare base-64 run as long as a secret
 key, mixed in letter case with a digit), `short` (a named password, token or key
 with a value too short to be strong), `account` (a named user, login or client,
-or a mail address) and `endpoint` (a URL, or a host name or IP address, with its
-port if there is one).
+or a mail address) and `endpoint` (a URL, a host name with a port or with an
+ending that only hosts have, or an IP address; `os.path`, `self.token` and
+`README.md` are none).
 
 Linking is an interval join of the parts of a document with those that complete
 them: the scope of a part is its span and SCOPE characters on either side, and
@@ -40,7 +41,11 @@ SCOPE = 256
 #: Entries that running values are taken over at once, and code points of a block of text.
 TIER, BLOCK = 64, 1024
 
-HOST = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
+# Endings of host names that no attribute or file name has, and host names by ending, with a port, and as addresses.
+ENDINGS = "com|org|net|edu|gov|internal|example|de|fr|es|uk|eu"
+NAMED_HOST = rf"[A-Za-z0-9][A-Za-z0-9.-]*\.(?:{ENDINGS})(?::\d{{1,5}})?(?![A-Za-z0-9_@(\[-]|\.[A-Za-z0-9])"
+PORT_HOST = r"[A-Za-z0-9][A-Za-z0-9-]*\.[A-Za-z0-9.-]*:\d{3,5}(?![A-Za-z0-9_])"
+ADDRESS = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?::\d{1,5})?(?![A-Za-z0-9_.-])"
 
 # The kinds in their order, and each pattern with the kinds that its group's least length tells, longest first.
 STRONG = ("assign", "access", "hex")
@@ -50,8 +55,8 @@ PATTERNS = (
     (r"(AKIA[A-Z0-9]+)", (("access", 18),)),
     (r"(?<![0-9a-f])([0-9a-f]{16,})", (("hex", 16),)),  # runs of the least length are the same matches, since a run is matched whole
     (r"(?<![A-Za-z0-9+/_.=-])(?=[0-9+/A-Z]*[a-z])(?=[0-9+/a-z]*[A-Z])(?=[+/A-Za-z]*[0-9])([A-Za-z0-9+/]{40})(?![A-Za-z0-9+/_.=-])", (("key", 40),)),
-    (r"((?i:user(?:name|_?id)?|login|account|client_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@+-]+|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})", (("account", 3),)),
-    (rf"(https?://[^\s\"'<>]+|(?<![A-Za-z0-9.@-])(?:{HOST})(?::\d{{1,5}})?(?![A-Za-z0-9.@-]))", (("endpoint", 4),)),
+    (r"((?i:user(?:name|_?id)?|login|account|client_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@+-]+|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,})", (("account", 3),)),
+    (rf"(https?://[^\s\"'<>]+|(?<![A-Za-z0-9_.@-])(?:{NAMED_HOST}|{PORT_HOST}|{ADDRESS}))", (("endpoint", 4),)),
 )
 #: The parts that complete a weak candidate.
 MEETS = {
@@ -61,6 +66,8 @@ MEETS = {
     "endpoint": ("assign", "access", "key", "short"),
 }
 KINDS = (*STRONG, *WEAK)
+#: What masking removes: the secrets, not the accounts and endpoints that told them.
+MASKED = (*STRONG, "key", "short")
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
 
 
@@ -137,15 +144,15 @@ def told(parts: Column, scope: int) -> Column:
     return F.transform(F.filter(F.zip_with(parts, flags, lambda p, f: F.struct(p.alias("p"), f.alias("f"))), lambda x: x["f"]), lambda x: x["p"])
 
 
-def linked(docs: DataFrame, keep: list[str], text: str = "text", scope: int = SCOPE) -> DataFrame:
-    """The columns `keep` and `spans`: an array of (kind, start, end) of each row, weak candidates only where they are linked."""
+def linked(docs: DataFrame, keep: list[str], text: str = "text", scope: int = SCOPE, out: str = "spans") -> DataFrame:
+    """The columns `keep` and `out`: an array of (kind, start, end) of each row, weak candidates only where they are linked."""
     value = F.coalesce(F.col(text), F.lit(""))
     found = docs.select(*keep, F.concat(*(spans_of(value, *p) for p in PATTERNS)).alias("__parts"))
     parts = F.col("__parts")
     # A part alone meets nothing.
     settled = F.filter(parts, lambda p: p["kind"].isin(*STRONG))
     merged = F.when((F.size(parts) < 2) | ~F.exists(parts, lambda p: p["kind"].isin(*WEAK)), in_order(settled)).otherwise(let(in_order(parts), lambda p: told(p, scope)))
-    return found.select(*keep, merged.alias("spans"))
+    return found.select(*keep, merged.alias(out))
 
 
 def base_only(spans: Column) -> Column:
@@ -176,9 +183,11 @@ def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
 
 
 def without_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every span of every text masked; rows without spans as they are."""
+    """docs with the secrets of every text masked; what only tells of them (accounts, endpoints) and rows without any stay as they are."""
     keep = docs.columns
-    return linked(docs, keep, text).withColumn(text, masked(F.col(text), F.col("spans"))).select(*keep)
+    found = linked(docs, keep, text, out="__spans")
+    secret = F.filter("__spans", lambda s: s["kind"].isin(*MASKED))
+    return found.withColumn(text, masked(F.col(text), secret)).select(*keep)
 
 
 def op6_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

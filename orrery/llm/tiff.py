@@ -175,6 +175,10 @@ ENCODERS: dict[int, Callable[[bytes], bytes]] = {NONE: bytes, LZW: lzw, DEFLATE:
 DECODERS: dict[int, Callable[[bytes, int], bytes]] = {NONE: lambda x, n: x[:n], LZW: unlzw, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpackbits}
 
 
+#: Bytes that a stored byte of each compression can become at most: a run of 128 from two, a code of 9 bits for the longest entry, a match of 258 from two bits.
+EXPANDS = {NONE: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040}
+
+
 def variant(payload: bytes) -> tuple[int, bool, int]:
     """Compression, tiles or strips, and predictor of a payload, from its checksum."""
     n = zlib.crc32(payload)
@@ -269,10 +273,16 @@ def page_of(data: bytes, fields: dict[int, tuple[int, ...]]) -> dict:
     if set(fields.get(BITS, (8,))) != {8} or compression not in DECODERS or predictor not in (1, 2) or one(PLANAR, 1) != 1 or not width or not height:
         raise Broken("a layout that is not read here")
     across, down = (one(TILE_WIDTH), one(TILE_LENGTH)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
+    if not across or not down or not samples:
+        raise Broken("blocks without pixels")
     offsets, sizes = (fields.get(x, ()) for x in ((TILE_OFFSETS, TILE_COUNTS) if tiled else (STRIP_OFFSETS, STRIP_COUNTS)))
     columns, bands = -(-width // across), -(-height // down)
     if len(offsets) != columns * bands or len(sizes) != len(offsets):
         raise Broken("blocks do not cover the page")
+    for i, (at, size) in enumerate(zip(offsets, sizes, strict=True)):  # before anything is allocated
+        tall = down if tiled else min(down, height - i // columns * down)
+        if at + size > len(data) or tall * across * samples > size * EXPANDS[compression]:
+            raise Broken("a block that cannot hold its pixels")
     image = np.zeros((bands * down, columns * across, samples), np.uint8)
     for i, (at, size) in enumerate(zip(offsets, sizes, strict=True)):
         top, left = i // columns * down, i % columns * across

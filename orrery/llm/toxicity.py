@@ -21,7 +21,9 @@ marginal, and a document is scored from its largest marginal, their sum, and
 their sum against its length. `spans` are the offending offsets in code points.
 
 Null and empty texts are scored as texts without tokens. Labels that are null
-are not used; with no toxic label at all every score is 0. Null and repeated
+are not used. A word counts that five toxic rows of the sample hold, or as many
+as the commonest telling word has, where there are fewer; with no toxic label,
+or no word that tells toxic rows from others, every score is 0. Null and repeated
 ids and equal rows are scored row by row; other columns pass through; an empty
 table gives an empty result.
 """
@@ -38,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,9 +48,7 @@ from orrery.llm.common import run_sums, slices, table, text_array
 
 #: Labelled rows that training reads at most, and of these the rows that the chain is fitted on.
 SAMPLE, CHAIN_ROWS = 8_000, 2_000
-#: Words and beginnings that token labels come from, the strongest first.
-LEXICON = 8_192
-#: Toxic documents of the sample that must hold a word before it counts.
+#: Toxic documents of the sample that must hold a word before it counts, or as many as any word that tells them apart has, if none has so many.
 LEAST_DOCS = 5
 #: Lower bound of the log odds from which a token of a toxic document is labelled toxic.
 TOXIC_ODDS = 1.0
@@ -86,7 +86,7 @@ def shape(word: str) -> str:
     if word.isalpha():
         return "a" if word.islower() else "A" if word.isupper() else "Aa" if word.istitle() else "aA"
     out = ""
-    for c in word[:16]:
+    for c in word:
         kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else "."
         out += kind if not out.endswith(kind) else ""
     return out
@@ -94,7 +94,7 @@ def shape(word: str) -> str:
 
 def own_features(chunk: str, words: list[str]) -> list[int]:
     """Buckets of what a token tells of itself: its words with their beginnings and endings, and its shape."""
-    each = [f for w in words[:8] for f in (*features(w), f"*{w[-3:]}")]
+    each = [f for w in words for f in (*features(w), f"*{w[-3:]}")]
     return [bucket(f) for f in (*each, f"~{shape(chunk)}")]
 
 
@@ -283,7 +283,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 
 def lexicon_of(sample: DataFrame) -> set[str]:
-    """The words and beginnings that label a token of a toxic document toxic, at most LEXICON of them."""
+    """The words and beginnings that label a token of a toxic document toxic: some of those of at most SAMPLE labelled rows."""
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,8 +299,10 @@ def lexicon_of(sample: DataFrame) -> set[str]:
     p, n = F.col("p") + 0.5, F.col("n") + 0.5
     odds = F.log(p / n) - math.log((whole.p + 1) / (whole.n + 1))
     bound = odds - 1.3 * F.sqrt(1 / p + 1 / n)
-    rows = counts.where((F.col("feature") != "") & (F.col("p") >= LEAST_DOCS)).withColumn("bound", bound).where(F.col("bound") >= TOXIC_ODDS).orderBy(F.desc("bound"), "feature").limit(LEXICON)
-    return {r.feature for r in rows.select("feature").collect()}  # at most LEXICON words
+    told = counts.where((F.col("feature") != "") & (F.col("p") > 0)).withColumn("bound", bound).where(F.col("bound") >= TOXIC_ODDS)
+    least = F.least(F.lit(LEAST_DOCS), F.max("p").over(Window.partitionBy()))  # over the sample's words
+    rows = told.select("feature", "p", least.alias("least")).where(F.col("p") >= F.col("least"))
+    return {r.feature for r in rows.select("feature").collect()}  # words of the sample
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, rows: int = CHAIN_ROWS) -> dict:

@@ -275,13 +275,50 @@ def test_gradient_of_the_chain(monkeypatch):
     assert ((marginal >= 0.5) == state).mean() > 0.99
 
 
+def test_score_against_enumeration(spark):
+    from itertools import product
+
+    rng = np.random.default_rng(8)
+    model = {"weights": rng.normal(size=toxicity.BUCKETS).astype(np.float32), "move": rng.normal(size=(2, 2)), "score": [0.2, 1.1, -0.7, 0.5]}
+    texts = ["a", "bad word", "A-b-c-d-e-f-g-h-toxicword then more", "  one two  three four five six seven ", "Über naïve x1", "", None, "a-b-c-d-e-f-g-h-another then more"]
+    got = {r.text: r.score for r in toxicity.score(spark.createDataFrame([(t, 1.0) for t in texts], "text string, score double"), model).collect()}
+    for text in texts:
+        tokens = (text or "").split()
+        w = model["weights"].astype(float)
+        words = [toxicity.words_in(t) for t in tokens]
+        own = [sum(w[i] for i in toxicity.own_features(t, x)) for t, x in zip(tokens, words, strict=True)]
+        for i in range(len(tokens)):
+            own[i] += (w[toxicity.beside(words[i - 1])[0]] if i else 0) + (w[toxicity.beside(words[i + 1])[1]] if i + 1 < len(tokens) else 0)
+        weight = {s: np.exp(sum(x for x, y in zip(own, s, strict=True) if y) + sum(model["move"][a, b] for a, b in zip(s, s[1:], strict=False))) for s in product((0, 1), repeat=len(tokens))}
+        marginal = [sum(x for s, x in weight.items() if s[i]) / sum(weight.values()) for i in range(len(tokens))]
+        top, total = max(marginal, default=0), sum(marginal)
+        z = np.dot(model["score"], [1, top, np.log1p(total), np.log((total + 0.05) / (len(tokens) + 5))])
+        assert got[text] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-4)
+    assert got[texts[2]] != got[texts[7]]  # the ninth part of a token counts
+
+
+def test_few_toxic_rows_still_teach(spark):
+    rows = [(i, words(random.Random(i), 20) + (" vexifoo vexibar" if i in (8, 9, 14) else ""), int(i in (8, 9, 14))) for i in range(60)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    df = spark.createDataFrame([r for r in rows if not held(r[0])], "doc_id long, text string, toxic int")
+    assert 0 < len(toxicity.lexicon_of(df.select("text", "toxic", F.lit(True).alias("counted")))) and df.where("toxic = 1").count() < toxicity.LEAST_DOCS
+
+
+def test_masks_of_wide_segments(spark):
+    from math import comb
+
+    for radius, width in ((0, 8), (2, 8), (5, 22)):
+        got = spark.range(1).select(hamming.masks(spark, radius, width).alias("m")).first().m
+        assert len(set(got)) == comb(width, radius) and all(bin(x).count("1") == radius for x in got[:50])
+
+
 @pytest.mark.parametrize("dims", [16, 64, 100])
 def test_top_k_against_brute_force(spark, dims):
     rng = np.random.default_rng(dims)
     v = rng.normal(size=(160, dims)).astype(np.float32)
     v[40:90] = v[7]
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(500, None), (None, v[0].tolist()), (501, [1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, distance int, rank int")
     got = hamming.top_k(df, df.where("vec_id % 50 = 0"), k=10).collect()
     bits = v > 0
     want = {(q, r + 1, int(i), int(d)) for q in range(0, 160, 50) for r, (d, i) in enumerate(sorted((int((bits[q] != bits[j]).sum()), j) for j in range(160))[:10])}
