@@ -2,13 +2,13 @@
 
 A stripe is what one term of one language has: the number of documents it
 occurs in and its count in each source. Tasks fold whole documents into a hash
-of stripes; a hash of more than SPILL cells is spilled as rows and begun anew,
-which bounds a task's memory whatever it reads. Stripes are shuffled and sorted
-by key and merged in one pass, so a very common term sends a row for each task
-and spill, not for each occurrence. Merged stripes of kept terms are written
-once and emit the divergences directly: each becomes the shares of all sources
-of its language, and their differences are summed for each pair inside the
-task.
+of stripes (Arrow's hash grouping, cell by cell); a hash of more than SPILL
+cells is spilled as rows and begun anew, which bounds a task's memory whatever
+it reads. Stripes are shuffled and sorted by key and merged in one pass, so a
+very common term sends a row for each task and spill, not for each occurrence.
+Merged stripes of kept terms are written once and emit the divergences
+directly: each becomes the shares of all sources of its language, and their
+differences are summed for each pair inside the task.
 
 What travels with the tasks are the totals of at most 2 * BLOCK sources; more
 sources than that are taken block against block, each block of stripes in a
@@ -37,7 +37,7 @@ from orrery.llm.common import materialize, slices, table, text_array
 
 LEAST_DOCS, RANKS, UNIT = 10, 10, 1_000_000_000
 #: Cells (a term's count in a source) that a task's hash holds before it is spilled.
-SPILL = 250_000
+SPILL = 1_000_000
 #: Sources whose totals a block holds, and cells of a dense block of stripes.
 BLOCK, DENSE = 500, 1 << 20
 #: Counts above this are computed with numbers of any size.
@@ -47,94 +47,99 @@ WIDE = 9_000_000_000
 APART = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 STRIPE = "lang string, term string, docs long, sources array<string>, counts array<long>"
 
-Stripes = dict[tuple[str, str], tuple[list[int], dict[str, int]]]
-
-
-def rows_of(stripes: Stripes, order: list[tuple[str, str]] | None = None) -> Iterator[pa.RecordBatch]:
-    keys = list(stripes) if order is None else order
-    for a in range(0, len(keys), 8192):
-        some = keys[a : a + 8192]
-        found = [stripes[k] for k in some]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in some], pa.string()), pa.array([k[1] for k in some], pa.string()), pa.array([x[0][0] for x in found], pa.int64()),
-                pa.array([list(x[1]) for x in found], pa.list_(pa.string())), pa.array([list(x[1].values()) for x in found], pa.list_(pa.int64())),
-            ],
-            names=["lang", "term", "docs", "sources", "counts"],
-        )
-
-
-def add(stripes: Stripes, key: tuple[str, str], docs: int, sources: list[str], counts: list[int]) -> int:
-    """Add to the key's stripe; the number of new cells."""
-    found = stripes.get(key)
-    if found is None:
-        found = stripes[key] = ([0], {})
-    found[0][0] += docs
-    cells = found[1]
-    before = len(cells)
-    for s, n in zip(sources, counts, strict=True):
-        cells[s] = cells.get(s, 0) + n
-    return len(cells) - before
-
-
-def counted(batch: pa.RecordBatch) -> Iterator[tuple[str, str, int, list[str], list[int]]]:
-    """(lang, term, documents, sources, counts) of each term of each language among the batch's whole documents."""
+CELL = ["lang", "term", "source"]
+
+
+def summed(cells: pa.Table) -> pa.Table:
+    """One row for each cell (lang, term, source), with its count n and the documents that have it."""
+    found = cells.group_by(CELL, use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+    return found.rename_columns([c.removesuffix("_sum") for c in found.column_names]).select([*CELL, "n", "docs"])
+
+
+def stripes_of(cells: pa.Table, least: int = 0) -> Iterator[pa.RecordBatch]:
+    """The stripes of summed cells, those of at least so many documents."""
+    if not cells.num_rows:
+        return
+    found = cells.group_by(["lang", "term"], use_threads=False).aggregate([("docs", "sum"), ("source", "list"), ("n", "list")])
+    named = {"docs_sum": "docs", "source_list": "sources", "n_list": "counts"}
+    found = found.rename_columns([named.get(c, c) for c in found.column_names]).select(["lang", "term", "docs", "sources", "counts"])
+    yield from found.filter(pc.greater_equal(found["docs"], least)).combine_chunks().to_batches(max_chunksize=8192)
+
+
+def counted(batch: pa.RecordBatch) -> pa.Table:
+    """The cells of the batch's whole documents."""
     texts = pc.replace_substring_regex(pc.ascii_lower(text_array(batch, "text")), APART, " ")
     split = pc.ascii_split_whitespace(texts)
     bounds = split.offsets.to_numpy().astype(np.int64)
     flat = split.flatten().dictionary_encode()
-    codes, terms = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_pylist()
-    if not terms:
-        return
+    n_terms = len(flat.dictionary)
+    if not n_terms:
+        return pa.table({c: pa.array([], pa.string() if c in CELL else pa.int64()) for c in (*CELL, "n", "docs")})
     lang, source = (text_array(batch, c).dictionary_encode() for c in ("lang", "source"))
-    langs, sources = lang.dictionary.to_pylist(), source.dictionary.to_pylist()
+    n_sources = len(source.dictionary)
+    group = lang.indices.to_numpy().astype(np.int64) * n_sources + source.indices.to_numpy()
     doc = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-    once = np.unique(doc * len(terms) + codes)
-    keys = lang.indices.to_numpy().astype(np.int64)[once // len(terms)] * len(terms) + once % len(terms)
-    named, docs = np.unique(keys, return_counts=True)
-    mine = lang.indices.to_numpy().astype(np.int64)[doc] * len(terms) + codes
-    cells, n = np.unique(mine * len(sources) + source.indices.to_numpy().astype(np.int64)[doc], return_counts=True)
-    ends = np.append(np.searchsorted(cells // len(sources), named), len(cells)).tolist()
-    where, n = (cells % len(sources)).tolist(), n.tolist()
-    for i, (key, d) in enumerate(zip(named.tolist(), docs.tolist(), strict=True)):
-        a, b = ends[i], ends[i + 1]
-        at = key // len(terms), key % len(terms)
-        if terms[at[1]]:
-            yield langs[at[0]], terms[at[1]], d, [sources[x] for x in where[a:b]], n[a:b]
+    of_doc, times = np.unique(doc * n_terms + flat.indices.to_numpy(), return_counts=True)
+    keys = group[of_doc // n_terms] * n_terms + of_doc % n_terms
+    order = np.argsort(keys, kind="stable")
+    keys, times = keys[order], times[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    n, docs = np.add.reduceat(times, first), np.diff(np.append(first, len(keys)))
+    keys = keys[first]
+    term, whose = flat.dictionary.take(pa.array(keys % n_terms)), keys // n_terms
+    cells = pa.table({"lang": lang.dictionary.take(pa.array(whose // n_sources)), "term": term, "source": source.dictionary.take(pa.array(whose % n_sources)), "n": pa.array(n.astype(np.int64)), "docs": pa.array(docs.astype(np.int64))})
+    return cells.filter(pc.not_equal(cells["term"], ""))
 
 
 def folded(docs: DataFrame, spill: int = SPILL) -> DataFrame:
     """Stripes of each task's documents; a term has several rows where the hash was spilled."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stripes: Stripes = {}
-        cells = 0
+        held: list[pa.Table] = []
+        cells = fresh = 0
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
-                for lang, term, n, sources, counts in counted(part):
-                    cells += add(stripes, (lang, term), n, sources, counts)
-                    if cells >= spill:
-                        yield from rows_of(stripes)
-                        stripes, cells = {}, 0
-        yield from rows_of(stripes)
+                held.append(counted(part))
+                fresh += held[-1].num_rows
+                if fresh < spill / 2 and cells + fresh < 2 * spill:
+                    continue
+                held, fresh = [summed(pa.concat_tables(held))], 0
+                cells = held[0].num_rows
+                if cells >= spill:
+                    yield from stripes_of(held[0])
+                    held, cells = [], 0
+        if held:
+            yield from stripes_of(summed(pa.concat_tables(held)))
 
     return docs.select("lang", "source", "text").mapInArrow(fold, STRIPE)
 
 
+def cells_of(stripes: pa.Table) -> pa.Table:
+    """The cells of stripes; a stripe's documents stand with its first cell."""
+    stripes = stripes.combine_chunks()
+    parts = {c: stripes[c].chunk(0) for c in stripes.column_names}
+    owner = pc.list_parent_indices(parts["sources"])
+    docs = np.zeros(len(owner), np.int64)
+    docs[np.flatnonzero(np.diff(owner.to_numpy(), prepend=-1))] = parts["docs"].to_numpy()
+    return pa.table({"lang": parts["lang"].take(owner), "term": parts["term"].take(owner), "source": parts["sources"].flatten(), "n": parts["counts"].flatten(), "docs": pa.array(docs)})
+
+
 def merged(stripes: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     """One stripe for each term that `least` documents of its language have."""
     ordered = stripes.repartition("lang", "term").sortWithinPartitions("lang", "term")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Stripes = {}
+        rest: pa.Table | None = None  # cells of the key that the next batch may go on with
         for batch in batches:
-            for lang, term, n, sources, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "term", "docs", "sources", "counts")), strict=True):
-                key = (lang, term)
-                if key not in held and len(held) >= 4096:
-                    yield from rows_of(held, [k for k, x in held.items() if x[0][0] >= least])
-                    held = {}
-                add(held, key, n, sources, counts)
-        yield from rows_of(held, [k for k, x in held.items() if x[0][0] >= least])
+            if not batch.num_rows:
+                continue
+            cells = cells_of(pa.Table.from_batches([batch]))
+            cells = summed(cells if rest is None else pa.concat_tables([rest, cells]))
+            last = pc.and_(pc.equal(cells["lang"], batch.column("lang")[-1]), pc.equal(cells["term"], batch.column("term")[-1]))
+            rest = cells.filter(last)
+            yield from stripes_of(cells.filter(pc.invert(last)), least)
+        if rest is not None:
+            yield from stripes_of(rest, least)
 
     return ordered.mapInArrow(merge, STRIPE)
 
@@ -163,32 +168,34 @@ class Emitter:
         self.sums = np.zeros((len(left), len(right)), np.int64)
         self.best: dict[int, list[tuple[int, bytes, str]]] = {}
 
-    def take(self, terms: list[str], sources: list[list[str]], counts: list[list[int]]) -> None:
+    def take(self, terms: pa.Array, sources: pa.Array, counts: pa.Array) -> None:
         step = max(1, DENSE // max(1, len(self.names)))
         for a in range(0, len(terms), step):
-            self.block(terms[a : a + step], sources[a : a + step], counts[a : a + step])
+            self.block(*(x.slice(a, step) for x in (terms, sources, counts)))
 
-    def block(self, terms: list[str], sources: list[list[str]], counts: list[list[int]]) -> None:
+    def block(self, terms: pa.Array, sources: pa.Array, counts: pa.Array) -> None:
+        owner, named = pc.list_parent_indices(sources).to_numpy(), sources.flatten().dictionary_encode()
+        column = np.array([self.column.get(s, -1) for s in named.dictionary.to_pylist()], np.int64)[named.indices.to_numpy()]
+        times = counts.flatten().to_numpy()
         n = np.zeros((len(terms), len(self.names)), np.int64)
-        for i, (names, values) in enumerate(zip(sources, counts, strict=True)):
-            for s, x in zip(names, values, strict=True):
-                if (c := self.column.get(s)) is not None:
-                    n[i, c] = x
+        n[owner[column >= 0], column[column >= 0]] = times[column >= 0]
         p = shares(n, self.whole)
         right = p[:, [self.column[s] for s in self.right]]
         for i, s in enumerate(self.left):
             self.sums[i] += apart(p[:, [self.column[s]]], right).sum(axis=0)
         if self.same:
-            q = shares(np.array([sum(x) for x in counts], np.int64), self.lang_whole)[:, None]
+            total = np.zeros(len(terms), np.int64)
+            np.add.at(total, owner, times)
+            q = shares(total, self.lang_whole)[:, None]
             value = np.where((n > 0) & (p > q), apart(p, q), -1)
             for c in range(len(self.names)):
                 self.rank(c, terms, value[:, c])
 
-    def rank(self, c: int, terms: list[str], value: np.ndarray) -> None:
+    def rank(self, c: int, terms: pa.Array, value: np.ndarray) -> None:
         who = np.flatnonzero(value >= 0)
         if len(who) > RANKS:
             who = who[value[who] >= np.partition(value[who], -RANKS)[-RANKS]]
-        new = [(-int(value[i]), terms[i].encode(), terms[i]) for i in who]
+        new = [(-int(value[i]), t.encode(), t) for i, t in zip(who, terms.take(pa.array(who)).to_pylist(), strict=True)]
         self.best[c] = sorted(self.best.get(c, []) + new)[:RANKS]
 
     def rows(self, lang: str) -> Iterator[tuple]:
@@ -245,10 +252,9 @@ def emitted(stripes: DataFrame, some: list[Job]) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emitters = {lang: Emitter(left, right, n, terms) for lang, left, right, n, terms in some if terms}
         for batch in batches:
-            langs = np.array(batch.column("lang").to_pylist(), object)
-            for lang in set(langs.tolist()) & emitters.keys():
-                mine = batch.filter(pa.array(langs == lang))
-                emitters[lang].take(*(mine.column(c).to_pylist() for c in ("term", "sources", "counts")))
+            for lang in set(batch.column("lang").unique().to_pylist()) & emitters.keys():
+                mine = batch.filter(pc.equal(batch.column("lang"), lang))
+                emitters[lang].take(*(mine.column(c) for c in ("term", "sources", "counts")))
         rows = [r for lang, e in emitters.items() for r in e.rows(lang)]
         for a in range(0, len(rows), 8192):
             cut = list(zip(*rows[a : a + 8192], strict=True))
