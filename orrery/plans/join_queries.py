@@ -256,13 +256,31 @@ def j23(t: Tables) -> DataFrame:
     return kept.groupBy("event_type", F.round("centre", 6).alias("centre")).agg(F.count("*").alias("kept"), F.round(F.median("value"), 6).alias("median"))
 
 
-@query("j24_mutual_best", """
-WITH p AS (SELECT x.event_id AS l, y.event_id AS r, -abs(x.value - y.value) AS score FROM events x JOIN events y ON x.event_type = 'view' AND y.event_type = 'click' AND x.user_id = y.user_id AND abs(x.value - y.value) <= 3),
-q AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS a, row_number() OVER (PARTITION BY r ORDER BY score DESC, l) AS b FROM p) SELECT l, r, round(score, 6) AS score FROM q WHERE a = 1 AND b = 1""")
-def j24(t: Tables) -> DataFrame:
+NEAR_PAIRS = "p AS (SELECT x.user_id, x.event_id AS l, y.event_id AS r, -abs(x.value - y.value) AS score FROM events x JOIN events y ON x.event_type = 'view' AND y.event_type = 'click' AND x.user_id = y.user_id AND abs(x.value - y.value) <= 3)"
+
+
+def near_pairs(t: Tables) -> DataFrame:
     side = lambda k, i, v: t.events.where(f"event_type = '{k}'").select("user_id", F.col("event_id").alias(i), F.col("value").alias(v))
-    p = joins.within(side("view", "l", "x"), side("click", "r", "y"), ["user_id"], "x", "y", 3).select("l", "r", (-F.abs(F.col("x") - F.col("y"))).alias("score"))
-    return joins.mutual_best(p, "l", "r", "score").select("l", "r", F.round("score", 6).alias("score"))
+    return joins.within(side("view", "l", "x"), side("click", "r", "y"), ["user_id"], "x", "y", 3).select("l", "r", (-F.abs(F.col("x") - F.col("y"))).alias("score"))
+
+
+@query("j24_mutual_best", f"""
+WITH {NEAR_PAIRS}, q AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS a, row_number() OVER (PARTITION BY r ORDER BY score DESC, l) AS b FROM p) SELECT l, r, round(score, 6) AS score FROM q WHERE a = 1 AND b = 1""")
+def j24(t: Tables) -> DataFrame:
+    return joins.mutual_best(near_pairs(t), "l", "r", "score").select("l", "r", F.round("score", 6).alias("score"))
+
+
+@query("j24_boundary_pairs", f"""
+WITH RECURSIVE {NEAR_PAIRS}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, l, r) AS i FROM p),
+g AS (SELECT user_id, i, l, r, score, true AS chosen, [l] AS ls, [r] AS rs FROM o WHERE i = 1
+  UNION ALL SELECT o.user_id, o.i, o.l, o.r, o.score, NOT list_contains(g.ls, o.l) AND NOT list_contains(g.rs, o.r),
+    CASE WHEN list_contains(g.ls, o.l) OR list_contains(g.rs, o.r) THEN g.ls ELSE list_append(g.ls, o.l) END,
+    CASE WHEN list_contains(g.ls, o.l) OR list_contains(g.rs, o.r) THEN g.rs ELSE list_append(g.rs, o.r) END FROM g JOIN o ON o.user_id = g.user_id AND o.i = g.i + 1)
+SELECT l, r, round(score, 6) AS score FROM g WHERE chosen""")
+def j24_boundary_pairs(t: Tables) -> DataFrame:
+    from orrery.operators.selection import matched
+
+    return matched(near_pairs(t), "l", "r", "score").select("l", "r", F.round("score", 6).alias("score"))
 
 
 @query("j25_event_hypotheses", f"""WITH {TRACKS}, h AS (SELECT x.user_id, x.a, x.m, y.user_id AS cand, (least(x.b, y.b) - greatest(x.a, y.a)) / nullif(x.b - x.a, 0)::DOUBLE AS share, exp(-abs(x.m - y.m) / 25) AS score FROM tr x JOIN tr y ON x.event_type = 'view' AND y.event_type = 'error' AND x.a <= y.b AND y.a <= x.b),

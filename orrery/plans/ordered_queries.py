@@ -181,16 +181,35 @@ def w17(t: Tables) -> DataFrame:
 
 
 @query("w18_non_maximum_suppression", """
-WITH e AS (SELECT event_id, user_id, value, epoch_us(ts) AS us FROM events)
-SELECT event_id, user_id, value FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.user_id = e.user_id AND abs(b.us - e.us) <= 21600000000 AND (b.value > e.value OR (b.value = e.value AND b.event_id < e.event_id)))""")
+WITH RECURSIVE e AS (SELECT event_id, user_id, value, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS i FROM events),
+g AS (SELECT user_id, i, event_id, true AS chosen, [us] AS kept FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.i, e.event_id, len(list_filter(g.kept, lambda k: abs(k - e.us) <= 21600000000)) = 0,
+    CASE WHEN len(list_filter(g.kept, lambda k: abs(k - e.us) <= 21600000000)) = 0 THEN list_append(g.kept, e.us) ELSE g.kept END FROM g JOIN e ON e.user_id = g.user_id AND e.i = g.i + 1)
+SELECT event_id, user_id, value FROM g JOIN events USING (event_id, user_id) WHERE chosen""")
 def w18(t: Tables) -> DataFrame:
-    from orrery.operators.joins import within
+    from orrery.operators.selection import suppressed
 
     e = t.events.select("event_id", "user_id", "value", fn.micros(F.col("ts")).alias("us"))
-    other = e.select(F.col("event_id").alias("b_id"), "user_id", F.col("value").alias("b_value"), F.col("us").alias("b_us"))
-    better = (F.col("b_value") > F.col("value")) | ((F.col("b_value") == F.col("value")) & (F.col("b_id") < F.col("event_id")))
-    beaten = within(e, other, ["user_id"], "us", "b_us", 21_600_000_000).where(better).select("event_id").distinct()
-    return e.join(beaten, "event_id", "left_anti").select("event_id", "user_id", "value")
+    return suppressed(e, "event_id", ["user_id"], [("us", 21_600_000_000)], [-F.col("value")]).select("event_id", "user_id", "value")
+
+
+NEAR3 = "abs(k.d - n.d) < 172800 AND abs(k.f - n.f) < 10 AND abs(k.r - n.r) < 4"
+
+
+@query("w18_three_ways", f"""
+WITH RECURSIVE e AS (SELECT event_id AS id, event_type AS s, epoch_us(ts) / 1e6 AS d, value AS f, user_id AS r, (event_id * 7919) % 1009 AS v FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY v DESC, id) AS i FROM e),
+g AS (SELECT s, i, id, true AS chosen, [{{'d': d, 'f': f, 'r': r}}] AS kept FROM n WHERE i = 1
+  UNION ALL SELECT n.s, n.i, n.id, len(list_filter(g.kept, lambda k: {NEAR3})) = 0,
+    CASE WHEN len(list_filter(g.kept, lambda k: {NEAR3})) = 0 THEN list_append(g.kept, {{'d': n.d, 'f': n.f, 'r': n.r}}) ELSE g.kept END FROM g JOIN n ON n.s = g.s AND n.i = g.i + 1),
+k AS (SELECT s, id, row_number() OVER (PARTITION BY s ORDER BY i) AS place FROM g WHERE chosen)
+SELECT s AS event_type, id, place FROM k WHERE place <= 32""")
+def w18_three_ways(t: Tables) -> DataFrame:
+    from orrery.operators.selection import suppressed
+
+    e = t.events.select("event_type", F.col("event_id").alias("id"), (fn.micros(F.col("ts")) / 1e6).alias("d"), F.col("value").alias("f"), F.col("user_id").alias("r"), ((F.col("event_id") * 7919) % 1009).alias("v"))
+    kept = suppressed(e, "id", ["event_type"], [("d", 172_800), ("f", 10), ("r", 4)], [-F.col("v")], strict=True)
+    return ordered.newest(kept, ["event_type"], [F.desc("v"), "id"], 32, "place").select("event_type", "id", F.col("place").cast("long").alias("place"))
 
 
 @query("w19_simultaneity", """
