@@ -126,6 +126,58 @@ def g03(t: Tables) -> DataFrame:
     return graph.families(labels, t.embeddings, "vec_id")
 
 
+DISTINCT = """u AS (SELECT embedding, min(vec_id) AS id FROM embeddings GROUP BY 1), n AS (SELECT id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM u),
+s AS (SELECT a.id AS l, b.id AS r, list_sum([a.v[i] * b.v[i] for i in range(1, len(a.v) + 1)]) / sqrt(list_sum([x * x for x in a.v]) * list_sum([x * x for x in b.v])) AS cosine FROM n a JOIN n b ON a.id < b.id AND len(a.v) = len(b.v)),
+e AS (SELECT * FROM s WHERE cosine >= 0.6)"""
+
+
+def similar(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Similar classes of vectors, of all labels, and the class of each vector."""
+    from orrery.operators import similarity
+
+    reps, members = similarity.classes(t.embeddings, "vec_id", "embedding")
+    return similarity.exact_pairs(reps, 0.6), members
+
+
+@query("j31_similar_prints", f"WITH {DISTINCT} SELECT l, r, round(cosine, 6) AS cosine FROM e")
+def j31_similar_prints(t: Tables) -> DataFrame:
+    return similar(t)[0].select("l", "r", F.round("cosine", 6).alias("cosine"))
+
+
+@query("g02_six_measures", f"""WITH {DISTINCT},
+f AS (SELECT vec_id, [(floor(x * 24)::INTEGER % 4 + 4) % 4 for x in embedding] AS states, [abs(x::DOUBLE) for x in embedding] AS magnitude, [x::DOUBLE * 3 for x in embedding] AS phase, [x::DOUBLE * 2 for x in embedding[1 : 8 + vec_id % 5]] AS series,
+  [label, label + vec_id % 3, vec_id % 7] AS ids, [round(x::DOUBLE, 3) for x in embedding[1 : vec_id % 3]] AS drifts FROM embeddings),
+p AS (SELECT e.l, e.r, a.states AS sa, b.states AS sb, a.magnitude AS ma, b.magnitude AS mb, a.phase AS pa, b.phase AS pb, a.series AS ta, b.series AS tb, a.ids AS ia, b.ids AS ib, a.drifts AS da, b.drifts AS db, greatest(len(a.series), len(b.series)) AS n FROM e JOIN f a ON a.vec_id = l JOIN f b ON b.vec_id = r),
+q AS (SELECT *, [i / (n - 1)::DOUBLE * (len(ta) - 1) for i in range(n)] AS xa, [i / (n - 1)::DOUBLE * (len(tb) - 1) for i in range(n)] AS xb FROM p),
+z AS (SELECT *, [ta[floor(x)::INTEGER + 1] + (ta[least(floor(x)::INTEGER + 2, len(ta))] - ta[floor(x)::INTEGER + 1]) * (x - floor(x)) for x in xa] AS ra, [tb[floor(x)::INTEGER + 1] + (tb[least(floor(x)::INTEGER + 2, len(tb))] - tb[floor(x)::INTEGER + 1]) * (x - floor(x)) for x in xb] AS rb FROM q)
+SELECT l, r, round(greatest(0, least(1, (list_avg([CASE WHEN sa[i] = sb[i] THEN 1.0 ELSE 0 END for i in range(1, len(sa) + 1)]) - 0.25) / 0.75)), 6) AS agreement, round(list_sum([ma[i] * mb[i] for i in range(1, len(ma) + 1)]) / sqrt(list_sum([x * x for x in ma]) * list_sum([x * x for x in mb])), 6) AS alignment,
+  round(sqrt(power(list_avg([cos(pa[i] - pb[i]) for i in range(1, len(pa) + 1)]), 2) + power(list_avg([sin(pa[i] - pb[i]) for i in range(1, len(pa) + 1)]), 2)), 6) AS coherence, round(greatest(0, least(1, 1 - list_avg([abs(ra[i] - rb[i]) for i in range(1, n + 1)]))), 6) AS likeness,
+  array_to_string(list_sort(list_distinct(list_intersect(ia, ib))), ',') AS shared, round(list_min([list_min([abs(x - y) for y in db]) for x in da]), 6) AS drift_gap FROM z""")
+def g02_six_measures(t: Tables) -> DataFrame:
+    from orrery.operators import similarity
+
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    number = lambda f: F.transform("embedding", lambda x: f(x.cast("double")))
+    cut = lambda n: F.slice(e, 1, n.cast("int"))
+    prints = t.embeddings.select(
+        "vec_id", number(lambda x: F.pmod(F.floor(x * 24), F.lit(4))).alias("states"), number(F.abs).alias("magnitude"), number(lambda x: x * 3).alias("phase"),
+        F.transform(cut(8 + F.col("vec_id") % 5), lambda x: x * 2).alias("series"),
+        F.array(F.col("label").cast("long"), F.col("label") + F.col("vec_id") % 3, F.col("vec_id") % 7).alias("ids"), F.transform(cut(F.col("vec_id") % 3), lambda x: F.round(x, 3)).alias("drifts"),
+    )
+    found = similarity.measured(similar(t)[0], prints, "vec_id")
+    rounded = [F.round(c, 6).alias(c) for c in ("agreement", "alignment", "coherence", "likeness", "drift_gap")]
+    return found.select("l", "r", *rounded, F.array_join(F.transform("shared", lambda x: x.cast("string")), ",").alias("shared"))
+
+
+@query("g03_similar_families", f"""WITH RECURSIVE {DISTINCT}, bi AS (SELECT l AS a, r AS b FROM e UNION SELECT r, l FROM e), reach AS (SELECT a, a AS b FROM bi UNION SELECT reach.a, bi.b FROM reach JOIN bi ON reach.b = bi.a), c AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY 1),
+w AS (SELECT vec_id, coalesce(component, u.id) AS component FROM embeddings JOIN u USING (embedding) LEFT JOIN c ON node = u.id) SELECT component, count(*) AS size FROM w GROUP BY 1""")
+def g03_similar_families(t: Tables) -> DataFrame:
+    pairs, members = similar(t)
+    labels = graph.components(pairs, "l", "r")
+    whole = members.join(labels, F.col("id") == F.col("node"), "left").select("vec_id", F.coalesce("component", "id").alias("component"))
+    return whole.groupBy("component").agg(F.count("*").alias("size"))
+
+
 ANGLES = "a AS (SELECT event_id, radians(user_id * 2.0 - 150) AS lon, radians(value % 90) AS lat FROM events)"
 
 
