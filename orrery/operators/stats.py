@@ -1,9 +1,11 @@
 """Aggregations: order statistics, thresholds from null populations, rates and intervals.
 
-Order statistics never gather a group's values in one task: values are counted
-per group first (a map-side combine), each group's span is cut into even bins,
-counts by bin tell which bins hold the places that are asked for, and only
-those bins are sorted, each as a task's work of its own.
+Order statistics never gather a group's values in one task. A mergeable sketch
+of each group (map-side combine) gives cuts of about equal numbers of rows,
+whatever the values' distribution; two cuts on either side of each place that
+is asked for bracket its value. Rows below a bracket are counted where they
+are, and only the few rows inside brackets are shuffled, counted by value and
+sorted, each bracket as a task's work of its own.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ def at_floor(f: float) -> Pick:
     return lambda n: F.floor(f * (n - 1))
 
 
-#: Bins that a group's span is cut into before one of them is sorted.
-BINS = 4096
+#: Cuts of a group, and the sketch's accuracy: places are off by a quarter of what lies between two cuts at most.
+CUTS = 1024
+ACCURACY = 4 * CUTS
 
 
 def beside(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -44,27 +47,32 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, picks: dict
 
     Places are counted from 0. Equal values are one entry with its count; NaN is above all numbers.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    finite = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
-    spans = counted.groupBy(*keys).agg(F.min(finite).alias("__low"), F.max(finite).alias("__high"), F.sum("__c").alias("__n"))
-    placed = beside(counted, spans, keys)
-    share = (F.col(value).cast("double") - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0))
-    bin_ = F.when(F.isnan(F.col(value).cast("double")), BINS + 1).otherwise(F.coalesce(F.floor(F.nanvl(share, F.lit(0.0)) * BINS), F.lit(0))).cast("int")
-    binned = placed.select(*keys, value, "__c", "__n", bin_.alias("__bin"))
-    by_bin = binned.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__in"), F.max("__n").alias("__total"))
-    upto = F.sum("__in").over(Window.partitionBy(*keys).orderBy("__bin"))
-    totals = by_bin.withColumn("__base", upto - F.col("__in"))  # at most BINS + 2 rows a group
-    wanted = F.lit(False)
-    for p in picks.values():
-        at = p(F.col("__total"))
-        wanted = wanted | ((F.col("__base") <= at) & (at < F.col("__base") + F.col("__in")))
-    hit = totals.where(wanted).select(*keys, "__bin", "__base")
-    inside = beside(binned, hit, [*keys, "__bin"])
-    ranked = inside.withColumn("__upto", F.col("__base") + F.sum("__c").over(Window.partitionBy(*keys, "__bin").orderBy(value)))
-    here = lambda p: (F.col("__upto") - F.col("__c") <= p(F.col("__n"))) & (p(F.col("__n")) < F.col("__upto"))
-    out = [F.max(F.when(here(p), F.col(value))).alias(n) for n, p in picks.items()]
-    found = ranked.groupBy(*keys).agg(*out, *([F.max("__n").alias(count)] if count else []))
-    return found
+    rows = df.where(F.col(value).isNotNull())
+    kind = rows.schema[value].dataType.simpleString()
+    floating = kind in ("double", "float")
+    finite = F.when(~F.isnan(value), F.col(value)) if floating else F.col(value)
+    cuts = F.percentile_approx(finite, [i / CUTS for i in range(CUTS + 1)], ACCURACY)
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.count(finite).alias("__finite"), cuts.alias("__cuts"))
+    place = {name: p(F.col("__n")) for name, p in picks.items()}
+    at = {name: F.floor(c / F.greatest(F.col("__finite"), F.lit(1)) * CUTS) for name, c in place.items()}
+    # Places beyond the finite values hold NaN: they have no upper bound.
+    brackets = groups.select(*keys, "__n", *(F.struct(
+        F.get("__cuts", (at[name] - 2).cast("int")).alias("low"), F.get("__cuts", (at[name] + 3).cast("int")).alias("high"), c.alias("place"),
+    ).alias(f"__p_{name}") for name, c in place.items()))
+    met = beside(rows.select(*keys, value), brackets, keys)
+    v = F.col(value)
+    below = {n: F.coalesce(v < F.col(f"__p_{n}.low"), F.lit(False)) for n in picks}
+    inside = {n: ~below[n] & F.coalesce(v <= F.col(f"__p_{n}.high"), F.lit(True)) for n in picks}
+    bases = met.groupBy(*keys).agg(F.max("__n").alias("__n"), *(F.count_if(below[n]).alias(f"__below_{n}") for n in picks), *(F.max(F.col(f"__p_{n}.place")).alias(f"__place_{n}") for n in picks))
+    hit = F.filter(F.array(*(F.when(inside[n], F.lit(n)) for n in picks)), lambda x: x.isNotNull())
+    counted = met.select(*keys, value, F.explode(hit).alias("__pick")).groupBy(*keys, "__pick", value).agg(F.count("*").alias("__c"))
+    based = beside(counted, bases, keys)
+    chosen = lambda what: F.coalesce(*(F.when(F.col("__pick") == n, F.col(f"__{what}_{n}")) for n in picks))
+    upto = chosen("below") + F.sum("__c").over(Window.partitionBy(*keys, "__pick").orderBy(value))
+    ranked = based.select(*keys, value, "__pick", "__c", "__n", chosen("place").alias("__place"), upto.alias("__upto"))
+    found = ranked.where((F.col("__upto") - F.col("__c") <= F.col("__place")) & (F.col("__place") < F.col("__upto")))
+    out = [F.max(F.when(F.col("__pick") == n, v)).alias(n) for n in picks]
+    return found.groupBy(*keys).agg(*out, *([F.max("__n").alias(count)] if count else []))
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Order-dependent steps, done group by group where their result depends on scan order; a group is one recording's points."""
+"""Order-dependent steps, cut into pieces that do not depend on each other: no key is one task's work."""
 
 from __future__ import annotations
 
@@ -6,32 +6,54 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.operators.selection import joined
+from orrery.sources.scratch import written
 
-def clustered(df: DataFrame, key: str, order: str, position: str, value: str, period: float, near: float, tolerance: float) -> DataFrame:
-    """(key, cluster, points): each point joins the first representative within both tolerances, round the period, else opens a cluster."""
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        reps: list[tuple[float, float]] = []
-        sizes: list[int] = []
-        for p, v in pdf.sort_values(order)[[position, value]].itertuples(index=False):
-            for i, (rp, rv) in enumerate(reps):
-                gap = (p - rp) % period
-                if min(gap, period - gap) <= near and abs(v - rv) <= tolerance:
-                    sizes[i] += 1
-                    break
-            else:
-                reps.append((p, v))
-                sizes.append(1)
-        return pd.DataFrame({"key": pdf[key].iloc[0], "cluster": np.arange(len(reps)), "points": sizes})
 
-    return df.select(*dict.fromkeys((key, order, position, value))).groupBy(key).applyInPandas(assign, "key long, cluster long, points long")
+def clustered(df: DataFrame, key: str, order: str, position: str, value: str, period: float, near: float, tolerance: float) -> DataFrame:
+    """(key, cluster, points): each point joins the first representative within both tolerances, round the period, else opens a cluster.
+
+    A point opens a cluster unless an earlier representative is near: a greedy selection in the order of `order` (unique),
+    made in parallel over cells of position and value. Points without position or value are no points.
+    """
+    points = df.where(F.col(position).isNotNull() & F.col(value).isNotNull()).select(*dict.fromkeys((key, order, position, value)))
+    led = joined(points, order, [key], [(position, near, period), (value, tolerance)], [])
+    sizes = led.groupBy("leader").agg(F.count("*").alias("points"))
+    owned = sizes.join(points.select(F.col(order).alias("leader"), F.col(key).cast("long").alias("key")), "leader")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("leader")) - 1  # a row for each cluster
+    return owned.select("key", place.cast("long").alias("cluster"), "points")
+
+
+def sessions(df: DataFrame, key: str, time: str, gap: float, width: float | None = None) -> DataFrame:
+    """df with `session`: a number for each run of a key's rows without a step of more than `gap` in `time` between two of them.
+
+    Steps are looked at inside stretches of time; stretches tell each other their ends, and how many runs begin in them,
+    in one row each, so a key's rows never meet in one task.
+    """
+    width = width or 64 * gap
+    rows = df.withColumn("__stretch", F.floor(F.col(time) / width))
+    ends = rows.groupBy(key, "__stretch").agg(F.min(time).alias("__a"), F.max(time).alias("__b"))
+    by_key = Window.partitionBy(key).orderBy("__stretch")
+    opens = F.coalesce(F.col("__a") - F.lag("__b").over(by_key) > gap, F.lit(True)).cast("int")
+    inside = Window.partitionBy(key, "__stretch").orderBy(time)
+    stepped = rows.withColumn("__step", F.coalesce(F.col(time) - F.lag(time).over(inside) > gap, F.lit(False)).cast("int"))
+    begun = stepped.groupBy(key, "__stretch").agg(F.sum("__step").alias("__in"))
+    told = ends.join(begun, [key, "__stretch"]).withColumn("__open", opens)
+    before = F.sum(F.col("__open") + F.col("__in")).over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__in")
+    based = told.select(key, "__stretch", before.alias("__base"))
+    own = F.sum("__step").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return stepped.withColumn("__own", own).join(based, [key, "__stretch"]).withColumn("session", (F.col("__base") + F.col("__own")).cast("long")).drop("__stretch", "__step", "__own", "__base")
 
 
 def assembled(df: DataFrame, key: str, time: str, value: str, gap: float, base: float, slope: float, least: int = 2) -> DataFrame:
-    """(key, track, points, first, last, drift): each point joins the open track whose last-six-point line foretells it best, else opens one."""
+    """(key, track, points, first, last, drift): each point joins the open track whose last-six-point line foretells it best, else opens one.
+
+    No track goes on over a step of more than `gap`, so each session of a key is a piece of its own; one task holds the
+    points of one session.
+    """
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         groups: list[list[tuple[float, float]]] = []
@@ -51,10 +73,14 @@ def assembled(df: DataFrame, key: str, time: str, value: str, gap: float, base:
         for g in groups:
             if len(g) >= least:
                 x, y = np.array(g).T
-                rows.append((pdf[key].iloc[0], len(rows), len(g), x[0], x[-1], ((x - x.mean()) * (y - y.mean())).sum() / max(((x - x.mean()) ** 2).sum(), 1e-12)))
-        return pd.DataFrame(rows, columns=["key", "track", "points", "first", "last", "drift"])
-
-    return df.select(key, time, value).groupBy(key).applyInPandas(build, "key long, track long, points long, first double, last double, drift double")
+                rows.append((pdf[key].iloc[0], pdf["session"].iloc[0], len(rows), len(g), x[0], x[-1], ((x - x.mean()) * (y - y.mean())).sum() / max(((x - x.mean()) ** 2).sum(), 1e-12)))
+        return pd.DataFrame(rows, columns=["key", "session", "i", "points", "first", "last", "drift"])
+
+    pieces = sessions(df.where(F.col(time).isNotNull() & F.col(value).isNotNull()).select(key, time, value), key, time, gap)
+    found = pieces.groupBy(key, "session").applyInPandas(build, "key long, session long, i long, points long, first double, last double, drift double")
+    found = written(found, "tracks")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("session", "i")) - 1  # a row for each track
+    return found.select("key", place.cast("long").alias("track"), "points", "first", "last", "drift")
 
 
 def poisson_bounds(count: Column, share: float = 0.95) -> Column:

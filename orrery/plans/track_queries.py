@@ -14,7 +14,15 @@ from orrery.plans.registry import Tables, query
 from orrery.plans.spectral_queries import RESIDUAL, spectrum
 
 
-@query("w08_claim_clusters")
+GAP8 = "least(abs(k.p - n.p), 500 - abs(k.p - n.p)) <= 60 AND abs(k.v - n.v) <= 20"
+
+
+@query("w08_claim_clusters", f"""
+WITH RECURSIVE n AS (SELECT user_id, event_id % 500 AS p, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+g AS (SELECT user_id, i, 1 AS c, [{{'p': p, 'v': v}}] AS reps FROM n WHERE i = 1
+  UNION ALL SELECT n.user_id, n.i, CASE WHEN len(list_filter(g.reps, lambda k: {GAP8})) = 0 THEN len(g.reps) + 1 ELSE list_position([{GAP8} for k in g.reps], true) END,
+    CASE WHEN len(list_filter(g.reps, lambda k: {GAP8})) = 0 THEN list_append(g.reps, {{'p': n.p, 'v': n.v}}) ELSE g.reps END FROM g JOIN n ON n.user_id = g.user_id AND n.i = g.i + 1)
+SELECT user_id AS key, c - 1 AS cluster, count(*) AS points FROM g GROUP BY ALL""")
 def w08(t: Tables) -> DataFrame:
     return tracks.clustered(t.events, "user_id", "event_id", "event_id", "value", 500, 60, 20)
 

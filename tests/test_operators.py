@@ -152,4 +152,19 @@ def test_no_single_task_over_values(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.rand(1).alias("v"))
     for keys in ([], ["g"]):
         plan = stats.order_statistics(df, keys, "v", {"m": stats.at_fraction(0.5)})._jdf.queryExecution().optimizedPlan().toString()
-        assert "windowspecdefinition(v" not in plan and ("windowspecdefinition(g#" not in plan or "__bin" in plan)
+        assert "windowspecdefinition(v" not in plan and ("windowspecdefinition(g#" not in plan or "__pick" in plan)
+
+
+def test_an_outlier_leaves_no_bracket_with_most_values(spark):
+    from orrery.operators import stats
+
+    rng = np.random.default_rng(6)
+    values = [*rng.lognormal(size=60_000).tolist(), 1e9]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(4)
+    picks = {"p50": stats.at_fraction(0.5), "p90": stats.at_fraction(0.9), "top": stats.at_fraction(1)}
+    r = stats.order_statistics(df, [], "v", picks).first()
+    order = sorted(values)
+    assert (r.p50, r.p90, r.top, r.n) == (order[30_000], order[54_000], 1e9, 60_001)
+    cuts = df.select(F.percentile_approx("v", [i / stats.CUTS for i in range(stats.CUTS + 1)], stats.ACCURACY).alias("c")).first().c
+    held = np.histogram(values, bins=np.unique(cuts))[0]
+    assert held.max() < 0.01 * len(values)

@@ -110,3 +110,44 @@ def test_cluster_permutation_keeps_each_users_number(spark, users, planted):
 def test_cluster_permutation_without_three_hits(spark):
     df = events_of(spark, [(i, i, i * 100, "view", 70.0) for i in range(5)])
     assert track_queries.a39p(SimpleNamespace(events=df)).first().p is None
+
+
+def test_clusters_against_the_scan(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 1, 1, 2]), i, float(rng.randint(0, 900)), float(rng.randint(0, 60))) for i in range(400)]
+    got = tracks.clustered(spark.createDataFrame([*rows, (1, 999, None, 1.0)], "k long, i long, p double, v double").repartition(5), "k", "i", "p", "v", 100, 12, 9).collect()
+    want = []
+    for key in (1, 2):
+        reps, sizes = [], []
+        for k, _, p, v in rows:
+            if k != key:
+                continue
+            for j, (rp, rv) in enumerate(reps):
+                gap = (p - rp) % 100
+                if min(gap, 100 - gap) <= 12 and abs(v - rv) <= 9:
+                    sizes[j] += 1
+                    break
+            else:
+                reps.append((p, v))
+                sizes.append(1)
+        want += [(key, j, n) for j, n in enumerate(sizes)]
+    assert sorted((r.key, r.cluster, r.points) for r in got) == want
+
+
+def test_a_hot_key_is_cut_into_sessions(spark):
+    rng = random.Random(5)
+    times, t = [], 0.0
+    for _ in range(3000):
+        t += rng.choice([1.0, 2.0, 3.0, 5.0, 5.5, 400.0 if rng.random() < 0.02 else 1.0])
+        times.append(t)
+    df = spark.createDataFrame([(7, t, float(i % 5)) for i, t in enumerate(times)] + [(8, 3.0, 1.0)], "k long, t double, v double").repartition(4)
+    got = {r.t: r.session for r in tracks.sessions(df, "k", "t", 5.0, width=40.0).where("k = 7").collect()}
+    want, n = {}, 0
+    for a, b in zip([None, *times], times, strict=False):
+        n += a is None or b - a > 5.0
+        want[b] = n
+    assert len(set(want.values())) > 20 and [got[t] for t in times] == [want[t] for t in times]
+    one = tracks.assembled(df, "k", "t", "v", 5.0, 0.4, 0.0)
+    assert max(r["count"] for r in tracks.sessions(df, "k", "t", 5.0).groupBy("k", "session").count().collect()) < 1500
+    tr = [r.track for r in one.where("key = 7").collect()]
+    assert sorted(tr) == list(range(len(tr)))
