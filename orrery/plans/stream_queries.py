@@ -100,19 +100,36 @@ def st02(t: Tables) -> DataFrame:
     schema = rows.schema
 
     def read() -> DataFrame | None:
-        return t.spark.read.schema(schema).parquet(f"{root}/table") if done else None
+        return t.spark.read.schema(schema).parquet(f"{root}/table") if scratch.exists(t.spark, f"{root}/table") else None
 
     def write(df: DataFrame) -> None:
         kept = scratch.written(df, "days")  # the days are read and replaced in one job
         kept.select(*schema.names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{root}/table")
-        done.append(True)
 
-    done: list[bool] = []
     sink = windows.upsert_days(write, read, "key", "day", "event_id")
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.schema(schema).parquet(f"{root}/table").select("user_id", "day", "event_id", "value")
 
 
+@query("st02_moved_keys", """
+SELECT user_id, strftime(arg_max(ts, event_id), '%Y-%m-%d') AS day, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1""")
+def st02_moved(t: Tables) -> DataFrame:
+    """Each user's newest event, in the folder of its day: a newer one of another day leaves none behind."""
+    root = scratch.fresh(t.spark, "moved")
+    rows = t.events.select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "value")
+    table = f"{root}/table"
+
+    def read() -> DataFrame | None:
+        return t.spark.read.schema(rows.schema).parquet(table) if scratch.exists(t.spark, table) else None
+
+    def write(df: DataFrame) -> None:
+        df.select(*rows.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(table)
+
+    sink = windows.upsert_days(write, read, "user_id", "day", "event_id", lambda days: [scratch.remove(t.spark, f"{table}/day={d}") for d in days])
+    arriving(t, rows).writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(rows.schema).parquet(table).select("user_id", "day", "event_id", "value")
+
+
 @query("st03_late_days", """
 WITH e AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, value FROM events), first AS (SELECT * FROM e WHERE event_id % 4 <> 0), late AS (SELECT DISTINCT day FROM e WHERE event_id % 4 = 0)
 SELECT day, count(*) AS rows, round(sum(value), 4) AS total, day IN (SELECT day FROM late) AS rebuilt FROM e GROUP BY day""")
@@ -167,3 +184,39 @@ def st10(t: Tables) -> DataFrame:
     """Displacements of each kind's spectrum from one day to the next that both receivers show; no SQL: the tests plant them."""
     rows = levels(t, "event_type", f"cast(floor({HOUR} / 24) AS bigint)", "cast(user_id % 2 AS int)", 64)
     return drained(t, spectra.motions(arriving(t, rows), "key", "at", "receiver", "level", 1.0, least=1.0, most=16.0, correlation=0.3, tolerance=2.0, lag=1))
+
+
+@query("st09_two_evidences", """
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) / 1e6 AS at_s, value, event_type FROM events), a AS (SELECT * FROM e WHERE event_type = 'view' AND value >= 60), b AS (SELECT * FROM e WHERE event_type = 'click' AND value >= 40),
+p AS (SELECT a.key, greatest(a.at_s, b.at_s) AS at_s FROM a JOIN b ON a.key = b.key AND abs(a.at_s - b.at_s) <= 21600) SELECT key, count(*) AS promotions FROM (SELECT DISTINCT key FROM p) GROUP BY 1""")
+def st09(t: Tables) -> DataFrame:
+    """Users whose views and clicks support each other: each is promoted once, in whichever batch that shows; a stopped stream goes on from its state."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(provider)
+    t.spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        kind = F.when(F.col("event_type") == "view", "a").when(F.col("event_type") == "click", "b")
+        rows = t.events.select("event_id", F.col("user_id").alias("key"), kind.alias("kind"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("value").alias("score")).where("kind is not null")
+        out = drained(t, windows.two_evidences(arriving(t, rows, 3), "key", "kind", "at", "score", 21_600.0, (60.0, 40.0)))
+    finally:
+        t.spark.conf.set(provider, before)
+    return out.groupBy("key").agg(F.count("*").alias("promotions"))
+
+
+@query("st12_snapshot_stream", """
+SELECT CAST(o_custkey AS VARCHAR) AS source, count(*) AS sets, CASE WHEN count(*) < 5 THEN 'too few' WHEN count(*) > 15 THEN 'too many' WHEN count(DISTINCT o_orderkey // 2) < count(*) THEN 'repeated numbers' WHEN max(o_orderdate) < TIMESTAMP '1998-01-01' THEN 'stale' END AS refused FROM orders GROUP BY 1""")
+def st12(t: Tables) -> DataFrame:
+    """Each customer's orders as one snapshot of element sets, every snapshot delivered twice."""
+    from orrery.streaming import catalogue
+
+    root = scratch.fresh(t.spark, "catalogue")
+    sets = t.orders.select(
+        F.col("o_custkey").cast("string").alias("source"), F.lit("all").alias("scope"), F.expr("timestamp_ntz '1998-01-02 00:00:00'").alias("retrieved"), F.expr("o_orderkey div 2").alias("number"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("epoch"), F.col("o_orderkey").cast("string").alias("line1"), F.col("o_orderpriority").alias("line2"),
+    )
+    for copy in ("one", "two"):
+        sets.repartition(2, "source").write.parquet(f"{root}/in/{copy}")
+    stream = t.spark.readStream.schema(sets.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
+    sink = catalogue.publisher(root, 5, 15, 86_400.0)
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(catalogue.ENTRY).parquet(f"{root}/entries").select("source", "sets", "refused")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,7 +70,11 @@ def digests(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 LEDGER = "path string, length bigint, modified timestamp, date date, sha256 string"
 #: One row for each partition that a build wrote, appended once its rows are there.
-MARKER = "date date, sources bigint, sources_digest string, rows bigint, nulls map<string,bigint>, excluded array<string>, written timestamp"
+MARKER = "date date, sources bigint, sources_digest string, rows bigint, nulls map<string,bigint>, excluded bigint, written timestamp"
+#: A row for each report that no day holds, as of a build.
+EXCLUDED = "path string, build bigint"
+#: Names that the driver holds at once.
+NAMES = 10_000
 
 
 def recorded(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -111,13 +116,31 @@ def newest_sources(spark: SparkSession, ledger: str) -> DataFrame:
     return newest.where("sha256 is not null")
 
 
+def excluded(spark: SparkSession, marker: str) -> DataFrame:
+    """(path) of all reports that no day held at the last build that wrote markers."""
+    rows = recorded(spark, f"{marker.rstrip('/')}-excluded", EXCLUDED)
+    return rows.join(rows.agg(F.max("build").alias("build")), "build").where("path is not null").select("path")
+
+
+def chunks(names: DataFrame, *first: str) -> Iterator[list]:
+    """Rows of (path, ...), NAMES or so at a time; rows alike in `first` stay together."""
+    held: list = []
+    for r in names.orderBy(*first, "path").toLocalIterator():
+        if len(held) >= NAMES and (not first or tuple(r[c] for c in first) != tuple(held[-1][c] for c in first)):
+            yield held
+            held = []
+        held.append(r)
+    if held:
+        yield held
+
+
 def build(spark: SparkSession, reports: str, table: str, ledger: str, marker: str | None = None) -> int:
     """Rebuild the days whose reports moved. How many days were rebuilt.
 
     Two tiers tell what moved: lengths and times of all reports first, digests of those that differ next; a report whose
     digest is the recorded one was only touched. Just the reports of stale days are parsed. A day that lost a report is
     stale, too, and a day without reports loses its partition. Data is written first, then the marker of each day (rows,
-    nulls by column, sources, reports that no day holds), then the ledger, so a build that dies is done again.
+    nulls by column, sources, how many reports no day holds, whose names are in `excluded`), then the ledger, so a build that dies is done again.
     """
     marker = marker or f"{ledger.rstrip('/')}-markers"
     name = F.regexp_extract("path", r"([^/]+)\.json$", 1)
@@ -132,25 +155,27 @@ def build(spark: SparkSession, reports: str, table: str, ledger: str, marker: st
     told = now.join(then, "path", "full_outer").select("path", "length", "modified", F.coalesce("date", "__date").alias("date"), F.col("sha256").alias("known"), F.col("length").isNull().alias("gone"), F.coalesce(F.struct("length", "modified") == F.col("__s"), F.lit(False)).alias("same"))
     told = written(told, "sources")
     differ = told.where(~F.col("same") & ~F.col("gone"))
-    paths = [r.path for r in differ.select("path").collect()]  # names of reports that moved
-    if not paths and told.where("gone").isEmpty():
+    parts = [written(digests(spark, [r.path for r in names]), "digests") for names in chunks(differ.select("path"))]
+    if not parts and told.where("gone").isEmpty():
         return 0
-    fresh_digests = digests(spark, paths) if paths else spark.createDataFrame([], "path string, sha256 string")
+    fresh_digests = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "path string, sha256 string")
     seen = written(differ.join(fresh_digests, "path"), "moved")
     moved = seen.where("known is null or known <> sha256").select("path", "date").union(told.where("gone").select("path", "date"))
     days = [r.date for r in moved.where("date is not null").select("date").distinct().collect()]  # days to rebuild
     number = (recorded(spark, ledger, LEDGER + ", build bigint").agg(F.max("build").alias("b")).first().b or 0) + 1
     kept = told.where("same").select("path", "length", "modified", "date", F.col("known").alias("sha256")).union(seen.select("path", "length", "modified", "date", "sha256"))
     here = kept.where(F.col("date").isin(days))
-    parse = [r.path for r in here.select("path").collect()]  # names of the stale days' reports
-    if parse:
-        write_partitions(probe_rows(read_reports(spark, parse)), table, "date")
+    for names in chunks(here.select("date", "path"), "date"):  # whole days
+        write_partitions(probe_rows(read_reports(spark, [r.path for r in names])), table, "date")
     left = {r.date for r in here.select("date").distinct().collect()}
     for day in days:
         if day not in left:
             remove(spark, f"{table}/date={day}")
     if days:
-        write_markers(spark, table, marker, here, days, left, kept.where("date is null"))
+        undated = kept.where("date is null").select("path", F.lit(number).cast("bigint").alias("build"))
+        none = spark.createDataFrame([(None, number)], EXCLUDED)  # says that this build had no others
+        undated.union(none).write.mode("append").parquet(f"{marker.rstrip('/')}-excluded")
+        write_markers(spark, table, marker, here, days, left, undated)
     went = told.where("gone").select("path", "length", "modified", "date", F.lit(None).cast("string").alias("sha256"))
     seen.select("path", "length", "modified", "date", "sha256").union(went).withColumn("build", F.lit(number).cast("bigint")).write.mode("append").parquet(ledger)
     return len(days)
@@ -165,8 +190,8 @@ def write_markers(spark: SparkSession, table: str, marker: str, sources: DataFra
         nulls = F.create_map(*(x for c in others for x in (F.lit(c), F.count_if(F.col(c).isNull()))))
         counted = rows.groupBy(F.col("date").cast("date").alias("date")).agg(F.count("*").alias("rows"), nulls.alias("nulls"))
     every = spark.createDataFrame([(d,) for d in days], "date date")
-    excluded = undated.agg(F.slice(F.sort_array(F.collect_set("path")), 1, 100).alias("excluded"))  # a report of the first 100 for each day's marker
-    out = every.join(sources_digest(sources), "date", "left").join(counted, "date", "left").join(F.broadcast(excluded))  # one row
+    others = undated.agg(F.count("*").alias("excluded"))
+    out = every.join(sources_digest(sources), "date", "left").join(counted, "date", "left").join(F.broadcast(others))  # one row
     out = out.select("date", F.coalesce("sources", F.lit(0)).cast("bigint").alias("sources"), "sources_digest", F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"), "nulls", "excluded", F.current_timestamp().alias("written"))
     out.coalesce(1).write.mode("append").parquet(marker)
 

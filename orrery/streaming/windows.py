@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from orrery.operators.joins import as_of
+from orrery.sources.scratch import written
 
 
 def late(df: DataFrame, time: str, delay: str) -> DataFrame:
@@ -96,15 +98,94 @@ def promotions(blocks: DataFrame, key: str, at: str, score: str, warm_up: int, f
     return blocks.select(key, at, score).groupBy(key).applyInPandasWithState(promote, "key string, at double, score double, reference double", schema, "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_days(write: Callable[[DataFrame], None], read: Callable[[], DataFrame | None], key: str, day: str, order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: the newest row of each key wins, and only the days that a batch touches are written again."""
+PROMOTED = "key string, at double, score_a double, score_b double"
+
+
+class TwoEvidences(StatefulProcessor):
+    """Once for each key: the first instant of either evidence that the other joins within reach, whichever comes first.
+
+    State: the instants of each evidence that may still be joined, and whether the key was promoted. A timer forgets
+    instants that no later one can join; the flag stays.
+    """
+
+    def __init__(self, reach: float, least: tuple[float, float], hold_ms: int):
+        self.reach, self.least, self.hold_ms = reach, least, hold_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "kind string, at double, score double")
+        self.done = handle.getValueState("done", "done boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self.done.exists():
+            return
+        seen = list(self.waiting.get())
+        fresh = pd.concat(list(rows)).sort_values(["at", "kind"])
+        for kind, at, score in fresh[["kind", "at", "score"]].itertuples(index=False):
+            if kind not in ("a", "b") or not score >= self.least[kind == "b"]:
+                continue
+            seen.append((kind, float(at), float(score)))
+        # The earliest pair of the batch and what waited, so batches' borders do not decide.
+        pairs = [(max(x[1], y[1]), x, y) for x in seen if x[0] == "a" for y in seen if y[0] == "b" and abs(x[1] - y[1]) <= self.reach]
+        if pairs:
+            at, x, y = min(pairs)
+            self.done.update((True,))
+            self.waiting.clear()
+            yield pd.DataFrame([(str(key[0]), at, x[2], y[2])], columns=["key", "at", "score_a", "score_b"])
+            return
+        last = max((x[1] for x in seen), default=0.0)
+        # Of instants as old, only the strongest of each kind and instant can matter.
+        kept = sorted({(k, t): (k, t, max(z for q, u, z in seen if (q, u) == (k, t))) for k, t, _ in seen if last - t <= 2 * self.reach}.values())
+        if kept:
+            self.waiting.put(kept)
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.hold_ms)
+        else:
+            self.waiting.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.waiting.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def two_evidences(events: DataFrame, key: str, kind: str, at: str, score: str, reach: float, least: tuple[float, float], hold_ms: int = 3_600_000) -> DataFrame:
+    """The promotion of each key, once over the whole stream and its restarts: evidence a and evidence b, strong enough and no further apart than reach.
+
+    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass). Null keys are one key; rows of other
+    kinds, and null scores, are no evidence.
+    """
+    named = events.select(F.col(key).cast("string").alias("key"), F.col(kind).alias("kind"), F.col(at).cast("double").alias("at"), F.col(score).cast("double").alias("score"))
+    return named.groupBy("key").transformWithStateInPandas(TwoEvidences(reach, least, hold_ms), PROMOTED, "Append", "ProcessingTime")
+
+
+def upsert_days(
+    write: Callable[[DataFrame], None], read: Callable[[], DataFrame | None], key: str, day: str, order: str, drop: Callable[[list], None] | None = None
+) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: the newest row of each key wins, and only the days that a batch touches are written again.
+
+    Touched are the batch's days and those where its keys were: a key that moves leaves its old day. `read` gives what
+    is there (None before the first write; ask the folder, since a restarted stream remembers nothing), `write` replaces
+    the days of its rows, and `drop` removes days that have no row left. A batch that is delivered again changes nothing.
+    """
     from orrery.operators.ordered import newest
 
     def sink(batch: DataFrame, _: int) -> None:
         kept = read()
-        touched = batch.select(day).distinct()
-        old = kept.join(touched, day, "left_semi").unionByName(batch) if kept is not None else batch
-        write(newest(old, [key], [F.desc(order)]))
+        if kept is None:
+            write(newest(batch, [key], [F.desc(order)]))
+            return
+        before = kept.join(batch.select(key).distinct(), key, "left_semi").select(day)
+        touched = written(batch.select(day).union(before).distinct(), "touched")
+        left = written(newest(kept.join(touched, day, "left_semi").unionByName(batch), [key], [F.desc(order)]), "days")
+        write(left)
+        if drop:
+            empty = [r[0] for r in touched.join(left.select(day).distinct(), day, "left_anti").collect()]  # days
+            if empty:
+                drop(empty)
 
     return sink
 

@@ -99,6 +99,7 @@ def test_build_reads_only_what_moved(spark, tmp_path, monkeypatch):
         put(src, f"r{i}-202608{day}T120000Z", report(i + 1))
     put(src, "no-stamp", report(1))
     read, digested = [], []
+    monkeypatch.setattr(reports, "NAMES", 2)
     parse, digest = reports.read_reports, reports.digests
     monkeypatch.setattr(reports, "read_reports", lambda s, paths, *a: read.extend(paths) or parse(s, paths, *a))
     monkeypatch.setattr(reports, "digests", lambda s, paths: digested.extend(paths) or digest(s, paths))
@@ -106,7 +107,9 @@ def test_build_reads_only_what_moved(spark, tmp_path, monkeypatch):
     states = lambda: {str(r.date): r.state for r in reports.partition_status(spark, f"{ledger}-markers", ledger).where("date is not null").collect()}
     assert set(states().values()) == {"current"}
     marks = {str(r.date): r for r in reports.markers(spark, f"{ledger}-markers").collect()}
-    assert marks["2026-08-13"].rows == 6 and marks["2026-08-13"].nulls["rms"] == 0 and [os.path.basename(x) for x in marks["2026-08-13"].excluded] == ["no-stamp.json"]
+    assert marks["2026-08-13"].rows == 6 and marks["2026-08-13"].nulls["rms"] == 0 and marks["2026-08-13"].excluded == 1
+    left_out = lambda: [os.path.basename(r.path) for r in reports.excluded(spark, f"{ledger}-markers").collect()]
+    assert left_out() == ["no-stamp.json"]
 
     read.clear(), digested.clear()
     assert reports.build(spark, str(src), table, ledger) == 0 and not read and not digested

@@ -74,6 +74,68 @@ def test_upsert_keeps_the_newest_of_touched_days(spark):
     assert sorted((r.id, r.seen) for r in held["rows"].collect()) == [(1, 2), (2, 1)]
 
 
+def test_a_moved_key_leaves_its_old_day(spark, tmp_path):
+    from orrery.sources import scratch
+
+    table, schema = str(tmp_path / "t"), "id long, v string, seen long, day string"
+    read = lambda: spark.read.schema(schema).parquet(table) if scratch.exists(spark, table) else None
+    write = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(table)
+    new = lambda: windows.upsert_days(write, read, "id", "day", "seen", lambda days: [scratch.remove(spark, f"{table}/day={d}") for d in days])
+    rows = lambda *x: spark.createDataFrame(list(x), schema)
+    held = lambda: sorted((r.id, r.day, r.seen) for r in read().collect())
+    new()(rows((1, "a", 1, "d1"), (2, "a", 1, "d2"), (3, "a", 1, "d2")), 0)
+    moved = rows((1, "b", 2, "d2"), (3, "b", 0, "d9"))
+    new()(moved, 1)  # a sink of its own, as after a restart; an older row of another day changes nothing
+    want = [(1, "d2", 2), (2, "d2", 1), (3, "d2", 1)]
+    assert held() == want and sorted(p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("day")) == ["day=d2"]
+    new()(moved, 1)  # delivered again
+    assert held() == want
+
+
+def test_two_evidences_promote_once(spark, tmp_path):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "id long, key string, kind string, at double, score double"
+    batches = [
+        [(1, "x", "a", 10.0, 5.0), (2, "y", "b", 10.0, 5.0), (3, "z", "a", 10.0, 5.0), (4, "w", "a", 1.0, 5.0)],
+        [(5, "x", "b", 14.0, 5.0), (6, "y", "a", 7.0, 5.0), (7, "z", "b", 40.0, 5.0), (8, "w", "b", 2.0, 0.5)],
+        [(9, "x", "a", 15.0, 9.0), (10, "x", "b", 15.0, 9.0), (11, "z", "a", 41.0, None), (12, "z", "a", 38.0, 6.0), (13, "v", "c", 1.0, 9.0)],
+    ]
+    for order, name in (((0, 1, 2), "p"), ((2, 1, 0), "q")):
+        root = tmp_path / name
+        for n, i in enumerate(order):  # each batch comes after a restart
+            spark.createDataFrame(batches[i], schema).coalesce(1).write.mode("append").parquet(str(root / "in"))
+            source = spark.readStream.schema(schema).parquet(str(root / "in"))
+            q = windows.two_evidences(source, "key", "kind", "at", "score", 5.0, (1.0, 1.0)).writeStream.format("parquet").option("path", str(root / "out")).option("checkpointLocation", str(root / "state")).trigger(availableNow=True).start()
+            assert q.awaitTermination(120) and q.exception() is None, n
+        got = sorted((r.key, r.at) for r in spark.read.schema(windows.PROMOTED).parquet(str(root / "out")).collect())
+        assert [k for k, _ in got] == ["x", "y", "z"]
+        if name == "p":
+            assert got == [("x", 14.0), ("y", 10.0), ("z", 40.0)]
+    spark.conf.set(provider, before)
+
+
+def test_snapshots_are_published_once(spark, tmp_path):
+    from orrery.streaming import catalogue
+
+    day = dt.datetime(2024, 5, 1)
+    rows = lambda source, n, when=day, epoch=day: [(source, "all", when, i, epoch, f"1 {i}", f"2 {i}") for i in range(n)]
+    schema = "source string, scope string, retrieved timestamp_ntz, number long, epoch timestamp_ntz, line1 string, line2 string"
+    frame = lambda x: spark.createDataFrame(x, schema)
+    root = str(tmp_path / "cat")
+    sink = catalogue.publisher(root, 3, 10, 86_400.0)
+    first = rows("a", 5) + rows("b", 2) + rows("c", 12) + [*rows("d", 4), ("d", "all", day, 1, day, "other", "x")] + rows("e", 4, epoch=day - dt.timedelta(days=3)) + [*rows("f", 4), ("f", "all", day, 9, None, "x", "y")]
+    sink(frame(first), 0)
+    sink(frame(list(reversed(first))), 0)  # the same batch, in another order
+    later = day + dt.timedelta(hours=2)
+    catalogue.publisher(root, 3, 10, 86_400.0)(frame(rows("a", 5, later)), 1)  # the same content, retrieved again
+    entries = spark.read.schema(catalogue.ENTRY).parquet(f"{root}/entries").collect()
+    assert {(r.source, r.retrieved, r.refused) for r in entries} == {("a", day, None), ("a", later, None), ("b", day, "too few"), ("c", day, "too many"), ("d", day, "repeated numbers"), ("e", day, "stale"), ("f", day, "incomplete")}
+    assert len(entries) == 7 and len({r.digest for r in entries if r.source == "a"}) == 1
+    assert spark.read.parquet(f"{root}/content").count() == 5
+
+
 def test_paired_instants(spark):
     a = spark.createDataFrame([(1, "a", at(0), 0.0), (2, "a", at(100), 0.0)], SCHEMA).select(F.col("id").alias("x"), "k", F.col("ts").alias("t"))
     b = spark.createDataFrame([(7, "a", at(2), 0.0)], SCHEMA).select(F.col("id").alias("y"), "k", F.col("ts").alias("u"))
