@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from orrery.operators.joins import as_of
 from orrery.sources.scratch import written
@@ -101,65 +100,36 @@ def promotions(blocks: DataFrame, key: str, at: str, score: str, warm_up: int, f
 PROMOTED = "key string, at double, score_a double, score_b double"
 
 
-class TwoEvidences(StatefulProcessor):
-    """Once for each key: the first instant of either evidence that the other joins within reach, whichever comes first.
+def two_evidences(events: DataFrame, key: str, kind: str, at: str, score: str, reach: float, least: tuple[float, float], hold: float | None = None) -> DataFrame:
+    """The promotion of each key, once over the whole stream and its restarts: evidence a and evidence b, strong enough and no further apart than reach.
 
-    State: the instants of each evidence that may still be joined, and whether the key was promoted. A timer forgets
-    instants that no later one can join; the flag stays.
+    State: the instants of either evidence that may still be joined, and whether the key was promoted. Of one batch the
+    earliest pair counts, and what waited takes part, so it does not matter in which order the two arrive. Evidence that
+    lies more than `hold` (a hundred reaches, if not given) before the newest of its key is forgotten, which bounds the
+    state; the flag stays. Null keys are one key; rows of other kinds, and null scores, are no evidence.
     """
 
-    def __init__(self, reach: float, least: tuple[float, float], hold_ms: int):
-        self.reach, self.least, self.hold_ms = reach, least, hold_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "kind string, at double, score double")
-        self.done = handle.getValueState("done", "done boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.done.exists():
+    def promote(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, done = (list(zip(*state.get[:3], strict=True)), state.get[3]) if state.exists else ([], False)
+        if done:
             return
-        seen = list(self.waiting.get())
-        fresh = pd.concat(list(rows)).sort_values(["at", "kind"])
-        for kind, at, score in fresh[["kind", "at", "score"]].itertuples(index=False):
-            if kind not in ("a", "b") or not score >= self.least[kind == "b"]:
-                continue
-            seen.append((kind, float(at), float(score)))
-        # The earliest pair of the batch and what waited, so batches' borders do not decide.
-        pairs = [(max(x[1], y[1]), x, y) for x in seen if x[0] == "a" for y in seen if y[0] == "b" and abs(x[1] - y[1]) <= self.reach]
+        fresh = [(x, float(t), float(s)) for p in parts for x, t, s in p[["kind", "at", "score"]].itertuples(index=False) if x in ("a", "b") and s >= least[x == "b"] and t == t]
+        seen = waiting + fresh
+        pairs = [(max(x[1], y[1]), x, y) for x in seen if x[0] == "a" for y in seen if y[0] == "b" and abs(x[1] - y[1]) <= reach]
         if pairs:
-            at, x, y = min(pairs)
-            self.done.update((True,))
-            self.waiting.clear()
-            yield pd.DataFrame([(str(key[0]), at, x[2], y[2])], columns=["key", "at", "score_a", "score_b"])
+            when, x, y = min(pairs)
+            state.update(([], [], [], True))
+            yield pd.DataFrame([(k[0], when, x[2], y[2])], columns=["key", "at", "score_a", "score_b"])
             return
-        last = max((x[1] for x in seen), default=0.0)
-        # Of instants as old, only the strongest of each kind and instant can matter.
-        kept = sorted({(k, t): (k, t, max(z for q, u, z in seen if (q, u) == (k, t))) for k, t, _ in seen if last - t <= 2 * self.reach}.values())
-        if kept:
-            self.waiting.put(kept)
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.hold_ms)
-        else:
-            self.waiting.clear()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.waiting.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
-def two_evidences(events: DataFrame, key: str, kind: str, at: str, score: str, reach: float, least: tuple[float, float], hold_ms: int = 3_600_000) -> DataFrame:
-    """The promotion of each key, once over the whole stream and its restarts: evidence a and evidence b, strong enough and no further apart than reach.
+        # No pair yet: of each kind and instant only the strongest can matter.
+        strongest = {(x, t): max(s for q, u, s in seen if (q, u) == (x, t)) for x, t, _ in seen}
+        newest = max((t for _, t in strongest), default=0.0)
+        kept = sorted((x, t, s) for (x, t), s in strongest.items() if newest - t <= (100 * reach if hold is None else hold))
+        state.update(([x[0] for x in kept], [x[1] for x in kept], [x[2] for x in kept], False))
 
-    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass). Null keys are one key; rows of other
-    kinds, and null scores, are no evidence.
-    """
     named = events.select(F.col(key).cast("string").alias("key"), F.col(kind).alias("kind"), F.col(at).cast("double").alias("at"), F.col(score).cast("double").alias("score"))
-    return named.groupBy("key").transformWithStateInPandas(TwoEvidences(reach, least, hold_ms), PROMOTED, "Append", "ProcessingTime")
+    schema = "kinds array<string>, ats array<double>, scores array<double>, done boolean"
+    return named.groupBy("key").applyInPandasWithState(promote, PROMOTED, schema, "append", GroupStateTimeout.NoTimeout)
 
 
 def upsert_days(

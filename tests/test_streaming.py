@@ -93,9 +93,6 @@ def test_a_moved_key_leaves_its_old_day(spark, tmp_path):
 
 
 def test_two_evidences_promote_once(spark, tmp_path):
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     schema = "id long, key string, kind string, at double, score double"
     batches = [
         [(1, "x", "a", 10.0, 5.0), (2, "y", "b", 10.0, 5.0), (3, "z", "a", 10.0, 5.0), (4, "w", "a", 1.0, 5.0)],
@@ -113,8 +110,6 @@ def test_two_evidences_promote_once(spark, tmp_path):
         assert [k for k, _ in got] == ["x", "y", "z"]
         if name == "p":
             assert got == [("x", 14.0), ("y", 10.0), ("z", 40.0)]
-    spark.conf.set(provider, before)
-
 
 def test_snapshots_are_published_once(spark, tmp_path):
     from orrery.streaming import catalogue
