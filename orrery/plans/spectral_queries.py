@@ -128,7 +128,7 @@ def g03(t: Tables) -> DataFrame:
 
 DISTINCT = """u AS (SELECT embedding, min(vec_id) AS id FROM embeddings GROUP BY 1), n AS (SELECT id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM u),
 s AS (SELECT a.id AS l, b.id AS r, list_sum([a.v[i] * b.v[i] for i in range(1, len(a.v) + 1)]) / sqrt(list_sum([x * x for x in a.v]) * list_sum([x * x for x in b.v])) AS cosine FROM n a JOIN n b ON a.id < b.id AND len(a.v) = len(b.v)),
-e AS (SELECT * FROM s WHERE cosine >= 0.6)"""
+e AS (SELECT * FROM s WHERE cosine >= 0.35)"""
 
 
 def similar(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -136,7 +136,7 @@ def similar(t: Tables) -> tuple[DataFrame, DataFrame]:
     from orrery.operators import similarity
 
     reps, members = similarity.classes(t.embeddings, "vec_id", "embedding")
-    return similarity.exact_pairs(reps, 0.6), members
+    return similarity.exact_pairs(reps, 0.35), members
 
 
 @query("j31_similar_prints", f"WITH {DISTINCT} SELECT l, r, round(cosine, 6) AS cosine FROM e")

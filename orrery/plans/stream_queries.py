@@ -193,7 +193,7 @@ def st09(t: Tables) -> DataFrame:
     """Users whose views and clicks support each other: each is promoted once, in whichever batch that shows; a stopped stream goes on from its state."""
     kind = F.when(F.col("event_type") == "view", "a").when(F.col("event_type") == "click", "b")
     rows = t.events.select("event_id", F.col("user_id").alias("key"), kind.alias("kind"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("value").alias("score")).where("kind is not null")
-    out = drained(t, windows.two_evidences(arriving(t, rows, 3), "key", "kind", "at", "score", 21_600.0, (60.0, 40.0)))
+    out = drained(t, windows.two_evidences(arriving(t, rows, 3), "key", "kind", "at", "score", 21_600.0, (60.0, 40.0), hold=float("inf")))
     return out.groupBy("key").agg(F.count("*").alias("promotions"))
 
 
