@@ -75,6 +75,29 @@ def sp10(t: Tables) -> DataFrame:
     return spectra.pixel_events(res, "label", "rw", 4096).where("pixels >= 2")
 
 
+def waterfall(t: Tables) -> DataFrame:
+    """The vectors of a label as the rows of its waterfall."""
+    row = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("long") - 1
+    return t.embeddings.where("label IS NOT NULL AND embedding IS NOT NULL").withColumn("rw", row)
+
+
+@query("sp10_spectral_events")
+def sp10_events(t: Tables) -> DataFrame:
+    """Events of both polarities after smoothing and closing; no SQL: tests hold them against numpy."""
+    from orrery.operators.events import segmented
+
+    return segmented(waterfall(t), "label", "rw", "embedding", 0.05)[0]
+
+
+@query("sp14_component_tracks")
+def sp14_tracks(t: Tables) -> DataFrame:
+    """Events as tracks, gated by duration and drift, the best 64 of each label; no SQL: tests hold them against numpy."""
+    from orrery.operators.events import candidates, segmented
+
+    events, path = segmented(waterfall(t), "label", "rw", "embedding", 0.05)
+    return candidates(events, path, 1.0, 1000.0).select("capture", "place", "polarity", "start", "stop", "drift_hz_s", "peak", "qualified", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query("sp12_offset_recurrence", f"""WITH {LONG} SELECT label, bin, count(*) AS hits, round(median(level), 6) AS median FROM l WHERE level > 0.15 GROUP BY ALL HAVING count(*) >= 3""")
 def sp12(t: Tables) -> DataFrame:
     return spectrum(t).where("level > 0.15").groupBy("label", "bin").agg(F.count("*").alias("hits"), F.round(F.median("level"), 6).alias("median")).where("hits >= 3")
