@@ -89,7 +89,7 @@ def suppressed(df: DataFrame, key: str, group: Sequence[str], near: Sequence[Nea
 
     while not open_.isEmpty():
         best = open_.groupBy(*space).agg(F.min_by(F.struct(*(f"__x{i}" for i in range(len(near)))), "__rank").alias("__b"), F.min("__rank").alias("__rank"))
-        best = written(best.select(*space, *(F.col("__b")[f"__x{i}"].alias(f"__x{i}") for i in range(len(near))), "__rank"), "selection")
+        best = best.select(*space, *(F.col("__b")[f"__x{i}"].alias(f"__x{i}") for i in range(len(near))), "__rank")
         # A cell's best row is next if no better row of an adjoining cell conflicts with it.
         beaten = open_.join(reaching(best), space).where(close() & (F.col("__rank") < F.col("__other"))).select(F.col("__other").alias("__rank")).distinct()
         chosen = written(best.join(beaten, "__rank", "left_anti").select(*best.columns), "selection")
