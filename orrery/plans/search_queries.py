@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.operators import searches
+from orrery.operators import profiles, searches
 from orrery.plans.registry import Tables, query
 from orrery.plans.spectral_queries import LONG, waterfall
 
@@ -48,3 +48,18 @@ SELECT key, previous, cycle, a::DOUBLE AS shift_0, b::DOUBLE AS shift_1, round(r
 def sp06(t: Tables) -> DataFrame:
     told = searches.dual_motion(receivers(t), "capture", "row", "receiver", "level", 1.0, least=2.0, most=16.0, correlation=0.3, tolerance=4.0, lag=2)
     return told.select("key", "previous", "cycle", "shift_0", "shift_1", "shift", *(F.round(c, 9).alias(c) for c in ("correlation_0", "correlation_1", "score")), F.array_join("reasons", ",").alias("reasons"), "promoted")
+
+
+@query("sp05_baseline_novelty")
+def sp05(t: Tables) -> DataFrame:
+    """Each capture against the baseline of all: registration, trend removal and strongest bins; no SQL: tests hold it against numpy."""
+    rows = receivers(t)
+    found = profiles.novelty(rows, profiles.baselines(rows), threshold=0.2, trend=20.0, reach=8)
+    return found.select("capture", "receiver", "coverage", "lag", *(F.round(c, 9).alias(c) for c in ("registration", "median_abs", "p99_abs", "positive", "negative")), F.array_join(F.transform("strongest", lambda b: b.cast("string")), ",").alias("strongest"))
+
+
+@query("sp15_edge_tracks")
+def sp15(t: Tables) -> DataFrame:
+    """Drift of centre and edges in sliding windows with width, slope and linearity controls; no SQL: tests hold it against numpy."""
+    found = profiles.edges(receivers(t), BIN_HZ, 16.0, 8.0, least_hz=20_000.0)
+    return found.select("capture", "receiver", "start", "rows", "centre_drift", "low_drift", "high_drift", "strength", "width_hz", "motion_bins", "linearity_bins", "width_spread", "edge_difference", "qualified", F.array_join("reasons", ",").alias("reasons"))
