@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-MODULES = ("scalar_queries", "stat_queries", "ordered_queries", "join_queries", "estimator_queries", "project_queries", "plan_queries", "spectral_queries", "stream_queries", "track_queries", "orbit_queries", "search_queries")
+MODULES = ("scalar_queries", "stat_queries", "ordered_queries", "join_queries", "estimator_queries", "project_queries", "plan_queries", "spectral_queries", "stream_queries", "track_queries", "orbit_queries", "search_queries", "file_queries")
 
 
 class Tables:
