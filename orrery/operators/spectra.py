@@ -55,9 +55,9 @@ def baseline(long: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def best_lag(left: DataFrame, right: DataFrame, keys: list[str], reach: int) -> DataFrame:
-    """(keys, lag, r): the shift of right against left that correlates best; both are (keys, bin, level)."""
+    """(keys, lag, r): the shift of right against left that correlates best; both are (keys, bin, level). Null where a side never changes."""
     shifted = left.select(*keys, "bin", F.col("level").alias("__x")).withColumn("lag", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("bin", F.col("bin") + F.col("lag"))
-    met = shifted.join(right.select(*keys, "bin", F.col("level").alias("__y")), [*keys, "bin"]).groupBy(*keys, "lag").agg(F.round(F.corr("__x", "__y"), 9).alias("r"))
+    met = shifted.join(right.select(*keys, "bin", F.col("level").alias("__y")), [*keys, "bin"]).groupBy(*keys, "lag").agg(F.round(F.try_divide(F.covar_pop("__x", "__y"), F.stddev_pop("__x") * F.stddev_pop("__y")), 9).alias("r"))
     return met.groupBy(*keys).agg(F.max_by(F.struct("lag", "r"), F.struct("r", -F.abs("lag"), -F.col("lag"))).alias("b")).select(*keys, "b.lag", "b.r")
 
 

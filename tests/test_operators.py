@@ -168,3 +168,12 @@ def test_an_outlier_leaves_no_bracket_with_most_values(spark):
     cuts = df.select(F.percentile_approx("v", [i / stats.CUTS for i in range(stats.CUTS + 1)], stats.ACCURACY).alias("c")).first().c
     held = np.histogram(values, bins=np.unique(cuts))[0]
     assert held.max() < 0.01 * len(values)
+
+
+def test_best_lag_of_a_constant_spectrum(spark):
+    from orrery.operators import spectra
+
+    rows = [("a", b, 1.0) for b in range(8)] + [("b", b, float(b * b % 7)) for b in range(8)]
+    df = spark.createDataFrame(rows, "k string, bin long, level double")
+    got = {r.k: r for r in spectra.best_lag(df, df, ["k"], 1).collect()}
+    assert got["a"].r is None and (got["b"].lag, got["b"].r) == (0, 1.0)
