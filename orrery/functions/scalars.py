@@ -89,3 +89,18 @@ def exponential_score(error: Column, scale: float) -> Column:
 
 def clamp(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+
+
+def exact(value: Column) -> Column:
+    """A number as a decimal of ten places: sums of these do not depend on the order of rows."""
+    return value.cast("decimal(28,10)")
+
+
+def exact_mean(value: Column) -> Column:
+    """Mean of a group that does not depend on the order of rows."""
+    return F.sum(exact(value)).cast("double") / F.count(value)
+
+
+def rounded_half_up(value: Column, digits: int) -> Column:
+    """As SQL rounds the binary number: scaled, to the nearest whole number, scaled back. F.round rounds its shortest decimal form."""
+    return F.round(value * 10.0**digits) / 10.0**digits

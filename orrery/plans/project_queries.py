@@ -399,8 +399,9 @@ def s14(t: Tables) -> DataFrame:
 WITH a AS (SELECT o_custkey, round(sum(o_totalprice), 1) AS v FROM orders GROUP BY 1), b AS (SELECT o_custkey, round(sum(CASE WHEN o_custkey % 97 = 0 THEN 0 ELSE o_totalprice END), 1) AS v FROM orders GROUP BY 1)
 SELECT 'left' AS side, count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'right', count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
 def c09(t: Tables) -> DataFrame:
-    a = t.orders.groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 1).alias("v"))
-    b = t.orders.groupBy("o_custkey").agg(F.round(F.sum(F.when(F.col("o_custkey") % 97 == 0, 0.0).otherwise(F.col("o_totalprice"))), 1).alias("v"))
+    total = lambda x: F.round(F.sum(fn.exact(x)), 1).cast("double").alias("v")
+    a = t.orders.groupBy("o_custkey").agg(total(F.col("o_totalprice")))
+    b = t.orders.groupBy("o_custkey").agg(total(F.when(F.col("o_custkey") % 97 == 0, 0.0).otherwise(F.col("o_totalprice"))))
     return currency.parity(a, b)
 
 
