@@ -325,8 +325,8 @@ def u03(t: Tables) -> DataFrame:
     from orrery.operators.currency import parity
 
     x, d = F.col("l_extendedprice"), F.col("l_discount")
-    a = t.lineitem.select("l_orderkey", "l_linenumber", F.round(F.round(x * (1 - d), 3), 0).alias("v"))
-    b = t.lineitem.select("l_orderkey", "l_linenumber", F.round(F.round(x - F.when(F.col("l_linenumber") == 7, 0.0).otherwise(x * d), 3), 0).alias("v"))
+    a = t.lineitem.select("l_orderkey", "l_linenumber", F.round(fn.rounded_half_up(x * (1 - d), 3), 0).alias("v"))
+    b = t.lineitem.select("l_orderkey", "l_linenumber", F.round(fn.rounded_half_up(x - F.when(F.col("l_linenumber") == 7, 0.0).otherwise(x * d), 3), 0).alias("v"))
     return parity(a, b)
 
 
