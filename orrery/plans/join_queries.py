@@ -225,9 +225,10 @@ TRACKS = "tr AS (SELECT user_id, user_id % 2 AS rx, event_type, min(epoch_us(ts)
 
 
 def tracks(t: Tables) -> DataFrame:
+    """A user's events of a day and type; means are exact, so equal tracks have equal ones and their ties go by key."""
     s = whole_seconds(F.col("ts"))
     day = F.floor(fn.micros(F.col("ts")) / 864e8)
-    return t.events.groupBy("user_id", "event_type", day.alias("day")).agg(F.min(s).alias("a"), F.max(s).alias("b"), F.avg("value").alias("m")).withColumn("rx", F.col("user_id") % 2)
+    return t.events.groupBy("user_id", "event_type", day.alias("day")).agg(F.min(s).alias("a"), F.max(s).alias("b"), fn.exact_mean(F.col("value")).alias("m")).withColumn("rx", F.col("user_id") % 2)
 
 
 @query("j22_track_pairs", f"""WITH {TRACKS}, o AS (SELECT x.user_id AS xu, y.user_id AS yu, x.event_type, x.a AS xa, y.a AS ya, (least(x.b, y.b) - greatest(x.a, y.a)) / nullif(greatest(x.b, y.b) - least(x.a, y.a), 0)::DOUBLE AS iou, abs(x.m - y.m) AS d FROM tr x JOIN tr y ON x.event_type = y.event_type AND x.rx = 0 AND y.rx = 1 AND x.a <= y.b AND y.a <= x.b)
