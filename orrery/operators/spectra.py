@@ -5,27 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators import blocks
 
-def folded_dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
-
-#: Dimensions up to which a product is written out as one sum, which Spark compiles.
-WRITTEN_OUT = 256
-
-
-def cosine_pairs(df: DataFrame, key: str, vector: str, least: float, block: str) -> DataFrame:
-    """(l, r, cosine) of pairs of one block that are similar enough."""
-    size = df.agg(F.max(F.size(vector)).alias("n"), F.min(F.size(vector)).alias("m")).first()  # one row
-    if size.n is not None and size.n == size.m <= WRITTEN_OUT:
-        dot = lambda x, y: sum((F.get(x, F.lit(i)).cast("double") * F.get(y, F.lit(i)) for i in range(size.n)), F.lit(0.0))
-    else:
-        dot = folded_dot
-    unit = df.select(key, block, F.col(vector).alias("__v"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("__n")).where("__n > 0")
-    a = unit.select(block, F.col(key).alias("l"), F.col("__v").alias("__a"), F.col("__n").alias("__na"))
-    b = unit.select(block, F.col(key).alias("r"), F.col("__v").alias("__b"), F.col("__n").alias("__nb"))
-    pairs = a.join(b, [a[block] == b[block], F.col("l") < F.col("r")])
-    return pairs.select("l", "r", (dot(F.col("__a"), F.col("__b")) / (F.col("__na") * F.col("__nb"))).alias("cosine")).where(F.col("cosine") > least)
+def cosine_pairs(df: DataFrame, key: str, vector: str, least: float, block: str, connecting: bool = False) -> DataFrame:
+    """(l, r, cosine) of pairs of one block that are similar enough; with connecting, enough of them to connect what all connect."""
+    return blocks.pairs(df.select(F.col(key).alias("id"), F.col(block).alias("g"), F.col(vector).alias("v")), least, connecting=connecting)
 
 
 def bins(df: DataFrame, vector: str, *keep: str) -> DataFrame:
