@@ -43,7 +43,7 @@ def judged(points: DataFrame, tried: DataFrame, curves: DataFrame, step: float,
     """
     t = F.col("at") + F.col("shift")
     moved = points.join(tried, "track").withColumns({"k": F.floor(t / step), "__f": t / step - F.floor(t / step)})
-    met = moved.join(curves, ["number", "k"])
+    met = moved.join(curves.hint("merge"), ["number", "k"])  # Spark takes a curve's size for that of the row it is made from, and would broadcast them all
     y = F.col("observed") - (F.col("v") + (F.col("next") - F.col("v")) * F.col("__f"))
     rows = met.select(*BY, "receiver", "train", F.col("x"), y.alias("y"), (1 / (F.col("sigma") * F.col("sigma"))).alias("w"), "n")
     on = lambda c: F.when(F.col("train"), c)

@@ -76,3 +76,15 @@ def test_points_of_one_time_are_split_by_number(spark):
     df = spark.createDataFrame(rows, "track long, receiver int, at double, observed double, sigma double")
     got = association.split(df, 0.6).groupBy("receiver", "train").count().collect()
     assert {(r.receiver, r.train): r["count"] for r in got} == {(0, True): 6, (0, False): 4, (1, True): 7, (1, False): 4}
+
+
+def test_curves_are_not_broadcast(spark):
+    """A curve's thousands of values come from one small row, so Spark's own estimate would broadcast all curves."""
+    from orrery.operators.association import judged
+
+    points = spark.createDataFrame([(1, 0, 1.0, 5.0, 1.0, True, 6, 0.0)], "track long, receiver int, at double, observed double, sigma double, train boolean, n long, x double")
+    tried = spark.createDataFrame([(1, 2, 0.0)], "track long, number long, shift double")
+    curves = spark.range(3).selectExpr("id AS number", "explode(sequence(0L, 9L)) AS k").selectExpr("number", "k", "1.0D AS v", "1.0D AS next")
+    plan = judged(points, tried, curves, 1.0, 200.0, False)._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.splitlines() if "SortMergeJoin" in line and "k#" in line]
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "k#" in line]
