@@ -35,9 +35,10 @@ def checked(sets: DataFrame, least: int, most: int, age_s: float) -> DataFrame:
 def publisher(root: str, least: int, most: int, age_s: float) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink for (source, scope, retrieved, number, epoch, line1, line2), whole deliveries at a time.
 
-    `root/content` holds each accepted content once, in the folder of its digest; `root/entries` has a row for each
-    delivery, refused ones with their reason. Content is written before its entry and in place, entries only where there
-    is none yet: a batch or a snapshot that is delivered again, or a sink that died on the way, changes nothing.
+    `root/content` holds each accepted content once, whole in one file, in the folder of its digest's first two letters:
+    the number of files grows with batches, not with contents. `root/entries` has a row for each delivery, refused ones
+    with their reason. Content is written before its entry, and both only where there is none yet: a batch or a snapshot
+    that is delivered again, or a sink that died on the way, changes nothing.
     """
 
     def sink(batch: DataFrame, _: int) -> None:
@@ -50,8 +51,12 @@ def publisher(root: str, least: int, most: int, age_s: float) -> Callable[[DataF
         if told.isEmpty():
             return
         first = told.where("refused is null").groupBy("digest").agg(F.min(F.struct(*NAMED)).alias("d")).select("digest", "d.*")
+        if exists(spark, f"{root}/content"):  # a digest is in one file, which is there or is not
+            first = first.join(spark.read.schema("digest string").parquet(f"{root}/content").select("digest").distinct(), "digest", "left_anti")
+        first = written(first, "entries")
         content = batch.distinct().join(F.broadcast(first) if first.count() < 1000 else first, NAMED).select("digest", "number", "epoch", "line1", "line2")
-        content.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("digest").parquet(f"{root}/content")
+        folders = content.withColumn("part", F.concat(F.lit("d"), F.substring("digest", 1, 2))).repartition("part")
+        folders.write.mode("append").partitionBy("part").parquet(f"{root}/content")
         told.write.mode("append").parquet(f"{root}/entries")
 
     return sink

@@ -131,6 +131,23 @@ def test_snapshots_are_published_once(spark, tmp_path):
     assert spark.read.parquet(f"{root}/content").count() == 5
 
 
+def test_catalogue_has_no_folder_for_each_content(spark, tmp_path):
+    from orrery.streaming import catalogue
+
+    day = dt.datetime(2024, 5, 1)
+    schema = "source string, scope string, retrieved timestamp_ntz, number long, epoch timestamp_ntz, line1 string, line2 string"
+    frame = spark.createDataFrame([(f"s{k}", "all", day, i, day, f"1 {k}", f"2 {i}") for k in range(600) for i in range(3)], schema)
+    root = str(tmp_path / "cat")
+    catalogue.publisher(root, 3, 10, 86_400.0)(frame, 0)
+    content = spark.read.parquet(f"{root}/content")
+    assert content.count() == 1800 and content.select("digest").distinct().count() == 600
+    assert len([*(tmp_path / "cat" / "content").rglob("*.parquet")]) <= 256
+    # The sink died after the content: the batch comes again, and each content is still there once.
+    (tmp_path / "cat" / "entries").rename(tmp_path / "gone")
+    catalogue.publisher(root, 3, 10, 86_400.0)(frame, 0)
+    assert spark.read.parquet(f"{root}/content").count() == 1800 and spark.read.parquet(f"{root}/entries").count() == 600
+
+
 def test_paired_instants(spark):
     a = spark.createDataFrame([(1, "a", at(0), 0.0), (2, "a", at(100), 0.0)], SCHEMA).select(F.col("id").alias("x"), "k", F.col("ts").alias("t"))
     b = spark.createDataFrame([(7, "a", at(2), 0.0)], SCHEMA).select(F.col("id").alias("y"), "k", F.col("ts").alias("u"))
