@@ -12,14 +12,14 @@ def _written(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
-    """(node, component): the smallest node that each node of an edge reaches, by minimum labels and pointer jumping."""
+    """(node, component): the smallest node that each node of an edge reaches, by minimum labels and pointer jumping; no round goes through the driver."""
     both = _written(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).union(edges.select(right, left)).distinct())
     labels = _written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        low = labels.join(near, "node").select("node", F.least("component", "near").alias("low"), F.col("component").alias("old"))
+        near = both.join(labels.select(F.col("node").alias("b"), "component").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        low = labels.join(near.hint("merge"), "node").select("node", F.least("component", "near").alias("low"), F.col("component").alias("old"))
         far = labels.select(F.col("node").alias("low"), F.col("component").alias("far"))
-        labels = _written(low.join(far, "low", "left").select("node", F.least("low", "far").alias("component"), "old"))
+        labels = _written(low.join(far.hint("merge"), "low", "left").select("node", F.least("low", "far").alias("component"), "old"))
         if labels.where("component < old").isEmpty():
             return labels.select("node", "component")
 

@@ -79,9 +79,9 @@ def suppressed(df: DataFrame, key: str, group: Sequence[str], near: Sequence[Nea
     around = [F.struct(*(F.lit(d).alias(c) for d, c in zip(x, cells, strict=True))) for x in product(*(x.steps for x in axes))]
 
     def reaching(rows: DataFrame) -> DataFrame:
-        """Rows under each cell that they may conflict with."""
+        """Rows under each cell that they may conflict with: many times the rows that Spark sees, so they are never sent through the driver."""
         named = rows.select(*groups, *cells, *(F.col(f"__x{i}").alias(f"__y{i}") for i in range(len(near))), F.col("__rank").alias("__other"), F.explode(F.array(*around)).alias("__d"))
-        return named.select(*groups, *(x.beside(F.col(c), F.col("__d")[c]).alias(c) for x, c in zip(axes, cells, strict=True)), *(f"__y{i}" for i in range(len(near))), "__other")
+        return named.select(*groups, *(x.beside(F.col(c), F.col("__d")[c]).alias(c) for x, c in zip(axes, cells, strict=True)), *(f"__y{i}" for i in range(len(near))), "__other").hint("merge")
 
     def close() -> Column:
         gaps = [(x.gap(F.col(f"__x{i}"), F.col(f"__y{i}")), x.reach) for i, x in enumerate(axes)]
@@ -92,14 +92,14 @@ def suppressed(df: DataFrame, key: str, group: Sequence[str], near: Sequence[Nea
         best = best.select(*space, *(F.col("__b")[f"__x{i}"].alias(f"__x{i}") for i in range(len(near))), "__rank")
         # A cell's best row is next if no better row of an adjoining cell conflicts with it.
         beaten = open_.join(reaching(best), space).where(close() & (F.col("__rank") < F.col("__other"))).select(F.col("__other").alias("__rank")).distinct()
-        chosen = written(best.join(beaten, "__rank", "left_anti").select(*best.columns), "selection")
+        chosen = written(best.join(beaten.hint("merge"), "__rank", "left_anti").select(*best.columns), "selection")
         kept.append(chosen.select(F.col("__rank.id").alias(key)))
         gone = open_.join(reaching(chosen), space).where(close()).select("__id").distinct()
-        open_ = written(open_.join(gone, "__id", "left_anti"), "selection")
+        open_ = written(open_.join(gone.hint("merge"), "__id", "left_anti"), "selection")
     free = df.where(~known)
     if not kept:
         return free
-    return df.where(known).join(reduce(DataFrame.union, kept), key, "left_semi").select(*df.columns).union(free)
+    return df.where(known).join(reduce(DataFrame.union, kept).hint("merge"), key, "left_semi").select(*df.columns).union(free)
 
 
 def joined(df: DataFrame, key: str, group: Sequence[str], near: Sequence[Near], order: Sequence[Column]) -> DataFrame:
@@ -113,7 +113,7 @@ def joined(df: DataFrame, key: str, group: Sequence[str], near: Sequence[Near],
     leaders = place(kept, "y").withColumn("__d", F.explode(around))
     leaders = leaders.select("__y", *(c for c in leaders.columns if c.startswith("__g")), *(f"__y{i}" for i in range(len(axes))), "__rank_y", *(x.beside(F.col(c), F.col("__d")[c]).alias(c) for x, c in zip(axes, cells, strict=True)))
     close = reduce(lambda a, b: a & b, [x.gap(F.col(f"__x{i}"), F.col(f"__y{i}")) <= x.reach for i, x in enumerate(axes)])
-    met = place(df, "x").join(leaders, [*(f"__g{i}" for i in range(len(group))), *cells]).where(close)
+    met = place(df, "x").join(leaders.hint("merge"), [*(f"__g{i}" for i in range(len(group))), *cells]).where(close)
     return met.groupBy(F.col("__x").alias(key)).agg(F.min_by("__y", "__rank_y").alias("leader"))
 
 

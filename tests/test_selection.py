@@ -49,3 +49,17 @@ def test_matching_against_the_sequential_order(spark):
     got = selection.matched(df, "l", "r", "s")
     assert sorted(map(tuple, got.collect())) == sorted(want) and (101, 201, 1.0) in want
     assert selection.matched(df.limit(0), "l", "r", "s").count() == 0
+
+
+def test_rounds_do_not_go_through_the_driver(spark, monkeypatch):
+    from orrery.operators import graph
+
+    plans = []
+    for module in (selection, graph):
+        kept = module.written
+        monkeypatch.setattr(module, "written", lambda df, kind, kept=kept: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, kind))
+    df = spark.createDataFrame([(i, 1, float(i % 7), float(i % 50), float(i % 11)) for i in range(200)], "id int, g int, v double, x double, y double")
+    found = selection.joined(df, "id", ["g"], [("x", 4), ("y", 3.5)], [-F.col("v")])
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    graph.components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long"), "a", "b")
+    assert len(plans) > 6 and not any("Broadcast" in p for p in plans)
