@@ -9,6 +9,13 @@ from orrery.plans.registry import Tables, query
 from orrery.sources import files, scratch
 
 
+def stored(rows: DataFrame, by: list[str], path: str) -> None:
+    """A text file for each value of `by`: written by all cores, and moved to its place by the task that wrote it and not by the driver."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    rows.repartition(n, by[0]).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*by).text(path)
+
+
 @query("s03_schema_files", """
 WITH d AS (SELECT CASE WHEN s_suppkey % 4 = 0 THEN NULL WHEN s_suppkey % 3 = 0 THEN 'no schema declared' ELSE 'v' || s_nationkey % 2 END AS tag FROM supplier), c AS (SELECT tag, count(*) AS n FROM d GROUP BY 1)
 SELECT CASE WHEN tag IS NULL THEN 'unreadable' WHEN tag = 'v1' THEN 'read' ELSE 'other_schema' END AS status, tag, CASE WHEN tag = 'v1' THEN least(n, 3) ELSE n END AS documents FROM c UNION ALL SELECT 'beyond_limit', tag, n - 3 FROM c WHERE tag = 'v1' AND n > 3""")
@@ -18,7 +25,7 @@ def s03(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
     tag = F.when(k % 3 != 0, F.concat(F.lit("v"), (F.col("s_nationkey") % 2).cast("string")))
     document = F.to_json(F.struct(tag.alias("schema"), F.col("s_name").alias("name")))
-    t.supplier.select(k.alias("k"), F.when(k % 4 == 0, F.concat(F.lit("{"), document)).otherwise(document).alias("value")).repartition("k").write.partitionBy("k").text(root)
+    stored(t.supplier.select(k.alias("k"), F.when(k % 4 == 0, F.concat(F.lit("{"), document)).otherwise(document).alias("value")), ["k"], root)
     return files.census(t.spark, f"{root}/k=*", "v1", "name string", limit=3)[1]
 
 
@@ -33,7 +40,7 @@ def s05(t: Tables) -> DataFrame:
     claimed = t.supplier.select(k.alias("run"), kinds).select("run", "f.*").withColumn("line", F.concat("text", F.lit("\n")))
     other = F.when((F.col("kind") == "name") & (F.col("run") % 5 == 0), F.regexp_replace("text", ".$", "\u0001")).when((F.col("kind") == "log") & (F.col("run") % 3 == 0), F.concat("text", F.lit("0"))).otherwise(F.col("text"))
     there = claimed.where("kind = 'name' OR run % 7 <> 0").select("run", "kind", other.alias("value"))
-    there.repartition("run").write.partitionBy("run", "kind").text(f"{root}/store")
+    stored(there, ["run", "kind"], f"{root}/store")
     found = files.contents(t.spark, f"{root}/store", "store").where("name LIKE '%.txt'").withColumn("name", F.regexp_replace("name", "/[^/]*$", ""))  # the writer names the file
     claims = claimed.select("run", "kind", F.concat(F.lit("run="), F.col("run").cast("string"), F.lit("/kind="), F.col("kind")).alias("name"), F.octet_length("line").cast("long").alias("bytes"), F.sha2("line", 256).alias("sha256"))
     runs = files.authenticated(claims, found, ["name", "log"])[1]

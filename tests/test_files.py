@@ -66,3 +66,12 @@ def test_sweeps_give_an_entry_for_each_usable_radio(spark, tmp_path):
     assert [(t.channel, t.region, t.skew_s) for t in got["s1", "b"].order] == [(4, "upper-edge", 0.5), (2, "upper-edge", None), (4, "lower-edge", None)]
     assert got["s1", "a"].peers == ["b"] and got["s2", "a"].peers == []
     assert {r.reason: r.radios for r in reasons.collect()} == {"radio failed": 2, "no tunings": 2, "unknown edge": 1, "tuning is not (channel, edge)": 1, "samples of another number of tunings": 1}
+
+
+def test_many_small_files_are_written_by_several_tasks(spark, tmp_path):
+    from orrery.plans import file_queries
+
+    rows = spark.range(40).selectExpr("id AS k", "CAST(id AS STRING) AS value").coalesce(1)
+    file_queries.stored(rows, ["k"], str(tmp_path / "f"))
+    found = [*(tmp_path / "f").rglob("part-*.txt")]
+    assert len(found) == 40 and len({x.name.split("-")[1] for x in found}) >= 8
