@@ -48,36 +48,77 @@ def sessions(df: DataFrame, key: str, time: str, gap: float, width: float | None
     return stepped.withColumn("__own", own).join(based, [key, "__stretch"]).withColumn("session", (F.col("__base") + F.col("__own")).cast("long")).drop("__stretch", "__step", "__own", "__base")
 
 
+def followed(t: np.ndarray, v: np.ndarray, gap: float, base: float, slope: float) -> list[list[int]]:
+    """The places of each track's points, tracks in the order in which they open; points are sorted by time, then value.
+
+    A point meets all open tracks at once; what a track foretells is worked out when a point joins it, and closed tracks
+    are dropped as their room is needed.
+    """
+    found: list[list[int]] = []
+    last, at, level, rate, who = (np.empty(16) for _ in range(5))
+    n = 0
+    for i in range(len(t)):
+        dt = t[i] - last[:n]
+        off = np.abs(level[:n] + rate[:n] * (t[i] - at[:n]) - v[i])
+        off[~((dt > 0) & (dt <= gap) & (off <= base + slope * dt))] = np.inf
+        k = int(off.argmin()) if n else -1
+        if n == 0 or off[k] == np.inf:
+            if n == len(last):
+                live = np.flatnonzero(dt <= gap)
+                n, room = len(live), 2 * len(last) if 2 * len(live) > len(last) else len(last)
+                last, at, level, rate, who = (np.concatenate([x[live], np.empty(room - n)]) for x in (last, at, level, rate, who))
+            k, n = n, n + 1
+            who[k] = len(found)
+            found.append([])
+        own = found[int(who[k])]
+        own.append(i)
+        x, y = t[own[-6:]], v[own[-6:]]
+        last[k], at[k], level[k] = t[i], x.mean(), y.mean()
+        rate[k] = ((x - at[k]) * (y - level[k])).sum() / max(((x - at[k]) ** 2).sum(), 1e-12) if len(x) > 1 else 0.0
+    return found
+
+
 def assembled(df: DataFrame, key: str, time: str, value: str, gap: float, base: float, slope: float, least: int = 2) -> DataFrame:
     """(key, track, points, first, last, drift): each point joins the open track whose last-six-point line foretells it best, else opens one.
 
-    No track goes on over a step of more than `gap`, so each session of a key is a piece of its own; one task holds the
-    points of one session.
+    No track goes on over a step of more than `gap`, so each session of a key is a piece of its own; a task goes through
+    its sessions in order and holds the points of one.
     """
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list[tuple[float, float]]] = []
-        for t, v in pdf.sort_values([time, value])[[time, value]].itertuples(index=False):
-            best, miss = None, np.inf
-            for g in groups:
-                dt = t - g[-1][0]
-                if not 0 < dt <= gap:
+    names = ["key", "session", "i", "points", "first", "last", "drift"]
+
+    def rows(whose: tuple[int, int], t: np.ndarray, v: np.ndarray) -> list[tuple]:
+        out: list[tuple] = []
+        for own in followed(t, v, gap, base, slope):
+            if len(own) >= least:
+                x, y = t[own], v[own]
+                out.append((*whose, len(out), len(own), x[0], x[-1], ((x - x.mean()) * (y - y.mean())).sum() / max(((x - x.mean()) ** 2).sum(), 1e-12)))
+        return out
+
+    def build(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        whose: tuple[int, int] | None = None
+        done = lambda: rows(whose, *(np.concatenate(c) for c in zip(*held, strict=True)))
+        for pdf in parts:
+            k, s, t, v = (pdf[c].to_numpy() for c in (key, "session", time, value))
+            cuts = np.flatnonzero((k[1:] != k[:-1]) | (s[1:] != s[:-1])) + 1
+            out: list[tuple] = []
+            for a, b in zip([0, *cuts], [*cuts, len(k)], strict=True):
+                if a == b:
                     continue
-                x, y = np.array(g[-6:]).T
-                rate = ((x - x.mean()) * (y - y.mean())).sum() / max(((x - x.mean()) ** 2).sum(), 1e-12) if len(x) > 1 else 0.0
-                off = abs(y.mean() + rate * (t - x.mean()) - v)
-                if off <= base + slope * dt and off < miss:
-                    best, miss = g, off
-            (best if best is not None else groups.append([]) or groups[-1]).append((t, v))
-        rows = []
-        for g in groups:
-            if len(g) >= least:
-                x, y = np.array(g).T
-                rows.append((pdf[key].iloc[0], pdf["session"].iloc[0], len(rows), len(g), x[0], x[-1], ((x - x.mean()) * (y - y.mean())).sum() / max(((x - x.mean()) ** 2).sum(), 1e-12)))
-        return pd.DataFrame(rows, columns=["key", "session", "i", "points", "first", "last", "drift"])
-
-    pieces = sessions(df.where(F.col(time).isNotNull() & F.col(value).isNotNull()).select(key, time, value), key, time, gap)
-    found = pieces.groupBy(key, "session").applyInPandas(build, "key long, session long, i long, points long, first double, last double, drift double")
+                if held and whose != (k[a], s[a]):
+                    out += done()
+                    held = []
+                whose = (k[a], s[a])
+                held.append((t[a:b], v[a:b]))
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(done(), columns=names)
+
+    points = df.where(F.col(key).isNotNull() & F.col(time).isNotNull() & F.col(value).isNotNull())
+    points = points.select(F.col(key).cast("long").alias(key), F.col(time).cast("double").alias(time), F.col(value).cast("double").alias(value))
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * df.sparkSession.sparkContext.defaultParallelism)  # few bytes, much work
+    pieces = sessions(points, key, time, gap).repartition(n, key, "session").sortWithinPartitions(key, "session", time, value)
+    found = pieces.mapInPandas(build, "key long, session long, i long, points long, first double, last double, drift double")
     found = written(found, "tracks")
     place = F.row_number().over(Window.partitionBy("key").orderBy("session", "i")) - 1  # a row for each track
     return found.select("key", place.cast("long").alias("track"), "points", "first", "last", "drift")

@@ -151,3 +151,37 @@ def test_a_hot_key_is_cut_into_sessions(spark):
     assert max(r["count"] for r in tracks.sessions(df, "k", "t", 5.0).groupBy("k", "session").count().collect()) < 1500
     tr = [r.track for r in one.where("key = 7").collect()]
     assert sorted(tr) == list(range(len(tr)))
+
+
+def test_tracks_are_followed_as_point_by_point():
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    t = np.sort(np.concatenate([rng.integers(0, 900, 600) / 2.0, rng.integers(4000, 4040, 300) / 4.0]))
+    v = rng.random(len(t)) * 120
+    v[7] = np.nan
+    gap, base, slope = 6.0, 2.0, 0.25
+    groups = []
+    for i in range(len(t)):
+        best, miss = None, np.inf
+        for g in groups:
+            dt = t[i] - t[g[-1]]
+            if not 0 < dt <= gap:
+                continue
+            x, y = t[g[-6:]], v[g[-6:]]
+            rate = ((x - x.mean()) * (y - y.mean())).sum() / max(((x - x.mean()) ** 2).sum(), 1e-12) if len(x) > 1 else 0.0
+            off = abs(y.mean() + rate * (t[i] - x.mean()) - v[i])
+            if off <= base + slope * dt and off < miss:
+                best, miss = g, off
+        (best if best is not None else groups.append([]) or groups[-1]).append(i)
+    assert tracks.followed(t, v, gap, base, slope) == groups
+    assert max(map(len, groups)) > 6 and len(groups) > 64
+
+
+def test_sessions_are_assembled_by_more_than_one_task(spark):
+    """Few bytes, much work: all of them in one small partition took one core."""
+    rows = [(k, float(t), float(k)) for k in range(40) for t in range(20)]
+    got = tracks.assembled(spark.createDataFrame(rows, "k long, t double, v double"), "k", "t", "v", 5, 3.0, 0.5)
+    assert sorted((r.key, r.track, r.points, r.first, r.last) for r in got.collect()) == [(k, 0, 20, 0.0, 19.0) for k in range(40)]
+    plan = got.sparkSession.read.format("parquet").load(got.inputFiles()[0].rsplit("/", 1)[0])
+    assert len({f for f in plan.inputFiles()}) > 1
