@@ -215,10 +215,12 @@ def j20(t: Tables) -> DataFrame:
 @query("j21_band_join", """
 SELECT event_id, count(*) AS n, arg_min(p_partkey, struct_pack(d := abs(value * 5 - p_retailprice), k := p_partkey)) AS nearest FROM events JOIN part ON abs(value * 5 - p_retailprice) <= 0.5 GROUP BY 1""")
 def j21(t: Tables) -> DataFrame:
+    """Equal prices are one entry with its count and smallest key: pairs grow with the prices in reach, not with the parts."""
     e = t.events.select("event_id", (F.col("value") * 5).alias("v"))
-    near = joins.within(e, t.part.select("p_partkey", "p_retailprice"), [], "v", "p_retailprice", 0.5)
+    prices = t.part.groupBy("p_retailprice").agg(F.count("*").alias("c"), F.min("p_partkey").alias("p_partkey"))
+    near = joins.within(e, prices, [], "v", "p_retailprice", 0.5)
     gap = F.abs(F.col("v") - F.col("p_retailprice"))
-    return near.groupBy("event_id").agg(F.count("*").alias("n"), F.min_by("p_partkey", F.struct(gap, "p_partkey")).alias("nearest"))
+    return near.groupBy("event_id").agg(F.sum("c").alias("n"), F.min_by("p_partkey", F.struct(gap, "p_partkey")).alias("nearest"))
 
 
 TRACKS = "tr AS (SELECT user_id, user_id % 2 AS rx, event_type, min(epoch_us(ts) // 1000000) AS a, max(epoch_us(ts) // 1000000) AS b, avg(value) AS m FROM events GROUP BY user_id, event_type, CAST(floor(epoch_us(ts) / 864e8) AS BIGINT))"

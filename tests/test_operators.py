@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -177,3 +178,37 @@ def test_best_lag_of_a_constant_spectrum(spark):
     df = spark.createDataFrame(rows, "k string, bin long, level double")
     got = {r.k: r for r in spectra.best_lag(df, df, ["k"], 1).collect()}
     assert got["a"].r is None and (got["b"].lag, got["b"].r) == (0, 1.0)
+
+
+def test_medians_in_cells_equal_sorting(spark):
+    """Skewed, crowded, constant, infinite and null values, with a null key; no plan gathers a group in one buffer."""
+    import numpy as np
+
+    from orrery.operators import stats
+
+    rng = np.random.default_rng(4)
+    inf = float("inf")
+    groups = {"skew": [*np.exp(rng.normal(0, 9, 401))], "crowd": [*(1e6 + rng.random(300) * 1e-6), -1e12, 1e15], "one": [2.5] * 7, "two": [1.0, 4.0], "inf": [-inf, -inf, 3.0, inf, inf, inf], None: [*rng.integers(0, 5, 50).astype(float)], "nan": [1.0, 2.0, float("nan")]}
+    rows = [(k, i % 2, float(x)) for k, xs in groups.items() for i, x in enumerate(xs)] + [("none", 0, None), ("one", 1, None)]
+    df = spark.createDataFrame(rows, "k string, side int, x double").repartition(3)
+    got = stats.medians_of_sets(df, ["k"], [["k"], []], lambda g: g.agg(F.count("*").alias("n")), {"m": F.col("x"), "odd": F.when(F.col("side") == 1, F.col("x"))})
+    assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = sorted(((r.k or "", r.n), (r.m, r.odd)) for r in got.where("n < 500").collect() if r.k != "none")
+    want = sorted(((k or "", len(xs) + (k == "one")), (float(np.median(np.array(xs))) if k != "nan" else 2.0, float(np.median(xs[1::2])))) for k, xs in groups.items())
+    assert [k for k, _ in found] == [k for k, _ in want]
+    assert np.allclose([v for _, v in found], [v for _, v in want], rtol=1e-12, equal_nan=True)
+    every = [x for xs in groups.values() for x in xs]
+    whole = got.where(f"n = {len(rows)}").first()
+    assert whole.k is None and whole.m == pytest.approx(sorted(every, key=lambda x: (x != x, x))[len(every) // 2] if len(every) % 2 else np.mean(sorted(every, key=lambda x: (x != x, x))[len(every) // 2 - 1 : len(every) // 2 + 1]))
+
+
+def test_band_join_counts_equal_prices_once(spark):
+    from types import SimpleNamespace
+
+    from orrery.plans import join_queries
+
+    events = spark.createDataFrame([(1, 10.0), (2, 10.08), (3, 50.0)], "event_id long, value double")
+    part = spark.createDataFrame([(9, 50.0), (3, 50.0), (4, 50.5), (5, 49.5), (6, 50.75)], "p_partkey long, p_retailprice double")
+    got = join_queries.j21(SimpleNamespace(events=events, part=part))
+    assert sorted(map(tuple, got.collect())) == [(1, 4, 3), (2, 4, 4)]
+    assert "Aggregate [p_retailprice" in got._jdf.queryExecution().optimizedPlan().toString()
