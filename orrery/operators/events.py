@@ -1,7 +1,7 @@
 """Events in waterfalls: smoothed residuals of either polarity, cut into runs of bins, joined into components, measured along their paths.
 
 A spectrum is one array of a row; what concerns neighbouring bins is done inside
-the array. Rows meet their neighbours by equi joins on the row's number, each
+the array. Rows meet their neighbours by equi joins on the row's number, by sort and merge (none is sent through the driver), each
 sending its weighted share to the rows within the kernel's radius. Components
 are made of runs (first and last bin of a stretch above the threshold in one
 row), not of pixels, so their graph has a node for each stretch.
@@ -62,7 +62,7 @@ def smoothed(rows: DataFrame, sigma: tuple[float, float]) -> DataFrame:
     long = given.select("capture", F.col("to").alias("row"), weight.alias("w"), F.posexplode("v").alias("bin", "x"))
     summed = long.groupBy("capture", "row", "bin").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
     whole = summed.groupBy("capture", "row").agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "x"))), lambda x: x["x"]).alias("smooth"))
-    return rows.join(whole, ["capture", "row"])
+    return rows.join(whole.hint("merge"), ["capture", "row"])
 
 
 def stretches(mask: Column) -> Column:
@@ -83,7 +83,7 @@ def runs(rows: DataFrame, threshold: float) -> DataFrame:
     signed = both.withColumn("smooth", F.transform("smooth", lambda x: x * F.col("polarity")))
     marked = written(signed.select("capture", "polarity", "row", "flat", grown.alias("m")), "events")
     near = lambda d, name: marked.select("capture", "polarity", (F.col("row") + d).alias("row"), F.col("m").alias(name))
-    joined = marked.join(near(1, "before"), ["capture", "polarity", "row"], "left").join(near(-1, "after"), ["capture", "polarity", "row"], "left")
+    joined = marked.join(near(1, "before").hint("merge"), ["capture", "polarity", "row"], "left").join(near(-1, "after").hint("merge"), ["capture", "polarity", "row"], "left")
     none = F.transform("m", lambda x: F.lit(False))
     here = F.zip_with("m", F.coalesce("before", none), lambda x, y: x | y)
     there = F.zip_with(F.coalesce("after", none), "m", lambda x, y: x | y)
@@ -107,9 +107,9 @@ def segmented(
     nodes = written(found.withColumn("id", number), "events")
     light = nodes.select("capture", "polarity", "row", "a", "b", "id")
     above = light.select("capture", "polarity", (F.col("row") + 1).alias("row"), F.col("a").alias("c"), F.col("b").alias("d"), F.col("id").alias("other"))
-    touching = light.join(above, ["capture", "polarity", "row"]).where((F.col("a") <= F.col("d") + 1) & (F.col("c") <= F.col("b") + 1))
+    touching = light.join(above.hint("merge"), ["capture", "polarity", "row"]).where((F.col("a") <= F.col("d") + 1) & (F.col("c") <= F.col("b") + 1))
     labels = components(touching.select("id", "other"), "id", "other")
-    whole = nodes.join(labels, F.col("id") == F.col("node"), "left").withColumn("event", F.coalesce("component", "id"))
+    whole = nodes.join(labels.hint("merge"), F.col("id") == F.col("node"), "left").withColumn("event", F.coalesce("component", "id"))
     places = F.sequence("a", "b")
     value = lambda i: F.get("flat", i) * F.col("polarity")
     weight = lambda i: F.greatest(value(i), F.lit(2.220446049250313e-16))
@@ -125,7 +125,7 @@ def segmented(
     ).withColumn("broadband", F.col("occupancy") >= broad)
     large = reduce(lambda x, y: x & y, [F.col("stop") - F.col("start") + 1 >= least[0], F.col("high") - F.col("low") + 1 >= least[1], F.col("pixels") >= least[2]])
     events = events.where(large)
-    return events, path.join(events.select("event"), "event", "left_semi").select("capture", "polarity", "event", "row", "centroid", "low", "high")
+    return events, path.join(events.select("event").hint("merge"), "event", "left_semi").select("capture", "polarity", "event", "row", "centroid", "low", "high")
 
 
 def candidates(events: DataFrame, path: DataFrame, row_s: float, bin_hz: float, least_s: float = 2.0, drift: tuple[float, float] = (250.0, 15_000.0), most: int = 64) -> DataFrame:
@@ -136,7 +136,7 @@ def candidates(events: DataFrame, path: DataFrame, row_s: float, bin_hz: float,
     from orrery.operators.currency import all_reasons
 
     fitted = path.groupBy("event").agg((F.regr_slope("centroid", "row") * bin_hz / row_s).alias("drift_hz_s"), F.count("*").alias("rows")).where("rows >= 2")
-    rows = events.join(fitted, "event").withColumn("duration_s", (F.col("stop") - F.col("start")) * row_s)
+    rows = events.join(fitted.hint("merge"), "event").withColumn("duration_s", (F.col("stop") - F.col("start")) * row_s)
     why = all_reasons(**{"broadband": F.col("broadband"), "duration": F.col("duration_s") < least_s, "drift": ~F.abs("drift_hz_s").between(*drift)})
     told = rows.withColumn("reasons", why).withColumn("qualified", F.size("reasons") == 0)
     place = F.row_number().over(Window.partitionBy("capture").orderBy(F.desc("qualified"), F.desc("peak"), F.desc("duration_s"), "event"))  # a row for each event

@@ -29,7 +29,7 @@ def residual(long: DataFrame, capture: str, row: str) -> DataFrame:
     per_bin = long.groupBy(capture, "bin").agg(F.median("level").alias("__b"))
     flat = long.join(per_bin, [capture, "bin"]).withColumn("__r", F.col("level") - F.col("__b"))
     per_row = flat.groupBy(capture, row).agg(F.median("__r").alias("__m"))
-    return flat.join(per_row, [capture, row]).select(capture, row, "bin", (F.col("__r") - F.col("__m")).alias("residual"))
+    return flat.join(per_row.hint("merge"), [capture, row]).select(capture, row, "bin", (F.col("__r") - F.col("__m")).alias("residual"))
 
 
 def baseline(long: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,7 +68,7 @@ def pixel_events(pixels: DataFrame, capture: str, row: str, columns: int) -> Dat
     numbered = pixels.withColumn("__id", F.col(capture).cast("long") * stride + F.col(row).cast("long") * columns + F.col("bin"))
     steps = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(b).alias("b")) for r, b in ((0, 1), (1, -1), (1, 0), (1, 1))))
     near = numbered.withColumn("__s", F.explode(steps)).select(capture, (F.col(row) + F.col("__s.r")).alias(row), (F.col("bin") + F.col("__s.b")).alias("bin"), F.col("__id").alias("a"))
-    edges = near.join(numbered.select(capture, row, "bin", F.col("__id").alias("b")), [capture, row, "bin"]).select("a", "b")
+    edges = near.join(numbered.select(capture, row, "bin", F.col("__id").alias("b")).hint("merge"), [capture, row, "bin"]).select("a", "b")
     labels = components(edges, "a", "b").withColumnRenamed("node", "__id")
-    whole = numbered.join(labels, "__id", "left").withColumn("event", F.coalesce("component", "__id") % stride)
+    whole = numbered.join(labels.hint("merge"), "__id", "left").withColumn("event", F.coalesce("component", "__id") % stride)
     return whole.groupBy(capture, "event").agg(F.count("*").alias("pixels"), F.count_distinct(row).alias("rows"), (F.max("bin") - F.min("bin") + 1).alias("width"), F.round(F.sum(F.col("bin") * F.col("residual")) / F.sum("residual"), 6).alias("centre"))

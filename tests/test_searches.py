@@ -254,3 +254,29 @@ def test_dual_motion_against_loops(spark):
         assert x.promoted == (x.key == "a")
     reasons = {x.key: set(x.reasons) for x in got}
     assert reasons == {"a": set(), "b": {"disagreement"}, "c": {"shift"}}
+
+
+def test_windows_of_a_long_capture_are_found_from_the_row(spark):
+    """Every row held the starts of all windows of its capture, so work grew with their product."""
+    times = [0.3 * i + (0.05 if i % 7 == 0 else 0.0) for i in range(400)]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(times)] + [(2, i, float(i)) for i in range(5)], "k long, row long, t double")
+    got = searches.windowed(df, ["k"], 8.0, 2.5, 2)
+    a, b = times[0], times[-1]
+    starts, i = {b - 8.0}, 0
+    while a + i * 2.5 < b - 8.0 + 2.5 and i < int(np.ceil((b - 8.0 + 2.5 - a) / 2.5)):
+        starts.add(a + i * 2.5)
+        i += 1
+    want = sorted((1, s, j) for s in starts for j, t in enumerate(times) if s <= t <= s + 8.0) + [(2, 0.0, j) for j in range(5)]
+    assert sorted((r.k, r.start, r.row) for r in got.collect()) == want
+    assert "__s" not in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_rows_of_events_are_not_sent_through_the_driver(spark):
+    from orrery.operators import events, spectra
+
+    levels = np.random.default_rng(2).random((12, 32))
+    df = spark.createDataFrame([(1, i, [float(x) for x in v]) for i, v in enumerate(levels)], "c long, r long, v array<double>")
+    path = events.segmented(df, "c", "r", "v", 0.05)[1]
+    pixels = spark.createDataFrame([(1, i, j, float(levels[i, j])) for i in range(12) for j in range(32) if levels[i, j] > 0.7], "c long, r long, bin long, residual double")
+    for found in (path, spectra.pixel_events(pixels, "c", "r", 4096)):
+        assert "strategy=merge" in found._jdf.queryExecution().optimizedPlan().toString()
