@@ -59,13 +59,15 @@ def windowed(rows: DataFrame, keys: Sequence[str], width: float, step: float, le
     width are one window. Windows of fewer than `least` rows are left out.
     """
     span = rows.groupBy(*keys).agg(F.min("t").alias("__a"), F.max("t").alias("__b"))
-    count = F.ceil((F.col("__b") - width + step - F.col("__a")) / step)
-    many = F.array_union(F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda i: F.col("__a") + i * step), F.array(F.col("__b") - width))
-    one = F.col("__b") - F.col("__a") <= width
-    starts = span.select(*keys, one.alias("__one"), F.when(one, F.array("__a")).otherwise(many).alias("__s"))
-    inside = F.explode(F.filter("__s", lambda s: F.col("__one") | (F.col("t") >= s) & (F.col("t") <= s + width)))
+    a, b, t = F.col("__a"), F.col("__b"), F.col("t")
+    count = F.ceil((b - width + step - a) / step)
+    # A row looks at the few windows that begin up to one width before it, never at all of its capture.
+    first, last = F.greatest(F.lit(0).cast("long"), F.floor((t - width - a) / step) - 1), F.least(count - 1, F.floor((t - a) / step) + 1)
+    around = F.when(first <= last, F.transform(F.sequence(first, last), lambda i: a + i * step)).otherwise(F.array().cast("array<double>"))
+    held = F.filter(F.array_union(around, F.array(b - width)), lambda s: (t >= s) & (t <= s + width))
+    inside = F.explode(F.when(b - a <= width, F.array(a)).otherwise(held))
     whole = Window.partitionBy(*keys, "start")  # one window's rows
-    placed = rows.join(starts, list(keys)).withColumn("start", inside).drop("__s", "__one")
+    placed = rows.join(span, list(keys)).withColumn("start", inside).drop("__a", "__b")
     return placed.withColumns({"place": F.row_number().over(whole.orderBy("t", "row")) - 1, "held": F.count("*").over(whole)}).where(F.col("held") >= least)
 
 
@@ -337,15 +339,15 @@ def dual_features(
     number = (F.col("capture") * 2 + (F.col("polarity") < 0).cast("long")) * (1 << 44) + F.col("row") * (1 << 16) + F.col("a")
     nodes = written(runs.withColumn("id", number), "searches")
     above = nodes.select("capture", "polarity", (F.col("row") + 1).alias("row"), F.col("a").alias("c"), F.col("b").alias("d"), F.col("id").alias("other"))
-    edges = nodes.join(above, ["capture", "polarity", "row"]).where("a <= d AND c <= b").select("id", "other")
+    edges = nodes.join(above.hint("merge"), ["capture", "polarity", "row"]).where("a <= d AND c <= b").select("id", "other")
     labels = components(edges, "id", "other")
-    member = nodes.join(labels, F.col("id") == F.col("node"), "left").withColumn("feature", F.coalesce("component", "id"))
+    member = nodes.join(labels.hint("merge"), F.col("id") == F.col("node"), "left").withColumn("feature", F.coalesce("component", "id"))
     box = member.groupBy("capture", "polarity", "feature").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.min("a").alias("low"), F.max("b").alias("high"))
     times = both.select("capture", "row", "t")
-    timed = box.join(times.select("capture", F.col("row").alias("first"), F.col("t").alias("t0")), ["capture", "first"]).join(times.select("capture", F.col("row").alias("last"), F.col("t").alias("t1")), ["capture", "last"])
+    timed = box.join(times.select("capture", F.col("row").alias("first"), F.col("t").alias("t0")).hint("merge"), ["capture", "first"]).join(times.select("capture", F.col("row").alias("last"), F.col("t").alias("t1")).hint("merge"), ["capture", "last"])
     spread = (F.col("high") - F.col("low") + 1) * bin_hz
     timed = written(timed.where((F.col("t1") - F.col("t0")).between(*duration) & spread.between(*width)), "searches")
-    taken = timed.withColumn("row", F.explode(F.sequence("first", "last"))).join(flat.select("capture", "receiver", "row", "t", "flat"), ["capture", "row"])
+    taken = timed.withColumn("row", F.explode(F.sequence("first", "last"))).join(flat.select("capture", "receiver", "row", "t", "flat").hint("merge"), ["capture", "row"])
     part = F.transform(F.slice("flat", F.col("low") + 1, F.col("high") - F.col("low") + 1), lambda x: x * F.col("polarity"))
     weighed = taken.withColumn("v", part).withColumn("w", F.transform("v", lambda x: F.greatest(x - threshold / 2, F.lit(0.0)))).withColumn("s", total(F.col("w"))).where("s > 0")
     strong = F.filter(F.transform("w", lambda x, i: F.when(x > threshold / 2, i)), lambda i: i.isNotNull())
@@ -353,7 +355,7 @@ def dual_features(
     extent = F.when(F.size(strong) > 0, (F.array_max(strong) - F.array_min(strong) + 1) * bin_hz).otherwise(0.0)
     path = weighed.select("capture", "polarity", "feature", "receiver", "row", "t", centre.alias("raw"), extent.alias("width"), (total(F.zip_with("v", "w", lambda x, k: x * k)) / F.col("s")).alias("depth"))
     fix = corrections(rows.join(timed.select("capture").distinct(), "capture", "left_semi"), max(1, int(shift_hz / bin_hz)))
-    fixed = path.join(fix, ["capture", "receiver", "row"], "left").withColumn("at", F.col("raw") - F.coalesce("moved", F.lit(0)) * bin_hz)
+    fixed = path.join(fix.hint("merge"), ["capture", "receiver", "row"], "left").withColumn("at", F.col("raw") - F.coalesce("moved", F.lit(0)) * bin_hz)
     of = lambda r, c: F.max(F.when(F.col("receiver") == r, F.col(c)))
     columns = ("raw", "at", "width", "depth", "r", "moved")
     wide = fixed.groupBy("capture", "polarity", "feature", "row", "t").agg(*(of(r, c).alias(f"{c}_{r}") for c in columns for r in (0, 1))).where("raw_0 IS NOT NULL AND raw_1 IS NOT NULL")
@@ -378,5 +380,5 @@ def dual_features(
     })
     ends = rows.groupBy("capture").agg(F.min("t").alias("__a"), F.max("t").alias("__b"))
     cut = all_reasons(**{"onset cut off": F.col("start") - F.col("__a") < margin, "ending cut off": F.col("__b") - F.col("stop") < margin})
-    boxed = whole.join(timed.select("feature", "capture", ((F.col("high") - F.col("low") + 1) * bin_hz).alias("bounding_hz")), ["capture", "feature"]).join(ends, "capture")
+    boxed = whole.join(timed.select("feature", "capture", ((F.col("high") - F.col("low") + 1) * bin_hz).alias("bounding_hz")).hint("merge"), ["capture", "feature"]).join(ends, "capture")
     return boxed.withColumns({"reasons": why, "warnings": cut}).withColumn("qualified", F.size("reasons") == 0).drop("__a", "__b")
