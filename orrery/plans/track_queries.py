@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry
 from orrery.functions import scalars as fn
-from orrery.operators import hypotheses, joins, ordered, spectra, tracks
+from orrery.operators import hypotheses, joins, ordered, permutation, spectra, tracks
 from orrery.plans.join_queries import TRACKS, whole_seconds
 from orrery.plans.join_queries import tracks as day_tracks
 from orrery.plans.registry import Tables, query
@@ -64,37 +64,16 @@ DRAWS = 199
 def a39p(t: Tables) -> DataFrame:
     """How often event labels exchanged over all times give a span as short: each user keeps its number of events.
 
-    A draw ranks all times by a seeded hash; the time of rank i gets the label of the i-th hit. Ranks are counted inside
-    ranges of the hash and offset by the ranges before, so no draw is one task's work, and only times that may get a
-    label are shuffled. p is null where no user has three hits.
+    A draw is a seeded permutation of the events' numbers in time; the first numbers bear the hits' labels. p is null
+    where no user has three hits.
     """
     times = t.events.select("event_id", fn.micros(F.col("ts")).alias("us"))
-    hits = t.events.where("value > 60").select("user_id", F.xxhash64("event_id").alias("h"), "event_id", F.lit(0).alias("draw"))
-    labels = ranked(hits, ["h", "event_id"]).select("rank", "user_id")
-
-    drawn = times.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(DRAWS)))).withColumn("h", F.xxhash64("draw", "event_id"))
-    places = ranked(drawn, ["h", "event_id", "us"], hits.agg(F.count("*").alias("most")))
-    span = F.lead("us", 2).over(Window.partitionBy("draw", "user_id").orderBy("us", "event_id")) - F.col("us")
-    least = places.join(labels, "rank").withColumn("span", span).groupBy("draw").agg(F.min("span").alias("span"))
-    seen = a39(t).agg(F.min("span").alias("observed"))
-    p = F.when(F.max("observed").isNotNull(), (1 + F.count_if(F.col("span") <= F.col("observed"))) / (F.count("*") + 1))
-    return least.join(F.broadcast(seen)).agg(F.count("*").alias("draws"), p.alias("p"))  # one row
-
-
-def hash_range() -> Column:
-    return F.shiftright("h", 56)
-
-
-def ranked(rows: DataFrame, order: list[str], most: DataFrame | None = None) -> DataFrame:
-    """rows with their `rank` from 1 in their draw, by the hash h; of most, only ranks up to its one value."""
-    placed = rows.withColumn("range", hash_range())
-    before = Window.partitionBy("draw").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = placed.groupBy("draw", "range").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    if most is not None:
-        bases = bases.join(F.broadcast(most)).where(F.col("base") < F.col("most"))  # one row
-    inside = F.row_number().over(Window.partitionBy("draw", "range").orderBy(*order))
-    out = placed.join(F.broadcast(bases), ["draw", "range"]).withColumn("rank", F.col("base") + inside)  # at most 256 rows for each draw
-    return out.where(F.col("rank") <= F.col("most")) if most is not None else out
+    owners = t.events.where("value > 60").groupBy("user_id").agg(F.count("*").alias("labels"))
+    seen = a39(t).agg(F.min("span").alias("observed"), F.count("*").alias("users")).first()  # one row
+    draws, p = DRAWS if seen.users else 0, None
+    if seen.observed is not None:
+        p = (1 + len(permutation.as_close(times, "us", "event_id", owners, "user_id", seen.observed, DRAWS))) / (DRAWS + 1)
+    return times.sparkSession.createDataFrame([(draws, p)], "draws long, p double")
 
 
 @query("j26_rate_match", f"""WITH {TRACKS}, c AS (SELECT x.user_id, x.a, y.user_id AS cand, abs(x.m - y.m) AS d FROM tr x JOIN tr y ON x.event_type = 'view' AND y.event_type = 'click' AND x.a <= y.b AND y.a <= x.b AND x.b > x.a),

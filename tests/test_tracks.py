@@ -107,6 +107,35 @@ def test_cluster_permutation_keeps_each_users_number(spark, users, planted):
     assert got.p == pytest.approx(brute, abs=0.12) and (got.p < 0.02 or not planted)
 
 
+@pytest.mark.parametrize("users, reach, slice_rows, large", [(300, 4_000, 200, 1024), (300, 60_000, 200, 6), (30, 2_000, 5_000, 1024), (900, 600_000, 100, 1024)])
+def test_permuted_labels_against_all_of_them(spark, monkeypatch, users, reach, slice_rows, large):
+    """The draws with three labels within reach are those of brute force; labels are not shuffled, however many draws there are."""
+    import numpy as np
+
+    from orrery.operators import permutation
+
+    monkeypatch.setattr(permutation, "SLICE", slice_rows)
+    monkeypatch.setattr(permutation, "LARGE", large)
+    rng = np.random.default_rng(users)
+    n = 3_000
+    at = np.sort(rng.integers(0, 3_000_000, n))
+    labels = rng.multinomial(1_000 if users < 900 else 700, np.arange(1, users + 1) / (users * (users + 1) / 2)) if users < 900 else np.r_[[3] * 6, [2] * 300]
+    assert sorted(permutation.permuted(np.arange(n), n, 5)) == list(range(n))
+    rows = spark.createDataFrame([(int(u), i) for i, u in enumerate(at)] + [(None, n)], "us long, i long")
+    owners = spark.createDataFrame([(u, int(c)) for u, c in enumerate(labels)], "user long, labels long")
+    spans = {r.start: r.labels for r in permutation.numbered(owners, "user").collect()}
+    assert sorted(spans.values()) == sorted(int(c) for c in labels if c >= 3)
+    owner = np.repeat(sorted(spans), [spans[s] for s in sorted(spans)])
+    want = set()
+    for draw in range(1, 31):
+        place = permutation.permuted(np.arange(n), n + 1, draw)  # the time that is null has the last number
+        on = place < len(owner)
+        if permutation.closest(owner[place[on]], at[on]) <= reach:
+            want.add(draw)
+    assert 0 < len(want) < 30 or users == 30
+    assert permutation.as_close(rows, "us", "i", owners, "user", reach, 30) == want
+
+
 def test_cluster_permutation_without_three_hits(spark):
     df = events_of(spark, [(i, i, i * 100, "view", 70.0) for i in range(5)])
     assert track_queries.a39p(SimpleNamespace(events=df)).first().p is None
