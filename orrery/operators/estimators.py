@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.sources.scratch import written
 
 #: What rounding may add to a rate or share that is one.
 SLACK = 1e-9
@@ -97,9 +99,37 @@ def extreme_value_threshold(cells: Column, false_alarm: float) -> Column:
 
 def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
     """The first value at which half of the group's weight is reached; equal values are one."""
-    from pyspark.sql import Window
-
     counted = df.groupBy(*keys, value).agg(F.sum(weight).alias("__w"))
     upto = F.sum("__w").over(Window.partitionBy(*keys).orderBy(value))
     half = F.sum("__w").over(Window.partitionBy(*keys)) / 2
     return counted.withColumns({"__u": upto, "__h": half}).where("__u >= __h").groupBy(*keys).agg(F.min(value).alias(value))
+
+
+def bootstrap_medians(rows: DataFrame, unit: str, value: str, draws: int, seed: int, margin: float | None = None) -> DataFrame:
+    """(draw, value): the weighted median of each bootstrap draw, each unit with its Poisson weight, as `weighted_median` gives it.
+
+    The medians of all draws lie close to that of the rows. Draws count the weights below a bracket of it where the rows
+    are, and only rows inside are drawn into a shuffle; a draw whose median is not inside gets a wider bracket, in the
+    end all rows.
+    """
+    rows = written(rows.select(unit, value), "bootstrap")
+    v = F.col(value)
+    margin = margin or max(8 / max(rows.count(), 1) ** 0.5, 4e-4)
+    left, found = list(range(1, draws + 1)), []
+    while left:
+        whole = margin >= 0.5
+        low, high = rows.agg(F.percentile_approx(v, [0.5 - margin, 0.5 + margin], 10_000).alias("c")).first()["c"] or (None, None) if not whole else (None, None)
+        whole = whole or low is None
+        below = v.isNull() if whole else F.coalesce(v < low, F.lit(True))
+        inside = v.isNotNull() if whole else (v >= low) & (v <= high)
+        drawn = lambda df: df.withColumn("draw", F.explode(F.lit(left))).withColumn("__w", poisson_weight(seed, "draw", unit)).where("__w > 0")  # noqa: E731, B023
+        base = written(drawn(rows).groupBy("draw").agg((F.sum("__w") / 2).alias("__half"), F.coalesce(F.sum(F.when(below, F.col("__w"))), F.lit(0)).alias("__base")), "bootstrap")
+        counted = drawn(rows.where(inside)).groupBy("draw", value).agg(F.sum("__w").alias("__w"))
+        upto = F.col("__base") + F.sum("__w").over(Window.partitionBy("draw").orderBy(value))
+        reached = counted.join(F.broadcast(base), "draw").withColumn("__upto", upto).where("__upto >= __half")  # a row for each draw
+        medians = (reached if whole else reached.where("__base < __half")).groupBy("draw").agg(F.min(value).alias(value))
+        got = written(base.select("draw").join(medians, "draw", "left") if whole else medians, "bootstrap")
+        found.append(got)
+        left = [] if whole else sorted(set(left) - {r.draw for r in got.collect()} - (set(left) - {r.draw for r in base.collect()}))  # draws
+        margin *= 8
+    return reduce(DataFrame.union, found)

@@ -173,8 +173,7 @@ def e15(t: Tables) -> DataFrame:
 @query("e16_cluster_bootstrap")
 def e16(t: Tables) -> DataFrame:
     captures = t.lineitem.groupBy("l_orderkey").agg(F.avg("l_extendedprice").alias("v"))
-    drawn = captures.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(50)))).withColumn("w", estimators.poisson_weight(3, "draw", "l_orderkey")).where("w > 0")
-    medians = estimators.weighted_median(drawn, ["draw"], "v", "w")
+    medians = estimators.bootstrap_medians(captures, "l_orderkey", "v", 50, 3)
     return medians.agg(F.count("*").alias("draws"), F.round(F.percentile("v", F.lit(0.025)), 4).alias("low"), F.round(F.percentile("v", F.lit(0.975)), 4).alias("high"))
 
 

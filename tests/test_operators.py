@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -212,3 +214,45 @@ def test_band_join_counts_equal_prices_once(spark):
     got = join_queries.j21(SimpleNamespace(events=events, part=part))
     assert sorted(map(tuple, got.collect())) == [(1, 4, 3), (2, 4, 4)]
     assert "Aggregate [p_retailprice" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranks_and_exceedances_are_no_groups_task(spark):
+    """Ranks come from ranges of counted values; ties, nulls, NaN and copies count as in one sort."""
+    from orrery.operators import stats
+
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, float("nan"), *map(float, range(6))]), rng.choice([None, rng.random(), float(rng.randint(0, 3))])) for _ in range(900)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    high = lambda v: (v is None, 0.0 if v is None else math.inf if v != v else v)
+
+    def rank(values):
+        s = sorted(map(high, values))
+        return [s.index(high(v)) + (s.count(high(v)) + 1) / 2 for v in values]
+
+    want = {}
+    for k in ("a", "b", None):
+        mine = [r for r in rows if r[0] == k]
+        a, b = rank([r[1] for r in mine]), rank([r[2] for r in mine])
+        ma, mb = sum(a) / len(a), sum(b) / len(b)
+        want[k] = sum((p - ma) * (q - mb) for p, q in zip(a, b, strict=True)) / math.sqrt(sum((p - ma) ** 2 for p in a) * sum((q - mb) ** 2 for q in b))
+    got = stats.spearman(df, ["k"], "x", "y")
+    assert {r.k: r.rho for r in got.collect()} == pytest.approx(want)
+
+    seen, nulls = df.where("y < 2"), df.where("x < 4")
+    found = stats.smoothed_exceedance(seen, nulls, ["k"], "y")
+    below = [(k, y) for k, x, y in rows if x is not None and x < 4 and y is not None]
+    exact = sorted((str(k), y, (1 + sum(q == k and v >= y for q, v in below)) / (1 + sum(q == k for q, _ in below))) for k, _, y in rows if y is not None and y < 2)
+    assert sorted((str(r.k), r.y, r.p) for r in found.collect()) == exact
+    for plan in (got, found):
+        assert not re.search(r"windowspecdefinition\(k#\d+, [xys]#", plan._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("values", ["spread", "tied", "null"])
+def test_bootstrap_medians_equal_a_sort_of_each_draw(spark, values):
+    """The medians are those of all drawn rows, also where the first bracket misses them."""
+    make = {"spread": lambda i: i * 37 % 1009 / 7, "tied": lambda i: float(i % 3), "null": lambda i: None if i % 5 < 3 else float(i)}[values]
+    rows = spark.createDataFrame([(i, make(i)) for i in range(700)], "id long, v double")
+    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("w", estimators.poisson_weight(3, "draw", "id")).where("w > 0")
+    want = {r.draw: r.v for r in estimators.weighted_median(drawn, ["draw"], "v", "w").collect()}
+    assert {r.draw: r.v for r in estimators.bootstrap_medians(rows, "id", "v", 12, 3).collect()} == want
+    assert {r.draw: r.v for r in estimators.bootstrap_medians(rows, "id", "v", 12, 3, 0.001).collect()} == want
