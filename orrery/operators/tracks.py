@@ -13,13 +13,52 @@ from orrery.operators.selection import joined
 from orrery.sources.scratch import written
 
 
+#: A key of more points is clustered in rounds by all cores, others each in one pass of one task.
+POINTS = 200_000
+
+
 def clustered(df: DataFrame, key: str, order: str, position: str, value: str, period: float, near: float, tolerance: float) -> DataFrame:
     """(key, cluster, points): each point joins the first representative within both tolerances, round the period, else opens a cluster.
 
-    A point opens a cluster unless an earlier representative is near: a greedy selection in the order of `order` (unique),
-    made in parallel over cells of position and value. Points without position or value are no points.
+    Points are shuffled once, by key, and a task goes through its keys in the order of `order` (unique), holding the
+    representatives of one. In a key of more than POINTS points a greedy selection in that order is made in parallel over
+    cells of position and value. Points without position or value are no points.
     """
-    points = df.where(F.col(position).isNotNull() & F.col(value).isNotNull()).select(*dict.fromkeys((key, order, position, value)))
+    points = df.where(F.col(key).isNotNull() & F.col(position).isNotNull() & F.col(value).isNotNull()).select(*dict.fromkeys((key, order, position, value)))
+    large = written(points.groupBy(key).count().where(F.col("count") > POINTS).select(key), "clusters")  # a row for each POINTS points at most
+    many = not large.isEmpty()
+    small = points.join(F.broadcast(large), key, "left_anti") if many else points
+    placed = small.select(F.col(key).cast("long").alias("key"), F.col(order).alias("order"), F.pmod(F.col(position).cast("double"), F.lit(float(period))).alias("p"), F.col(value).cast("double").alias("v"))
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whose, n, p, v, sizes = None, 0, np.empty(64), np.empty(64), []
+        for pdf in parts:
+            out: list[tuple] = []
+            for k, x, y in zip(pdf["key"].to_numpy().tolist(), pdf["p"].to_numpy().tolist(), pdf["v"].to_numpy().tolist(), strict=True):
+                if k != whose:
+                    out += [(whose, i, c) for i, c in enumerate(sizes)]
+                    whose, n, sizes = k, 0, []
+                off = np.abs(p[:n] - x)
+                hit = (np.minimum(off, period - off) <= near) & (np.abs(v[:n] - y) <= tolerance)
+                first = int(hit.argmax()) if n else 0
+                if n and hit[first]:
+                    sizes[first] += 1
+                    continue
+                if n == len(p):
+                    p, v = np.concatenate([p, np.empty(n)]), np.concatenate([v, np.empty(n)])
+                p[n], v[n] = x, y
+                n += 1
+                sizes.append(1)
+            yield pd.DataFrame(out, columns=["key", "cluster", "points"])
+        yield pd.DataFrame([(whose, i, c) for i, c in enumerate(sizes)], columns=["key", "cluster", "points"])
+
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * df.sparkSession.sparkContext.defaultParallelism)  # few bytes, much work
+    sizes = placed.repartition(n, "key").sortWithinPartitions("key", "order").drop("order").mapInPandas(scan, "key long, cluster long, points long")
+    return sizes.union(clustered_in_rounds(points.join(F.broadcast(large), key, "left_semi"), key, order, position, value, period, near, tolerance)) if many else sizes
+
+
+def clustered_in_rounds(points: DataFrame, key: str, order: str, position: str, value: str, period: float, near: float, tolerance: float) -> DataFrame:
+    """What `clustered` gives: a point opens a cluster unless an earlier representative is near."""
     led = joined(points, order, [key], [(position, near, period), (value, tolerance)], [])
     sizes = led.groupBy("leader").agg(F.count("*").alias("points"))
     owned = sizes.join(points.select(F.col(order).alias("leader"), F.col(key).cast("long").alias("key")), "leader")

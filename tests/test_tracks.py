@@ -214,3 +214,19 @@ def test_sessions_are_assembled_by_more_than_one_task(spark):
     assert sorted((r.key, r.track, r.points, r.first, r.last) for r in got.collect()) == [(k, 0, 20, 0.0, 19.0) for k in range(40)]
     plan = got.sparkSession.read.format("parquet").load(got.inputFiles()[0].rsplit("/", 1)[0])
     assert len({f for f in plan.inputFiles()}) > 1
+
+
+@pytest.mark.parametrize("points", [10, 1_000])
+def test_clusters_in_one_pass_and_in_rounds_agree(spark, monkeypatch, points):
+    """Keys of few points are shuffled once, those of many go through rounds: the same clusters; NaN is near nothing."""
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 1, 2, 3, None]), i, float(rng.randint(0, 900)), float(rng.randint(0, 60))) for i in range(300)] + [(4, 301, 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "k long, i long, p double, v double").repartition(3)
+    want = {tuple(r) for r in tracks.clustered_in_rounds(df, "k", "i", "p", "v", 100, 12, 9).collect()}
+    monkeypatch.setattr(tracks, "POINTS", points)
+    assert {tuple(r) for r in tracks.clustered(df, "k", "i", "p", "v", 100, 12, 9).collect()} == want
+    if points == 1_000:
+        nan = df.union(spark.createDataFrame([(5, 400, 1.0, float("nan")), (5, 401, 1.0, float("nan"))], df.schema))
+        got = tracks.clustered(nan, "k", "i", "p", "v", 100, 12, 9)
+        assert {tuple(r) for r in got.collect()} == want | {(5, 0, 1), (5, 1, 1)}
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
