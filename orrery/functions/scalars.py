@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: the range of a 12-bit sample.
@@ -101,6 +103,16 @@ def exact_mean(value: Column) -> Column:
     return F.sum(exact(value)).cast("double") / F.count(value)
 
 
+def summed_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """df with `out`, the sum of the values of its group up to each row, and `out`_place, the row's place.
+
+    Doubles are added one by one in the order, as SQL adds rows that are stored in it, so the last sum is that of SQL to
+    the last bit, however the rows are dealt; a group is read row by row and never held.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumns({out: F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), f"{out}_place": F.row_number().over(w)})
+
+
 def rounded_half_up(value: Column, digits: int) -> Column:
     """As SQL rounds the binary number: scaled, to the nearest whole number, scaled back. F.round rounds its shortest decimal form."""
     return F.round(value * 10.0**digits) / 10.0**digits

@@ -65,3 +65,21 @@ def test_tracks_of_equal_values_in_any_order_tie_by_key(spark, tmp_path):
     means = tracks(registry.Tables(spark, str(tmp_path))).where("event_type = 'error'").select("m").distinct().count()
     assert means == 1
     assert [r.cand for r in registry.QUERIES["j25_event_hypotheses"](spark, str(tmp_path)).collect()] == [2]
+
+
+@pytest.mark.parametrize("name", ["j22_track_pairs"])
+def test_means_add_up_in_the_order_of_rows_as_in_sql(spark, tmp_path, name):
+    """The last bit of a mean decides a gate of 20 and which of two candidates is nearest; the file is in order, the reader is not."""
+    rows = []
+    for kind, user, values in (
+        ("signup", 2, [26.92, 31.17, 30.62]), ("signup", 1, [49.57, 49.57]), ("view", 1, [1.48, 1.48]),
+        ("error", 3, [6.45, 3.13, 4.64]), ("error", 2, [4.74, 4.74]), ("click", 3, [6.45, 3.13, 4.64]), ("click", 2, [4.74, 4.74]),
+    ):
+        rows += [(len(rows) + i, START + timedelta(minutes=10 * i), user, kind, v) for i, v in enumerate(values)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE)")
+    con.executemany("INSERT INTO events VALUES (?, ?, ?, ?, ?)", rows)
+    want = con.execute(registry.ORACLE_SQL[name]).df()
+    spark.createDataFrame(rows[::-1], EVENTS).repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.QUERIES[name](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in want[got.columns].itertuples(index=False))
