@@ -305,7 +305,7 @@ def j25(t: Tables) -> DataFrame:
 
 
 def event_hypotheses(t: Tables) -> DataFrame:
-    tr = tracks(t).withColumn("all", F.lit(1))
+    tr = tracks_in_order(t).withColumn("all", F.lit(1))
     x = tr.where("event_type = 'view'").select("all", "user_id", "a", "b", "m")
     y = tr.where("event_type = 'error'").select("all", F.col("user_id").alias("cand"), F.col("a").alias("c"), F.col("b").alias("d"), F.col("m").alias("cm"))
     met = joins.overlapping(x, y, ["all"], ("a", "b"), ("c", "d"), 43_200)
