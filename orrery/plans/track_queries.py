@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orrery.functions import geometry
 from orrery.functions import scalars as fn
 from orrery.operators import hypotheses, joins, ordered, permutation, spectra, tracks
-from orrery.plans.join_queries import TRACKS, whole_seconds
+from orrery.plans.join_queries import TRACKS, tracks_in_order, whole_seconds
 from orrery.plans.join_queries import tracks as day_tracks
 from orrery.plans.registry import Tables, query
 from orrery.plans.spectral_queries import RESIDUAL, spectrum
@@ -83,7 +83,7 @@ def j26(t: Tables) -> DataFrame:
 
 
 def rate_matches(t: Tables) -> DataFrame:
-    tr = day_tracks(t).withColumn("all", F.lit(1))
+    tr = tracks_in_order(t).withColumn("all", F.lit(1))
     x = tr.where("event_type = 'view' and b > a").select("all", "user_id", "a", "b", "m")
     y = tr.where("event_type = 'click'").select("all", F.col("user_id").alias("cand"), F.col("a").alias("c"), F.col("b").alias("e"), F.col("m").alias("cm"))
     met = joins.overlapping(x, y, ["all"], ("a", "b"), ("c", "e"), 43_200).withColumn("d", F.abs(F.col("m") - F.col("cm")))

@@ -67,7 +67,7 @@ def test_tracks_of_equal_values_in_any_order_tie_by_key(spark, tmp_path):
     assert [r.cand for r in registry.QUERIES["j25_event_hypotheses"](spark, str(tmp_path)).collect()] == [2]
 
 
-@pytest.mark.parametrize("name", ["j22_track_pairs", "j25_event_hypotheses"])
+@pytest.mark.parametrize("name", ["j22_track_pairs", "j25_event_hypotheses", "j26_rate_match"])
 def test_means_add_up_in_the_order_of_rows_as_in_sql(spark, tmp_path, name):
     """The last bit of a mean decides a gate of 20 and which of two candidates is nearest; the file is in order, the reader is not."""
     rows = []
