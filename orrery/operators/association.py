@@ -2,7 +2,9 @@
 
 Both searches are joins: points meet their track's candidates and the shifts to
 try, and each shifted time meets the two grid values on either side of it by an
-equi join on the grid's number. What a shift leaves is fitted with an offset and
+equi join on the grid's number; where a curve is a function, its values are
+worked out where points and shifts meet, and only the points and the shifts are
+shuffled, once a search, by track. What a shift leaves is fitted with an offset and
 a bounded drift for each receiver from moments of the training points, so a
 group is never gathered: its moments are summed map-side, and errors of the held
 points follow from theirs.
@@ -10,6 +12,9 @@ points follow from theirs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +23,14 @@ from orrery.sources.scratch import written
 BY = ["track", "number", "shift"]
 
 
+class Curve(NamedTuple):
+    """Every candidate's curve as a function of its number and k, and the first and last k that it covers."""
+
+    value: Callable[[Column, Column], Column]
+    first: int
+    last: int
+
+
 def split(points: DataFrame, share: float) -> DataFrame:
     """points with `train`: of each receiver of a track those up to `share` of its span of time; if that leaves either side empty, its earliest `share` of points."""
     own = points.groupBy("track", "receiver").agg(F.min("at").alias("__a"), F.max("at").alias("__b"), F.count("*").alias("__n"))
@@ -36,14 +49,19 @@ def shifts_round(first: float, last: float, step: float) -> list[float]:
     return sorted({first + i * step for i in range(n + 1)} | {last})
 
 
-def judged(points: DataFrame, tried: DataFrame, curves: DataFrame, step: float, most_drift: float, common: bool) -> DataFrame:
+def judged(points: DataFrame, tried: DataFrame, curves: DataFrame | Curve, step: float, most_drift: float, common: bool) -> DataFrame:
     """(track, number, shift, train_rms, holdout_rms, nuisance): errors of each shift whose times the curve covers, after each receiver's own line.
 
-    tried is (track, number, shift); curves is (number, k, v, next): the values at k * step and (k + 1) * step.
+    tried is (track, number, shift); curves is (number, k, v, next): the values at k * step and (k + 1) * step; or a Curve.
     """
     t = F.col("at") + F.col("shift")
-    moved = points.join(tried, "track").withColumns({"k": F.floor(t / step), "__f": t / step - F.floor(t / step)})
-    met = moved.join(curves.hint("merge"), ["number", "k"])  # Spark takes a curve's size for that of the row it is made from, and would broadcast them all
+    # By track on both sides: sums of a track and shift then need no further shuffle, and no shifts go through the driver.
+    moved = points.join(tried.hint("merge"), "track").withColumns({"k": F.floor(t / step), "__f": t / step - F.floor(t / step)})
+    if isinstance(curves, Curve):
+        number, k = F.col("number"), F.col("k")
+        met = moved.where(k.between(curves.first, curves.last)).withColumns({"v": curves.value(number, k), "next": curves.value(number, k + 1)})
+    else:
+        met = moved.join(curves.hint("merge"), ["number", "k"])  # Spark takes a curve's size for that of the row it is made from, and would broadcast them all
     y = F.col("observed") - (F.col("v") + (F.col("next") - F.col("v")) * F.col("__f"))
     rows = met.select(*BY, "receiver", "train", F.col("x"), y.alias("y"), (1 / (F.col("sigma") * F.col("sigma"))).alias("w"), "n")
     on = lambda c: F.when(F.col("train"), c)
@@ -66,7 +84,7 @@ def judged(points: DataFrame, tried: DataFrame, curves: DataFrame, step: float,
         inner = F.greatest(F.lit(0.0), c("yy") - 2 * F.col("drift") * c("xy") + F.col("drift") * F.col("drift") * c("xx"))
         return F.when(c("n") > 0, c("n") * (inner + mean * mean)).otherwise(0.0)
 
-    rms = lambda name: F.sqrt(F.sum(square(name)) / F.sum(f"n{name}"))
+    rms = lambda name: F.sqrt(F.sum(square(name)) / F.nullif(F.sum(f"n{name}"), F.lit(0).cast("long")))  # noqa: E731; a curve that ends inside a track leaves a side without points
     whole = fitted.groupBy(*BY).agg(
         rms("t").alias("train_rms"), rms("h").alias("holdout_rms"), F.sum("met").alias("met"), F.max("n").alias("n"),
         F.sort_array(F.collect_list(F.struct("receiver", "offset", "drift"))).alias("nuisance"),
@@ -75,7 +93,7 @@ def judged(points: DataFrame, tried: DataFrame, curves: DataFrame, step: float,
 
 
 def associated(
-    points: DataFrame, candidates: DataFrame, curves: DataFrame, step: float, reach: float = 2.0, fine: float = 0.05, coarse: float = 0.5,
+    points: DataFrame, candidates: DataFrame, curves: DataFrame | Curve, step: float, reach: float = 2.0, fine: float = 0.05, coarse: float = 0.5,
     share: float = 0.6, most_drift: float = 200.0, common: bool = False,
 ) -> DataFrame:
     """The candidates of each track, best held-out error first: number, shift, at_edge, train_rms, holdout_rms, rank, margin (to the next) and nuisance.

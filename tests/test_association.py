@@ -88,3 +88,23 @@ def test_curves_are_not_broadcast(spark):
     plan = judged(points, tried, curves, 1.0, 200.0, False)._jdf.queryExecution().executedPlan().toString()
     assert [line for line in plan.splitlines() if "SortMergeJoin" in line and "k#" in line]
     assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "k#" in line]
+
+
+def test_a_curve_as_a_function_is_the_table_of_its_values_without_its_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    value = lambda number, k: 900.0 * F.sin(k / (30.0 + number)) + number
+    rng = np.random.default_rng(3)
+    rows = [(track, i % 2, float(t), float(900 * np.sin((t + 0.35) / (30 + track)) + track + 40 * (i % 2)), 5.0) for track in range(5) for i, t in enumerate(np.sort(rng.uniform(2, 190, 40)))]
+    rows += [(9, i % 2, 180.0 + 4 * i, float(i), 5.0) for i in range(12)]  # past the end of the curves
+    points = spark.createDataFrame(rows, "track long, receiver long, at double, observed double, sigma double")
+    candidates = points.select("track", F.explode(F.array(*(F.lit(i).cast("long") for i in range(4)))).alias("number")).distinct()
+    grid = spark.range(-10, 201).withColumnRenamed("id", "k").crossJoin(spark.range(4).withColumnRenamed("id", "number"))
+    table = grid.select("number", "k", value(F.col("number"), F.col("k")).alias("v"), value(F.col("number"), F.col("k") + 1).alias("next"))
+    found = association.associated(points, candidates, association.Curve(value, -10, 200), 1.0)
+    by_table = association.associated(points, candidates, table, 1.0)
+    close = lambda df: {(r.track, r.number): (r["rank"], round(r.shift, 6), round(r.train_rms, 6), round(r.holdout_rms, 6)) for r in df.collect()}
+    assert close(found) == close(by_table) and len(close(found)) == 20
+    plan = association.judged(points.withColumns({"x": F.col("at"), "train": F.col("at") < 100, "n": F.lit(40)}), spark.createDataFrame([(0, 0, 0.5)], "track long, number long, shift double"), association.Curve(value, -10, 200), 1.0, 200.0, False)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 2 and "Broadcast" not in text  # points and shifts
